@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labourlens.functions.text import contains_any, floor_round, folded, let
+from labourlens.functions.text import contains_any, floor_round, folded, let, lookup
 
 # --- fixed values -------------------------------------------------------------
 HIDDEN_WORDS = [
@@ -93,20 +93,19 @@ def number(text: Column) -> Column:
 
 
 def unit_multiplier(unit: Column) -> Column:
-    pairs = [F.lit(x) for pair in UNIT_MULTIPLIERS.items() for x in pair]
-    return F.coalesce(F.create_map(*pairs)[F.lower(F.trim(unit))], F.lit(1.0))
+    table = {k: str(v) for k, v in UNIT_MULTIPLIERS.items()}
+    return F.coalesce(lookup(table, unit).try_cast("double"), F.lit(1.0))
 
 
 def _groups(text: Column, form: Column) -> Column:
-    """The number and unit texts of the form that matched."""
-    def slot(name: str) -> Column:
-        out = None
-        for f in FORMS:
-            index = getattr(f, name)
-            if index:
-                out = (F if out is None else out).when(form == f.name, F.regexp_extract(text, f.pattern, index))
-        return out.alias(name)
-    return F.struct(slot("low"), slot("high"), slot("low_unit"), slot("high_unit"))
+    """``[low, high, low_unit, high_unit]`` as written in the form that matched."""
+    out = None
+    for f in FORMS:
+        parts = F.array(*[
+            F.regexp_extract(text, f.pattern, i) if i else F.lit(None).cast("string")
+            for i in (f.low, f.high, f.low_unit, f.high_unit)])
+        out = (F if out is None else out).when(form == f.name, parts)
+    return out
 
 
 def parse_salary(source: str | Column, usd_rate: float = USD_TO_VND) -> Column:
@@ -119,7 +118,7 @@ def parse_salary(source: str | Column, usd_rate: float = USD_TO_VND) -> Column:
     year_forms = [f.name for f in FORMS if f.per_year]
 
     def amounts(form: Column, g: Column) -> Column:
-        low_unit, high_unit = F.coalesce(g["low_unit"], F.lit("")), F.coalesce(g["high_unit"], F.lit(""))
+        low_unit, high_unit = F.coalesce(g[2], F.lit("")), F.coalesce(g[3], F.lit(""))
         is_usd = form.isin(*usd_forms) | (low_unit == "usd") | (high_unit == "usd")
         # "8 tr - 12": the unit of one end serves for both.
         spread = form.isin("range_units", "from_to")
@@ -133,7 +132,7 @@ def parse_salary(source: str | Column, usd_rate: float = USD_TO_VND) -> Column:
                 .otherwise(number(raw) * unit_multiplier(unit))
             )
             return F.when(raw.isNotNull(), F.when(form.isin(*year_forms), value / 12).otherwise(value))
-        return F.struct(million(g["low"], low_eff).alias("a"), million(g["high"], high_eff).alias("b"))
+        return F.struct(million(g[0], low_eff).alias("a"), million(g[1], high_eff).alias("b"))
 
     def result(form: Column, x: Column) -> Column:
         a, b = x["a"], x["b"]
@@ -144,16 +143,15 @@ def parse_salary(source: str | Column, usd_rate: float = USD_TO_VND) -> Column:
             .when(a.isNotNull(), a)
             .when(b.isNotNull(), b * UP_TO_FACTOR)
         )
-        kind, sure = F.when(form == "hidden", "hidden"), F.when(form == "hidden", 0.95)
-        for f in FORMS:
-            kind, sure = kind.when(form == f.name, f.salary_type), sure.when(form == f.name, f.confidence)
+        kinds = {"hidden": "hidden"} | {f.name: f.salary_type for f in FORMS}
+        sure = {"hidden": "0.95"} | {f.name: str(f.confidence) for f in FORMS}
         return F.struct(
             floor_round(F.when(both, F.least(a, b)).otherwise(a), 1).alias("salary_min"),
             floor_round(F.when(both, F.greatest(a, b)).otherwise(b), 1).alias("salary_max"),
             floor_round(mid, 1).alias("salary_mid"),
             F.coalesce(form == "hidden", F.lit(False)).alias("salary_hidden"),
-            kind.otherwise("unknown").alias("salary_type"),
-            sure.otherwise(0.0).alias("salary_confidence"),
+            F.coalesce(lookup(kinds, form), F.lit("unknown")).alias("salary_type"),
+            F.coalesce(lookup(sure, form).cast("double"), F.lit(0.0)).alias("salary_confidence"),
         )
 
     def with_text(text: Column) -> Column:
@@ -168,10 +166,13 @@ def parse_salary(source: str | Column, usd_rate: float = USD_TO_VND) -> Column:
 
 def normalize_salary(df: DataFrame, source: str = "salary_raw", usd_rate: float = USD_TO_VND) -> DataFrame:
     """Add ``salary_min, salary_max, salary_mid, salary_hidden, salary_type,
-    salary_confidence`` for the text column ``source``."""
+    salary_confidence`` for the text column ``source``.
+
+    The struct comes out of a one-element ``inline``, so later filters on its
+    fields stay above it and the text is parsed exactly once per row.
+    """
     fields = ["salary_min", "salary_max", "salary_mid", "salary_hidden", "salary_type", "salary_confidence"]
-    return (df.withColumn("_salary", parse_salary(source, usd_rate))
-            .withColumns({f: F.col("_salary")[f] for f in fields}).drop("_salary"))
+    return df.drop(*fields).select("*", F.inline(F.array(parse_salary(source, usd_rate))))
 
 
 def bounds_mid(low: str | Column = "salary_min", high: str | Column = "salary_max") -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
@@ -33,16 +34,27 @@ def blank_to_null(c: ColumnLike) -> Column:
     return F.when(trimmed != "", trimmed)
 
 
+def sql_text(value: str) -> str:
+    """A string literal for SQL text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_array(values: Sequence[str]) -> Column:
+    return F.expr("array(" + ", ".join(map(sql_text, values)) + ")")
+
+
+def literal_map(mapping: Mapping[str, str]) -> Column:
+    return F.expr("map(" + ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in mapping.items()) + ")")
+
+
 def lookup(mapping: Mapping[str, str], key: Column) -> Column:
     """Value of ``key`` in a small closed mapping, null when absent."""
-    return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])[key]
+    return literal_map(mapping)[key]
 
 
 def contains_any(c: Column, words: Sequence[str]) -> Column:
-    hit = c.contains(words[0])
-    for word in words[1:]:
-        hit = hit | c.contains(word)
-    return hit
+    """Any of the words as a plain substring."""
+    return c.rlike("|".join(re.sub(r"([^\w\s])", r"\\\1", w) for w in words))
 
 
 def keyword_bucket(c: ColumnLike, rules: Sequence[tuple[str, Sequence[str]]], default: str | Column) -> Column:

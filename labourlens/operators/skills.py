@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labourlens.dictionaries import SKILL_ENTRIES, SkillEntry
 from labourlens.functions.category import group_from_words
-from labourlens.functions.text import lookup
+from labourlens.functions.text import literal_array, lookup, sql_text
 from labourlens.functions.tokens import ngrams_up_to, python_tokens, tokens
 
 EXACT, CANONICAL, PARTIAL, WORD = 1, 2, 3, 4
@@ -133,14 +133,12 @@ def skills_in_text(text: Column, entries: list[SkillEntry] = SKILL_ENTRIES) -> C
         words = python_tokens(spelled)
         longest = max(longest, len(words))
         by_key.setdefault(" ".join(words), e)
-    known = F.array(*[F.lit(k) for k in by_key])
+    known = literal_array(list(by_key))
     found = F.array_intersect(ngrams_up_to(tokens(text), longest), known)
     names = {k: e.canonical for k, e in by_key.items()}
-    described = F.create_map(*[
-        x for canonical, e in first.items()
-        for x in (F.lit(canonical), F.struct(F.lit(e.ord).alias("ord"), F.lit(canonical).alias("skill_name"),
-                                             F.lit(e.alias).alias("original_name"), F.lit(e.group).alias("skill_group")))
-    ])
+    described = F.expr("map(" + ", ".join(
+        f"{sql_text(c)}, named_struct('ord', {e.ord}, 'skill_name', {sql_text(c)}, "
+        f"'original_name', {sql_text(e.alias)}, 'skill_group', {sql_text(e.group)})" for c, e in first.items()) + ")")
     distinct = F.array_distinct(F.transform(found, lambda k: lookup(names, k)))
     return F.coalesce(F.array_sort(F.transform(distinct, lambda c: described[c])), F.array())
 

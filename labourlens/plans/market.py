@@ -30,7 +30,7 @@ def paid(spark, d):
 @query("value_counts", f"""WITH {POSTINGS_CTE}
 SELECT city, count(*) AS n FROM postings WHERE city IS NOT NULL GROUP BY city""")
 def value_counts(spark, d):
-    return pr.value_counts(parsed(spark, d), "city")
+    return pr.value_counts(parsed(spark, d, salary=False), "city")
 
 
 @query("category_counts", f"""WITH {POSTINGS_CTE}, x AS (
@@ -41,7 +41,7 @@ SELECT field, value, count(*) AS n FROM x GROUP BY 1, 2""")
 def category_counts(spark, d):
     fields = ["remote_option", "job_type", "education_level", "source_site", "experience_bin"]
     # Count the combinations once, then split the few combinations by field.
-    combos = parsed(spark, d).groupBy(*fields).agg(F.count("*").alias("c"))
+    combos = parsed(spark, d, salary=False).groupBy(*fields).agg(F.count("*").alias("c"))
     long = combos.select("c", F.explode(F.array(*[
         F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])).alias("x"))
     return long.where("x.value IS NOT NULL").groupBy("x.field", "x.value").agg(F.sum("c").alias("n"))
@@ -101,7 +101,7 @@ def salary_pivot(spark, d):
 SELECT city, {', '.join(floor_sql(f"count(*) FILTER (remote_option = '{r}') * 100.0 / count(*)") + f' AS "{r}"' for r in REMOTE_OPTIONS)}
 FROM postings WHERE city IS NOT NULL GROUP BY city""")
 def remote_crosstab(spark, d):
-    return pr.crosstab_pct(parsed(spark, d), "city", "remote_option", REMOTE_OPTIONS)
+    return pr.crosstab_pct(parsed(spark, d, salary=False), "city", "remote_option", REMOTE_OPTIONS)
 
 
 @query("skills_per_title", f"""WITH {POSTINGS_CTE}, {SKILLS_CTE}

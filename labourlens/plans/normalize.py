@@ -19,10 +19,10 @@ from labourlens.sources.adapters import (
 )
 
 
-def parsed(spark: SparkSession, d: str, company: bool = False) -> DataFrame:
+def parsed(spark: SparkSession, d: str, company: bool = False, salary: bool = True) -> DataFrame:
     """Postings with every raw column normalised."""
-    p = normalize_experience(normalize_salary(add_title(postings(spark, d, company))))
-    return p.withColumns({
+    p = normalize_experience(add_title(postings(spark, d, company)))
+    p = p.withColumns({
         "city": category.city("city_raw"),
         "remote_option": category.remote_option("remote_raw"),
         "job_type": category.job_type("job_type_raw"),
@@ -30,6 +30,7 @@ def parsed(spark: SparkSession, d: str, company: bool = False) -> DataFrame:
         "job_level": category.job_level("level_raw"),
         "education_level": category.education_level("education_raw"),
     })
+    return normalize_salary(p) if salary else p
 
 
 @query("salary_normalize", f"""WITH {POSTINGS_CTE}

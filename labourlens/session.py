@@ -18,6 +18,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Keep splitting hot join partitions even where it costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Call sites per column cost more than the columns when expressions are long.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labourlens.functions.text import literal_array, sql_text
 from labourlens.session import spread
 
 
@@ -27,8 +28,8 @@ class Choice:
     pairs: tuple[tuple[str | None, str | None], ...]  # (written, meant)
 
     def _pick(self, key: str, side: int) -> Column:
-        values = F.array(*[F.lit(p[side]).cast("string") for p in self.pairs])
-        return F.element_at(values, F.expr(f"cast(({key} div {self.step}) % {len(self.pairs)} as int)") + 1)
+        values = ", ".join("cast(null as string)" if p[side] is None else sql_text(p[side]) for p in self.pairs)
+        return F.expr(f"element_at(array({values}), cast(({key} div {self.step}) % {len(self.pairs)} as int) + 1)")
 
     def written(self, key: str) -> Column:
         return self._pick(key, 0)
@@ -191,7 +192,7 @@ def posting_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(job_id, ord, skill_raw)``: one row per order line, spelling varied by line number."""
     part = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("l_partkey"), F.split_part("p_brand", F.lit("#"), F.lit(2)).cast("int").alias("b"))
-    spellings = F.array(*[F.array(*[F.lit(v) for v, _ in vs]) for _, _, vs in SKILL_OF_BRAND])
+    spellings = F.array(*[literal_array([v for v, _ in vs]) for _, _, vs in SKILL_OF_BRAND])
     choices = F.element_at(spellings, F.col("b"))
     return (
         table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
