@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labourlens.dictionaries import SKILL_ENTRIES, SkillEntry
 from labourlens.functions.category import group_from_words
-from labourlens.functions.text import literal_array, lookup, sql_text
+from labourlens.functions.text import let, literal_array, lookup, sql_text
 from labourlens.functions.tokens import ngrams_up_to, python_tokens, tokens
 
 EXACT, CANONICAL, PARTIAL, WORD = 1, 2, 3, 4
@@ -16,8 +16,9 @@ UNMATCHED_CONFIDENCE = 0.3
 MIN_PARTIAL_LENGTH = 3
 
 
-def _probes(spark: SparkSession, entries: list[SkillEntry]) -> tuple[DataFrame, int]:
-    """``(kind, key) -> canonical`` for every way a name may hit the dictionary.
+def probe_table(entries: list[SkillEntry]) -> tuple[dict[tuple[str, str], tuple[str, str, int, int]], int]:
+    """``(kind, key) -> (canonical, group, stage, ord)`` for every way a name may hit
+    the dictionary, and the longest spelling in words.
 
     Kinds: ``exact`` and ``canonical`` against the whole name, ``holds`` when the
     name holds a spelling at word borders, ``held`` when a spelling holds the
@@ -43,11 +44,15 @@ def _probes(spark: SparkSession, entries: list[SkillEntry]) -> tuple[DataFrame,
                 part = " ".join(words[start:start + n])
                 if len(part) >= MIN_PARTIAL_LENGTH:
                     add("held", part, PARTIAL, e)
-    frame = spark.createDataFrame(
+    return rows, longest
+
+
+def _probes(spark: SparkSession, entries: list[SkillEntry]) -> tuple[DataFrame, int]:
+    rows, longest = probe_table(entries)
+    return spark.createDataFrame(
         [(kind, key, *value) for (kind, key), value in rows.items()],
         "kind string, key string, canonical string, skill_group string, stage int, ord int",
-    )
-    return frame, longest
+    ), longest
 
 
 def resolve_names(names: DataFrame, entries: list[SkillEntry] = SKILL_ENTRIES) -> DataFrame:
@@ -109,12 +114,34 @@ def normalize_skills(df: DataFrame, source: str = "skill_raw",
 
 
 def canonical_name(name: Column, entries: list[SkillEntry] = SKILL_ENTRIES) -> Column:
-    """Exact spelling to canonical name, else the trimmed text: for short arrays."""
-    return F.coalesce(lookup({e.alias: e.canonical for e in entries}, F.lower(F.trim(name))), F.trim(name))
+    """The same resolution as :func:`resolve_names` inside one row, for the few
+    tags a posting carries; an unknown name is returned trimmed."""
+    rows, longest = probe_table(entries)
+
+    def names(kind: str) -> dict[str, str]:
+        return {key: canonical for (k, key), (canonical, *_) in rows.items() if k == kind}
+
+    def ranked(kind: str) -> Column:
+        return F.expr("map(" + ", ".join(
+            f"{sql_text(key)}, named_struct('ord', {ord_}, 'canonical', {sql_text(canonical)})"
+            for (k, key), (canonical, _, _, ord_) in rows.items() if k == kind) + ")")
+
+    def partial(words: Column) -> Column:
+        hits = F.concat(F.transform(ngrams_up_to(words, longest), lambda g: ranked("holds")[g]),
+                        F.array(ranked("held")[F.array_join(words, " ")]))
+        return F.array_min(F.filter(hits, lambda h: h.isNotNull()))["canonical"]
+
+    def word(words: Column) -> Column:
+        return F.get(F.filter(F.transform(words, lambda w: lookup(names("word"), w)), lambda c: c.isNotNull()), F.lit(0))
+
+    low = F.lower(F.trim(name))
+    return F.coalesce(lookup(names("exact"), low), lookup(names("canonical"), low),
+                      let(tokens(low), lambda w: F.coalesce(partial(w), word(w))), F.trim(name))
 
 
-def skill_group(canonical: Column, entries: list[SkillEntry] = SKILL_ENTRIES) -> Column:
-    return F.coalesce(lookup({e.canonical: e.group for e in entries}, canonical), F.lit("Other"))
+def known_group(canonical: Column, entries: list[SkillEntry] = SKILL_ENTRIES) -> Column:
+    """Group of a canonical name, null for an unknown one."""
+    return lookup({e.canonical: e.group for e in entries}, canonical)
 
 
 def skills_in_text(text: Column, entries: list[SkillEntry] = SKILL_ENTRIES) -> Column:
