@@ -128,15 +128,20 @@ def recommend_table(job_skills: DataFrame, jobs: DataFrame, profiles: DataFrame,
     Postings are first folded into classes of equal skill set, city and years.
     Profiles meet classes, not postings, through the skill index; the ``top_n``
     best classes of a profile must hold its ``top_n`` best postings, so only
-    those are unrolled.
+    those are unrolled.  Profiles with the same wish are answered once.
     """
     classes = _classes(job_skills, jobs, top_n)
     vocabulary = job_skills.select(F.col("skill_name").alias("skill")).where("skill IS NOT NULL").distinct()
+    # Equal wishes are answered once.
+    wish = F.struct(F.array_sort(F.array_distinct("skills")).alias("skills"), F.lower(F.trim("city")).alias("p_city"),
+                    F.col("years").cast("double").alias("p_years"))
+    asked = profiles.select("profile_id", wish.alias("wish")).withColumn(
+        "wish_id", F.md5(F.to_json("wish")))
     wishes = (
-        profiles.select("profile_id", F.lower(F.trim("city")).alias("p_city"), F.col("years").alias("p_years"),
-                        F.explode(F.array_distinct("skills")).alias("skill"))
+        asked.select("wish_id", "wish").distinct()
+        .select("wish_id", "wish.p_city", "wish.p_years", F.explode("wish.skills").alias("skill"))
         .join(vocabulary, "skill", "left_semi")
-        .withColumn("n_wish", F.count("*").over(W.partitionBy("profile_id")))
+        .withColumn("n_wish", F.count("*").over(W.partitionBy("wish_id")))
     )
     index = classes.select(
         F.explode("skills").alias("skill"), F.col("_class").alias("cls"), F.size("skills").alias("n_job"),
@@ -146,17 +151,18 @@ def recommend_table(job_skills: DataFrame, jobs: DataFrame, profiles: DataFrame,
     ) & (F.col("p_years").isNull() | (F.abs(F.col("c_years") - F.col("p_years")) <= 0.5))
     scored = (
         wishes.join(index, "skill").where(F.coalesce(fits, F.lit(False)))
-        .groupBy("profile_id", "cls", "first_id").agg(
+        .groupBy("wish_id", "cls", "first_id").agg(
             (F.count("*") / F.sqrt(F.first("n_wish") * F.first("n_job"))).alias("score"), F.first("ids").alias("ids"))
     )
     best = scored.withColumn("_r", F.row_number().over(
-        W.partitionBy("profile_id").orderBy(F.desc("score"), "first_id"))).where(F.col("_r") <= top_n)
-    rank = F.row_number().over(W.partitionBy("profile_id").orderBy(F.desc("score"), "job_id"))
-    return (
-        best.select("profile_id", "score", F.explode("ids").alias("job_id"))
+        W.partitionBy("wish_id").orderBy(F.desc("score"), "first_id"))).where(F.col("_r") <= top_n)
+    rank = F.row_number().over(W.partitionBy("wish_id").orderBy(F.desc("score"), "job_id"))
+    answers = (
+        best.select("wish_id", "score", F.explode("ids").alias("job_id"))
         .withColumn("rank", rank).where(F.col("rank") <= top_n)
-        .select("profile_id", "rank", "job_id", floor_round("score", 4).alias("similarity_score"))
     )
+    return asked.select("profile_id", "wish_id").join(answers, "wish_id").select(
+        "profile_id", "rank", "job_id", floor_round("score", 4).alias("similarity_score"))
 
 
 def similar_jobs(job_skills: DataFrame, targets: Sequence[str], top_n: int = 10) -> DataFrame:
