@@ -10,6 +10,15 @@ from labourlens.sources.adapters import POSTINGS_CTE, postings, table
 from labourlens.session import spread
 
 
+# A rendered listing page holds the postings of one company in one range of keys,
+# so no page grows with the data; page numbers keep the company's remainder by 3.
+PAGE_ROWS = 5000
+
+
+def page_key():
+    return F.col("custkey") + F.col("part") * 3_000_000_000
+
+
 def stored_pages(spark, d):
     return spread(table(spark, d, "pages"))
 
@@ -76,12 +85,12 @@ def page_json_blocks(spark, d):
         "page_id", "job_id", "job_title", "company_name", "city", "salary_raw", "posted_at", "description_raw", "source_url")
 
 
-@query("page_listed_details", """SELECT 10000000 + o_custkey AS page_id, 'https://itviec.com/jobs/' || o_orderkey AS source_url FROM orders""")
+@query("page_listed_details", """SELECT 10000000000000 + o_custkey + 3000000000 * (o_orderkey // 5000) AS page_id, 'https://itviec.com/jobs/' || o_orderkey AS source_url FROM orders""")
 def page_listed_details(spark, d):
     details = detail_pages(spark, d)
     links = F.array_join(F.transform(F.array_sort(F.collect_list("url")), lambda u: F.concat(F.lit('{"url":"'), u, F.lit('"}'))), ",")
-    listing = details.groupBy("custkey").agg(links.alias("l")).select(
-        (F.col("custkey") + 10000000).alias("page_id"), F.concat(F.lit("https://itviec.com/list/"), F.col("custkey").cast("string")).alias("url"),
+    listing = details.groupBy("custkey", F.expr(f"page_id div {PAGE_ROWS}").alias("part")).agg(links.alias("l")).select(
+        (page_key() + 10_000_000_000_000).alias("page_id"), F.concat(F.lit("https://itviec.com/list/"), F.col("custkey").cast("string")).alias("url"),
         _script(F.concat(F.lit('{"@type":"ItemList","itemListElement":['), "l", F.lit("]}")), 'type="application/ld+json"').alias("html"))
     return pg.listed_postings(details.drop("custkey").unionByName(listing)).select("page_id", "source_url")
 
@@ -104,8 +113,8 @@ def _hits(spark, d):
 def _state_page(spark, d, remainder: int, path: tuple[str, str]):
     rows = _hits(spark, d).where(F.col("custkey") % 3 == remainder)
     listed = F.array_join(F.array_sort(F.collect_list("body")), ",")
-    return rows.groupBy("custkey").agg(listed.alias("l")).select(
-        F.col("custkey").alias("page_id"), F.concat(F.lit("https://site/"), F.col("custkey").cast("string")).alias("url"),
+    return rows.groupBy("custkey", F.expr(f"k div {PAGE_ROWS}").alias("part")).agg(listed.alias("l")).select(
+        page_key().alias("page_id"), F.concat(F.lit("https://site/"), F.col("custkey").cast("string")).alias("url"),
         F.concat(F.lit("<html>"), _script(F.concat(F.lit(path[0]), "l", F.lit(path[1])), "id='__NEXT_DATA__' type='application/json'"), F.lit("</html>")).alias("html"))
 
 
@@ -117,7 +126,7 @@ _STATE = {
 
 
 @query("page_app_state", f"""WITH {POSTINGS_CTE}
-SELECT custkey AS page_id, job_title_raw AS job_title, 'Firm ' || custkey AS company_name, 'Hanoi' AS city,
+SELECT custkey + 3000000000 * (k // 5000) AS page_id, job_title_raw AS job_title, 'Firm ' || custkey AS company_name, 'Hanoi' AS city,
   (['glints', 'vietnamworks', 'vieclam24h'])[custkey % 3 + 1] AS source_site,
   (['https://glints.com', 'https://www.vietnamworks.com', 'https://vieclam24h.vn'])[custkey % 3 + 1] || '/x/' || k AS source_url,
   CASE WHEN custkey % 3 = 0 THEN (k % 40) || '-50 triệu' ELSE '15 triệu' END AS salary_raw,
@@ -140,13 +149,13 @@ def card_pages(spark, d):
         F.lit("</label><span class='city-text'>Hà Nội &amp; 2 nơi</span><label class='exp'><span>1 năm</span></label></div>"))
     rows = postings(spark, d).select("custkey", "k", card.alias("card"))
     body = F.array_join(F.array_sort(F.collect_list(F.struct("k", "card")))["card"], "<hr>")
-    return rows.groupBy("custkey").agg(body.alias("b")).select(
-        F.col("custkey").alias("page_id"), F.concat(F.lit("https://www.topcv.vn/"), F.col("custkey").cast("string")).alias("url"),
+    return rows.groupBy("custkey", F.expr(f"k div {PAGE_ROWS}").alias("part")).agg(body.alias("b")).select(
+        page_key().alias("page_id"), F.concat(F.lit("https://www.topcv.vn/"), F.col("custkey").cast("string")).alias("url"),
         F.concat(F.lit("<html><body><div class='list'>"), "b", F.lit("</div></body></html>")).alias("html"))
 
 
 @query("page_cards", f"""WITH {POSTINGS_CTE}
-SELECT custkey AS page_id, 'topcv_' || CASE WHEN k % 2 = 0 THEN CAST(k AS VARCHAR) ELSE substr(md5('https://www.topcv.vn/viec-lam/' || k), 1, 8) END AS job_id,
+SELECT custkey + 3000000000 * (k // 5000) AS page_id, 'topcv_' || CASE WHEN k % 2 = 0 THEN CAST(k AS VARCHAR) ELSE substr(md5('https://www.topcv.vn/viec-lam/' || k), 1, 8) END AS job_id,
   job_title_raw AS job_title, 'Firm ' || custkey AS company_name, 'Hà Nội & 2 nơi' AS city, '1 năm' AS experience_years,
   'https://www.topcv.vn/viec-lam/' || k AS source_url FROM postings""")
 def page_cards(spark, d):
@@ -154,7 +163,7 @@ def page_cards(spark, d):
         "page_id", "job_id", "job_title", "company_name", "city", "experience_years", "source_url")
 
 
-@query("page_cards_fallback", f"""WITH {POSTINGS_CTE} SELECT custkey AS page_id, job_title_raw AS job_title,
+@query("page_cards_fallback", f"""WITH {POSTINGS_CTE} SELECT custkey + 3000000000 * (k // 5000) AS page_id, job_title_raw AS job_title,
   CASE WHEN custkey % 3 = 1 THEN 'state' ELSE 'cards' END AS origin FROM postings WHERE custkey % 3 < 2""")
 def page_cards_fallback(spark, d):
     """Pages with state use it; pages with cards only fall back to them."""
@@ -165,7 +174,7 @@ def page_cards_fallback(spark, d):
     return found.select("page_id", "job_title", F.when(F.size("skills_raw") > 0, "state").otherwise("cards").alias("origin"))
 
 
-@query("page_without_state", "SELECT o_custkey AS page_id FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1")
+@query("page_without_state", "SELECT DISTINCT o_custkey + 3000000000 * (o_orderkey // 5000) AS page_id FROM orders WHERE o_custkey % 3 = 0")
 def page_without_state(spark, d):
     good = _state_page(spark, d, 1, _STATE["vietnamworks"][1])
     bare = card_pages(spark, d).where("page_id % 3 = 0")

@@ -130,12 +130,11 @@ def item_list_links(pages: DataFrame) -> DataFrame:
 
 def listed_postings(pages: DataFrame, site: str = "itviec") -> DataFrame:
     """Postings of the detail pages that some listing page names, once per listing."""
-    details = json_ld_postings(pages, site).drop("page_id")
     links = item_list_links(pages)
     by_page = pages.select(F.col("page_id").alias("detail_id"), F.col("url").alias("link"))
     listed = links.join(by_page, "link").select("page_id", "detail_id")
     found = json_ld_postings(pages, site).withColumnRenamed("page_id", "detail_id")
-    return listed.join(found, "detail_id").select("page_id", *details.columns)
+    return listed.join(found, "detail_id").select("page_id", *RAW_COLUMNS)
 
 
 @dataclass(frozen=True)
