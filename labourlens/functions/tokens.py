@@ -7,9 +7,10 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A word with its trailing + or # ("c++", "c#"), or one other visible sign.
-SPARK_TOKEN = r"([\p{L}\p{N}_]+[+#]*|[^\s\p{L}\p{N}_])"
-PYTHON_TOKEN = re.compile(r"\w+[+#]*|[^\s\w]")
+# A word with inner dots and trailing + or # ("node.js", "c++"), or one other visible sign.
+SPARK_TOKEN = r"([\p{L}\p{N}_]+(?:\.[\p{L}\p{N}_]+)*[+#]*|[^\s\p{L}\p{N}_])"
+PYTHON_TOKEN = re.compile(r"\w+(?:\.\w+)*[+#]*|[^\s\w]")
+MIN_PIECE = 3
 
 
 def python_tokens(text: str) -> list[str]:
@@ -33,3 +34,10 @@ def ngrams(words: Column, n: int) -> Column:
 
 def ngrams_up_to(words: Column, n: int) -> Column:
     return F.concat(*[ngrams(words, i) for i in range(1, n + 1)]) if n > 1 else words
+
+
+def pieces(words: Column) -> Column:
+    """Parts of dotted words ("python.django"), without the very short ones ("js")."""
+    dotted = F.filter(words, lambda w: F.contains(w, F.lit(".")))
+    parts = F.flatten(F.transform(dotted, lambda w: F.split(w, r"\.")))
+    return F.filter(parts, lambda p: F.length(p) >= MIN_PIECE)

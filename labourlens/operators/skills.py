@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from labourlens.dictionaries import SKILL_ENTRIES, SkillEntry
 from labourlens.functions.category import group_from_words
 from labourlens.functions.text import let, literal_array, lookup, sql_text
-from labourlens.functions.tokens import ngrams_up_to, python_tokens, tokens
+from labourlens.functions.tokens import ngrams_up_to, pieces, python_tokens, tokens
 
 EXACT, CANONICAL, PARTIAL, WORD = 1, 2, 3, 4
 CONFIDENCE = {EXACT: 1.0, CANONICAL: 0.95, PARTIAL: 0.8, WORD: 0.7}
@@ -161,7 +161,7 @@ def skills_in_text(text: Column, entries: list[SkillEntry] = SKILL_ENTRIES) -> C
         longest = max(longest, len(words))
         by_key.setdefault(" ".join(words), e)
     known = literal_array(list(by_key))
-    found = F.array_intersect(ngrams_up_to(tokens(text), longest), known)
+    found = let(tokens(text), lambda w: F.array_intersect(F.concat(ngrams_up_to(w, longest), pieces(w)), known))
     names = {k: e.canonical for k, e in by_key.items()}
     described = F.expr("map(" + ", ".join(
         f"{sql_text(c)}, named_struct('ord', {e.ord}, 'skill_name', {sql_text(c)}, "

@@ -215,8 +215,9 @@ def _extract_sql() -> str:
         f"SELECT doc_id, unnest(list_transform(range(1, len(t) - {n} + 2), lambda i: array_to_string(t[i:i + {n - 1}], ' '))) AS g FROM w"
         for n in range(1, longest + 1))
     return f"""WITH w AS (
-  SELECT doc_id, regexp_extract_all(lower(text), '([\\p{{L}}\\p{{N}}_]+[+#]*|[^\\s\\p{{L}}\\p{{N}}_])') AS t FROM documents),
-grams AS ({grams}), known(g, skill_name) AS (VALUES {known})
+  SELECT doc_id, regexp_extract_all(lower(text), '([\\p{{L}}\\p{{N}}_]+(?:\\.[\\p{{L}}\\p{{N}}_]+)*[+#]*|[^\\s\\p{{L}}\\p{{N}}_])') AS t FROM documents),
+grams AS ({grams} UNION ALL SELECT doc_id, p FROM (SELECT doc_id, unnest(string_split(x, '.')) AS p FROM (SELECT doc_id, unnest(t) AS x FROM w)
+  WHERE contains(x, '.')) WHERE length(p) >= 3), known(g, skill_name) AS (VALUES {known})
 SELECT DISTINCT doc_id, skill_name FROM grams JOIN known USING (g)"""
 
 
