@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SKILL_LISTS = {"skills": "skill_name", "skill_groups": "skill_group", "skill_levels": "required_level",
@@ -52,18 +53,19 @@ def pick_column(df: DataFrame, names: Sequence[str], target: str) -> DataFrame:
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First row per key in the given order; rows with a null or blank key all stay.
 
-    A ``min`` over row structs is combined on the map side, so a key carried by
-    a large share of the rows is reduced before the exchange.  ``order`` comes
-    first and all other columns break ties, which makes the choice repeatable.
+    ``row_number = 1`` is limited inside each task before the exchange, so a key
+    carried by a large share of the rows sends one row per task.  A blank key
+    gets a number of its own, which keeps such rows apart and spread out.  Equal
+    positions are settled by a hash of the row.
     """
     blank = F.lit(False)
     for k in keys:
         text = F.trim(F.col(k).cast("string"))
         blank = blank | text.isNull() | (text == "")
-    rest = [c for c in df.columns if c not in order and c not in keys]
-    row = F.struct(*order, *rest)
-    firsts = df.where(~blank).groupBy(*keys).agg(F.min(row).alias("_r")).select(*keys, "_r.*").select(*df.columns)
-    return firsts.unionByName(df.where(blank))
+    alone = F.when(blank, F.monotonically_increasing_id())
+    ranked = df.withColumn("_alone", alone).withColumn("_n", F.row_number().over(
+        W.partitionBy(*keys, "_alone").orderBy(*order, F.xxhash64(*df.columns))))
+    return ranked.where(F.col("_n") == 1).select(*df.columns)
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -14,13 +14,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from labourlens.session import stored
+
 BINS_PER_E = 256  # a bin is about 0.4 % wide
 
 
 def frequencies(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Count of each non-null value per group, as ``(*keys, _v, _n)``."""
+    """Count of each non-null value per group, as ``(*keys, _v, _n)``.
+
+    Everything that follows reads the counts two or three times, so they are
+    written once; the rows behind them are not parsed again.
+    """
     v = F.col(value).cast("double")
-    return df.where(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_n"))
+    return stored(df.where(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_n")))
 
 
 def _bin(v: Column) -> Column:

@@ -10,7 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labourlens.functions.experience import nearest_bin
-from labourlens.functions.text import floor_round
+from labourlens.functions.text import floor_round, literal_array
+from labourlens.operators.merge import keep_first
+from labourlens.session import stored
 
 MAX_LISTED_PROFILES = 200
 
@@ -55,63 +57,77 @@ def years_filter(columns: Sequence[str], wanted: float | None) -> Column:
     return F.lit(True)
 
 
-def _first_details(jobs: DataFrame) -> DataFrame:
-    """One row per posting; if an id repeats, the smallest row stands for it."""
-    rest = [c for c in jobs.columns if c != "job_id"]
-    return jobs.groupBy("job_id").agg(F.min(F.struct(*rest)).alias("_d")).select("job_id", "_d.*")
+def _fit(common: Column, size: Column) -> Column:
+    """Ranks like the cosine for one profile, whose own length is the same everywhere.
+
+    The square is a ratio of whole numbers, so equal scores are equal doubles
+    and the tie rule decides, not the last digit of a root.
+    """
+    return common * common / size
+
+
+def build_index(job_skills: DataFrame) -> DataFrame:
+    """Skill sets written once, to be read by every recommendation."""
+    return stored(skill_sets(job_skills), "skill-index")
 
 
-def recommend(job_skills: DataFrame, jobs: DataFrame, profiles: Sequence[Profile], top_n: int = 10) -> DataFrame:
+def recommend(index: DataFrame, jobs: DataFrame, profiles: Sequence[Profile], top_n: int = 10) -> DataFrame:
     """The ``top_n`` postings for each of a short list of profiles.
 
-    Profiles ride along as literals: one pass over the skill sets scores every
-    posting for every profile, and the rank limit is applied inside each task
-    before anything is shuffled.  Postings without a common skill keep their
-    zero score, and the filters come before the ranking.  Equal scores are
-    ordered by id.
+    ``index`` comes from :func:`build_index`, ``jobs`` holds one row per posting
+    (the first by all columns counts if an id repeats).  Profiles ride along as
+    literals: one pass over the skill sets scores every posting for every
+    profile, and the rank limit is applied inside each task before anything is
+    shuffled.  Postings without a common skill keep their zero score, the
+    filters come before the ranking, equal scores are ordered by id.  Details
+    are looked up for the ranked postings only; one without details is left out.
     """
     if len(profiles) > MAX_LISTED_PROFILES:
         raise ValueError("use recommend_table for a long list of profiles")
-    sets = skill_sets(job_skills)
-    details = _first_details(jobs)
     wanted = sorted({s for p in profiles for s in p.skills})
     # Only skills some posting has count towards the length of a profile.
-    known = job_skills.where(F.col("skill_name").isin(wanted)).agg(
-        F.array_sort(F.collect_set("skill_name")).alias("known"))
-    joined = sets.join(details, "job_id")
-    rows = joined.withColumn("_known", known.scalar())
+    known = index.select(F.explode(F.array_intersect("skills", literal_array(wanted).cast("array<string>"))).alias("s")).agg(
+        F.array_sort(F.collect_set("s"))).scalar()
+    filters = [c for c in ("city", "experience_years", "experience_bin") if c in jobs.columns and any(
+        (p.city if c == "city" else p.years is not None) for p in profiles)]
+    rows = index
+    if filters:
+        rows = index.join(keep_first(jobs.select("job_id", *filters), ["job_id"], filters), "job_id", "left")
     choices = []
     for p in profiles:
-        mine = F.array(*[F.lit(s) for s in sorted(set(p.skills))]).cast("array<string>")
-        choices.append(F.struct(
-            F.lit(p.profile_id).alias("profile_id"),
-            mine.alias("wish"),
-            F.size(F.array_intersect(mine, F.col("_known"))).alias("n_wish"),
-            (city_filter(F.col("city"), p.city) & years_filter(jobs.columns, p.years)).alias("keep"),
-        ))
+        mine = literal_array(sorted(set(p.skills))).cast("array<string>")
+        keep = years_filter(jobs.columns, p.years)
+        if p.city and p.city.strip():
+            keep = keep & city_filter(F.col("city"), p.city)
+        choices.append(F.struct(F.lit(p.profile_id).alias("profile_id"), mine.alias("wish"), keep.alias("keep")))
     scored = (
         rows.withColumn("_p", F.explode(F.filter(F.array(*choices), lambda c: c["keep"])))
         .withColumn("_common", F.size(F.array_intersect("skills", "_p.wish")))
-        .withColumn("_score", F.when(F.col("_common") == 0, 0.0).otherwise(
-            F.col("_common") / F.sqrt(F.col("_p.n_wish") * F.size("skills"))))
+        .withColumn("_fit", _fit(F.col("_common"), F.size("skills")))
     )
-    rank = F.row_number().over(W.partitionBy("_p.profile_id").orderBy(F.desc("_score"), "job_id"))
-    top = scored.withColumn("rank", rank).where(F.col("rank") <= top_n)
-    return top.select(
-        "_p.profile_id", "rank", "job_id", *[c for c in jobs.columns if c != "job_id"],
-        floor_round("_score", 4).alias("similarity_score"),
+    rank = F.row_number().over(W.partitionBy("_p.profile_id").orderBy(F.desc("_fit"), "job_id"))
+    top = scored.withColumn("rank", rank).where(F.col("rank") <= top_n).select("_p", "rank", "job_id", "skills", "_common")
+    n_wish = F.size(F.array_intersect("_p.wish", known))
+    score = F.when(F.col("_common") == 0, 0.0).otherwise(F.col("_common") / F.sqrt(n_wish * F.size("skills")))
+    columns = [c for c in jobs.columns if c != "job_id"]
+    # At most top_n rows for each of at most MAX_LISTED_PROFILES profiles.
+    found = jobs.join(F.broadcast(top), "job_id")
+    once = keep_first(found, ["_p.profile_id", "rank"], columns) if columns else found
+    return once.select(
+        "_p.profile_id", "rank", "job_id", *columns,
+        floor_round(score, 4).alias("similarity_score"),
         F.array_sort(F.array_intersect("skills", "_p.wish")).alias("matched_skills"),
         F.array_sort(F.array_except("skills", "_p.wish")).alias("missing_skills"),
     )
 
 
-def _classes(job_skills: DataFrame, jobs: DataFrame, top_n: int) -> DataFrame:
+def _classes(index: DataFrame, jobs: DataFrame, top_n: int) -> DataFrame:
     """Postings grouped by skill set, city and years, with the first ids of each class.
 
     Only the ``top_n`` smallest ids of a class can ever be recommended, so the
     members kept per class are bounded by the request, not by the data.
     """
-    rows = skill_sets(job_skills).join(jobs.select("job_id", "city", "experience_years"), "job_id")
+    rows = index.join(jobs.select("job_id", "city", "experience_years"), "job_id")
     keys = [F.concat_ws("\u0001", "skills"), F.lower("city"), F.col("experience_years")]
     keyed = rows.withColumn("_class", F.xxhash64(*keys)).withColumns({"_c": keys[1], "_s": keys[0]})
     rank = F.row_number().over(W.partitionBy("_class", "_s", "_c", "experience_years").orderBy("job_id"))
@@ -121,7 +137,7 @@ def _classes(job_skills: DataFrame, jobs: DataFrame, top_n: int) -> DataFrame:
         F.array_sort(F.collect_list("job_id")).alias("ids"))
 
 
-def recommend_table(job_skills: DataFrame, jobs: DataFrame, profiles: DataFrame, top_n: int = 10) -> DataFrame:
+def recommend_table(index: DataFrame, jobs: DataFrame, profiles: DataFrame, top_n: int = 10) -> DataFrame:
     """As :func:`recommend` for a table ``(profile_id, skills, city, years)`` of any
     length; only postings with a common skill are returned.
 
@@ -130,8 +146,8 @@ def recommend_table(job_skills: DataFrame, jobs: DataFrame, profiles: DataFrame,
     best classes of a profile must hold its ``top_n`` best postings, so only
     those are unrolled.  Profiles with the same wish are answered once.
     """
-    classes = _classes(job_skills, jobs, top_n)
-    vocabulary = job_skills.select(F.col("skill_name").alias("skill")).where("skill IS NOT NULL").distinct()
+    classes = _classes(index, jobs, top_n)
+    vocabulary = index.select(F.explode("skills").alias("skill")).distinct()
     # Equal wishes are answered once.
     wish = F.struct(F.array_sort(F.array_distinct("skills")).alias("skills"), F.lower(F.trim("city")).alias("p_city"),
                     F.col("years").cast("double").alias("p_years"))
@@ -143,33 +159,34 @@ def recommend_table(job_skills: DataFrame, jobs: DataFrame, profiles: DataFrame,
         .join(vocabulary, "skill", "left_semi")
         .withColumn("n_wish", F.count("*").over(W.partitionBy("wish_id")))
     )
-    index = classes.select(
+    posted = classes.select(
         F.explode("skills").alias("skill"), F.col("_class").alias("cls"), F.size("skills").alias("n_job"),
         F.col("_c").alias("c_city"), F.col("experience_years").alias("c_years"), "first_id", "ids")
     fits = (
         (F.coalesce(F.col("p_city"), F.lit("")) == "") | (F.col("p_city") == F.col("c_city"))
     ) & (F.col("p_years").isNull() | (F.abs(F.col("c_years") - F.col("p_years")) <= 0.5))
     scored = (
-        wishes.join(index, "skill").where(F.coalesce(fits, F.lit(False)))
+        wishes.join(posted, "skill").where(F.coalesce(fits, F.lit(False)))
         .groupBy("wish_id", "cls", "first_id").agg(
-            (F.count("*") / F.sqrt(F.first("n_wish") * F.first("n_job"))).alias("score"), F.first("ids").alias("ids"))
+            (F.count("*") / F.sqrt(F.first("n_wish") * F.first("n_job"))).alias("score"),
+            _fit(F.count("*"), F.first("n_job")).alias("fit"), F.first("ids").alias("ids"))
     )
     best = scored.withColumn("_r", F.row_number().over(
-        W.partitionBy("wish_id").orderBy(F.desc("score"), "first_id"))).where(F.col("_r") <= top_n)
-    rank = F.row_number().over(W.partitionBy("wish_id").orderBy(F.desc("score"), "job_id"))
+        W.partitionBy("wish_id").orderBy(F.desc("fit"), "first_id"))).where(F.col("_r") <= top_n)
+    rank = F.row_number().over(W.partitionBy("wish_id").orderBy(F.desc("fit"), "job_id"))
     answers = (
-        best.select("wish_id", "score", F.explode("ids").alias("job_id"))
+        best.select("wish_id", "score", "fit", F.explode("ids").alias("job_id"))
         .withColumn("rank", rank).where(F.col("rank") <= top_n)
     )
     return asked.select("profile_id", "wish_id").join(answers, "wish_id").select(
         "profile_id", "rank", "job_id", floor_round("score", 4).alias("similarity_score"))
 
 
-def similar_jobs(job_skills: DataFrame, targets: Sequence[str], top_n: int = 10) -> DataFrame:
+def similar_jobs(index: DataFrame, targets: Sequence[str], top_n: int = 10) -> DataFrame:
     """Postings most like each target posting, without itself and without zero scores."""
     if len(targets) > MAX_LISTED_PROFILES:
         raise ValueError("too many targets for one pass")
-    sets = skill_sets(job_skills)
+    sets = index
     rows = sets.where(F.col("job_id").isin(*targets)).collect()  # at most MAX_LISTED_PROFILES short rows
     missing = set(targets) - {r["job_id"] for r in rows}
     if missing:
@@ -182,15 +199,15 @@ def similar_jobs(job_skills: DataFrame, targets: Sequence[str], top_n: int = 10)
         .withColumn("_common", F.size(F.array_intersect("skills", "_t.wish"))).where("_common > 0")
         .withColumn("_score", F.col("_common") / F.sqrt(F.size("_t.wish") * F.size("skills")))
     )
-    rank = F.row_number().over(W.partitionBy("_t.target_id").orderBy(F.desc("_score"), "job_id"))
+    rank = F.row_number().over(W.partitionBy("_t.target_id").orderBy(F.desc(_fit(F.col("_common"), F.size("skills"))), "job_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top_n).select(
         "_t.target_id", "rank", "job_id", floor_round("_score", 4).alias("similarity_score"))
 
 
-def skill_gap(job_skills: DataFrame, skills: Sequence[str]) -> DataFrame:
+def skill_gap(index: DataFrame, skills: Sequence[str]) -> DataFrame:
     """What each posting asks for that a candidate has and has not."""
-    mine = F.array(*[F.lit(s) for s in skills]).cast("array<string>")
-    return skill_sets(job_skills).select(
+    mine = literal_array(skills).cast("array<string>")
+    return index.select(
         "job_id",
         F.array_sort(F.array_intersect("skills", mine)).alias("matched_skills"),
         F.array_sort(F.array_except("skills", mine)).alias("missing_skills"),

@@ -13,7 +13,7 @@ from labourlens.operators import features as ft
 from labourlens.operators import models as md
 from labourlens.plans.normalize import parsed
 from labourlens.plans.registry import query
-from labourlens.session import spread
+from labourlens.session import spread, stored
 from labourlens.sources.adapters import (
     BIN_SQL, COMPANIES_CTE, POSTINGS_CTE, SKILLS_CTE, companies, floor_sql, job_skills, table,
 )
@@ -158,8 +158,8 @@ QUERY_PARAMS = {"linear": {}, "decision_tree": {"maxDepth": 8}, "random_forest":
 
 
 def materialised(df):
-    """Models pass over their rows many times; keep the parsed rows at hand."""
-    return df.persist()
+    """Models pass over their rows many times; the parsed rows are written once."""
+    return spread(stored(df, "model-rows"))
 
 
 @query("model_comparison")
@@ -191,8 +191,9 @@ SELECT *, CASE WHEN avg_salary > 30 THEN 'high pay, senior or lead' WHEN avg_sal
   WHEN avg_experience < 2 THEN 'starters, low pay' ELSE 'medium pay, junior to mid' END AS meaning
 FROM b JOIN t_city USING (cluster) JOIN t_job_title USING (cluster) JOIN t_job_type USING (cluster) JOIN t_skill_name USING (cluster)""")
 def cluster_profiles(spark, d):
-    p = parsed(spark, d).withColumn("cluster", F.col("education_level"))
-    return cl.profiles(p, job_skills(spark, d))
+    p = parsed(spark, d).select("job_id", F.col("education_level").alias("cluster"), "salary_mid", "experience_years", "remote_option",
+                                "city", "job_title", "job_type")
+    return cl.profiles(stored(p, "clustered"), job_skills(spark, d))
 
 
 def vectors(spark, d):

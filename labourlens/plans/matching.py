@@ -27,6 +27,10 @@ FILTERED = [
 ]
 
 
+def index(spark, d):
+    return rec.build_index(job_skills(spark, d))
+
+
 def _details(spark, d):
     p = add_title(normalize_salary(postings(spark, d)))
     return p.select("job_id", "job_title", category.city("city_raw").alias("city"), "salary_mid",
@@ -50,7 +54,7 @@ scored AS (
   WHERE (p.city IS NULL OR lower(j.city) = p.city) AND (p.years IS NULL OR {keep})),
 ranked AS (
   SELECT *, CASE WHEN common = 0 THEN 0.0 ELSE common / sqrt(n_wish * len(skills)) END AS score FROM scored),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, job_id) AS rank FROM ranked)
+numbered AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY common * common / len(skills) DESC, job_id) AS rank FROM ranked)
 SELECT profile_id, rank, job_id, {extra}{floor_sql('score', 4)} AS similarity_score,
   list_sort(list_intersect(skills, wish)) AS matched_skills,
   list_sort(list_filter(skills, lambda x: NOT list_contains(wish, x))) AS missing_skills
@@ -59,20 +63,20 @@ FROM numbered WHERE rank <= {top}"""
 
 @query("recommend_profile", _sql(CANDIDATES, "job_title, city, salary_mid, experience_years, "))
 def recommend_profile(spark, d):
-    return rec.recommend(job_skills(spark, d), _details(spark, d), CANDIDATES)
+    return rec.recommend(index(spark, d), _details(spark, d), CANDIDATES)
 
 
 @query("recommend_filtered", _sql(FILTERED, "city, experience_years, "))
 def recommend_filtered(spark, d):
     jobs = _details(spark, d).select("job_id", "city", "experience_years")
-    return rec.recommend(job_skills(spark, d), jobs, FILTERED)
+    return rec.recommend(index(spark, d), jobs, FILTERED)
 
 
 @query("recommend_by_bin", _sql([FILTERED[1], rec.Profile("mid", ("SQL", "Java"), years=5.0)], "city, ", bins=True))
 def recommend_by_bin(spark, d):
     jobs = _details(spark, d).select("job_id", "city", experience_bin("experience_years").alias("experience_bin"))
     profiles = [FILTERED[1], rec.Profile("mid", ("SQL", "Java"), years=5.0)]
-    return (rec.recommend(job_skills(spark, d), jobs, profiles)
+    return (rec.recommend(index(spark, d), jobs, profiles)
             .drop("experience_bin"))
 
 
@@ -82,7 +86,7 @@ def recommend_by_bin(spark, d):
     "array_to_string(list_sort(list_filter(skills, lambda x: NOT list_contains(wish, x))), '; ') AS"))
 def recommend_export(spark, d):
     jobs = _details(spark, d).select("job_id", "city")
-    return rec.for_export(rec.recommend(job_skills(spark, d), jobs, CANDIDATES)).drop("city")
+    return rec.for_export(rec.recommend(index(spark, d), jobs, CANDIDATES)).drop("city")
 
 
 # Every company is a candidate: it knows three skills and wants a city and some years.
@@ -93,11 +97,12 @@ _WISH = [("Python", "SQL", "Docker"), ("Java", "React", "English"), ("AWS", "Kub
 profiles AS (SELECT c_name AS profile_id, ([{', '.join(str(list(w)) for w in _WISH)}])[CAST(c_nationkey % 4 AS INTEGER) + 1] AS skills,
   CASE WHEN c_custkey % 2 = 0 THEN 'hanoi' END AS city, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_nationkey % 8 AS DOUBLE) END AS years FROM customer),
 sets AS (SELECT job_id, list_distinct(list(skill_name)) AS skills FROM job_skills GROUP BY 1),
-scored AS (SELECT p.profile_id, s.job_id, len(list_intersect(s.skills, p.skills)) / sqrt(3 * len(s.skills)) AS score
+scored AS (SELECT p.profile_id, s.job_id, len(list_intersect(s.skills, p.skills)) / sqrt(3 * len(s.skills)) AS score,
+  pow(len(list_intersect(s.skills, p.skills)), 2) / len(s.skills) AS fit
   FROM sets s JOIN postings j USING (job_id), profiles p
   WHERE list_has_any(s.skills, p.skills) AND (p.city IS NULL OR lower(j.city) = p.city)
     AND (p.years IS NULL OR abs(j.experience_years - p.years) <= 0.5)),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, job_id) AS rank FROM scored)
+numbered AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY fit DESC, job_id) AS rank FROM scored)
 SELECT profile_id, rank, job_id, {floor_sql('score', 4)} AS similarity_score FROM numbered WHERE rank <= 3""")
 def recommend_table(spark, d):
     from labourlens.sources.adapters import table
@@ -109,25 +114,26 @@ def recommend_table(spark, d):
         F.when(F.col("c_custkey") % 3 == 0, (F.col("c_nationkey") % 8).cast("double")).alias("years"))
     jobs = postings(spark, d).select("job_id", category.city("city_raw").alias("city"),
                                      years("experience_raw").alias("experience_years"))
-    return rec.recommend_table(job_skills(spark, d), jobs, profiles, 3)
+    return rec.recommend_table(index(spark, d), jobs, profiles, 3)
 
 
 @query("similar_jobs", f"""WITH {SKILLS_CTE}, sets AS (SELECT job_id, list_distinct(list(skill_name)) AS skills FROM job_skills GROUP BY 1),
-scored AS (SELECT t.job_id AS target_id, s.job_id, len(list_intersect(s.skills, t.skills)) / sqrt(len(t.skills) * len(s.skills)) AS score
+scored AS (SELECT t.job_id AS target_id, s.job_id, len(list_intersect(s.skills, t.skills)) / sqrt(len(t.skills) * len(s.skills)) AS score,
+  pow(len(list_intersect(s.skills, t.skills)), 2) / len(s.skills) AS fit
   FROM sets s, (SELECT * FROM sets ORDER BY job_id LIMIT 3) t WHERE s.job_id <> t.job_id),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, job_id) AS rank FROM scored WHERE score > 0)
+numbered AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY fit DESC, job_id) AS rank FROM scored WHERE score > 0)
 SELECT target_id, rank, job_id, {floor_sql('score', 4)} AS similarity_score FROM numbered WHERE rank <= 10""")
 def similar_jobs(spark, d):
-    skills = job_skills(spark, d)
-    first = [r[0] for r in skills.select("job_id").distinct().orderBy("job_id").limit(3).collect()]
-    return rec.similar_jobs(skills, first)
+    sets = index(spark, d)
+    first = [r[0] for r in sets.select("job_id").orderBy("job_id").limit(3).collect()]
+    return rec.similar_jobs(sets, first)
 
 
 @query("skill_gap", f"""WITH {SKILLS_CTE}, sets AS (SELECT job_id, list_sort(list_distinct(list(skill_name))) AS skills FROM job_skills GROUP BY 1)
 SELECT job_id, list_filter(skills, lambda x: list_contains(['Python', 'SQL', 'AWS'], x)) AS matched_skills,
   list_filter(skills, lambda x: NOT list_contains(['Python', 'SQL', 'AWS'], x)) AS missing_skills FROM sets""")
 def skill_gap(spark, d):
-    return rec.skill_gap(job_skills(spark, d), ["Python", "SQL", "AWS"])
+    return rec.skill_gap(rec.skill_sets(job_skills(spark, d)), ["Python", "SQL", "AWS"])
 
 
 @query("index_size", f"WITH {SKILLS_CTE} SELECT count(DISTINCT job_id) AS n_jobs, count(DISTINCT skill_name) AS n_skills FROM job_skills")

@@ -114,7 +114,7 @@ def source_log(spark, d):
 def export_files(spark, d):
     path = scratch(spark, "export")
     jobs = postings(spark, d).select("job_id", F.col("city_raw").alias("city"))
-    files.export(rec.recommend(job_skills(spark, d), jobs, CANDIDATES).drop("city"), path)
+    files.export(rec.recommend(rec.build_index(job_skills(spark, d)), jobs, CANDIDATES).drop("city"), path)
     back = spark.read.schema("profile_id string, rank int, job_id string, similarity_score double, matched_skills string, missing_skills string").options(
         header=True, escape='"').csv(path)
     return back.na.fill("", ["matched_skills", "missing_skills"])

@@ -76,7 +76,7 @@ FROM (SELECT l_orderkey, min({'l_shipdate': l_shipdate, 'l_linenumber': l_linenu
       FROM lineitem GROUP BY 1) GROUP BY 1""")
 def keep_first(spark, d):
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey")
-    kept = mg.keep_first(lines, ["l_orderkey"], ["l_shipdate", "l_linenumber"])
+    kept = mg.keep_first(lines, ["l_orderkey"], ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"])
     return kept.withColumn("shipped", F.date_format("l_shipdate", "yyyy-MM-dd")).drop("l_shipdate")
 
 

@@ -66,6 +66,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str = "stage") -> DataFrame:
+    """The frame as a Parquet table under the shared folder, for results read more
+    than once: computed once, scanned by column, safe when executors are lost."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores when a scan yields fewer tasks than there are cores.
 

@@ -125,6 +125,14 @@ def _k(div: int, mod: int, key: str = "k") -> Column:
     return F.expr(f"({key} div {div}) % {mod}")
 
 
+def _one_of(index: Column, options: list[Column]) -> Column:
+    """Only the chosen option is rendered."""
+    out = F.when(index == 0, options[0])
+    for i, option in enumerate(options[1:], 1):
+        out = out.when(index == i, option)
+    return out
+
+
 def postings(spark: SparkSession, sf_dir: str, company: bool = False) -> DataFrame:
     """One posting per order.  ``company=True`` joins the company's name and industry."""
     orders = table(spark, sf_dir, "orders")
@@ -176,8 +184,8 @@ def postings(spark: SparkSession, sf_dir: str, company: bool = False) -> DataFra
         LEVEL.written("k").alias("level_raw"),
         EDUCATION.written("k").alias("education_raw"),
         SITE.written("k").alias("source_site"),
-        F.element_at(F.array(*salary), _k(1, N_SALARY_FORMS).cast("int") + 1).alias("salary_raw"),
-        F.element_at(F.array(*experience), _k(N_SALARY_FORMS, N_EXPERIENCE_FORMS).cast("int") + 1).alias("experience_raw"),
+        _one_of(_k(1, N_SALARY_FORMS), salary).alias("salary_raw"),
+        _one_of(_k(N_SALARY_FORMS, N_EXPERIENCE_FORMS), experience).alias("experience_raw"),
         "posted_at",
     )
     if company:

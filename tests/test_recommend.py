@@ -17,7 +17,7 @@ def jobs(spark):
 
 
 def run(skills, jobs, wish, top=10, **kw):
-    return rec.recommend(skills, jobs, [rec.Profile("p", tuple(wish), **kw)], top).orderBy("rank").collect()
+    return rec.recommend(rec.build_index(skills), jobs, [rec.Profile("p", tuple(wish), **kw)], top).orderBy("rank").collect()
 
 
 def test_best_first_with_matched_and_missing(skills, jobs):
@@ -40,24 +40,24 @@ def test_filters(skills, jobs):
 
 
 def test_similar(skills):
-    got = rec.similar_jobs(skills, ["j1"], 2).collect()
+    got = rec.similar_jobs(rec.build_index(skills), ["j1"], 2).collect()
     assert [(r.job_id, r.similarity_score) for r in got] == [("j3", 0.5774)]
     with pytest.raises(ValueError):
-        rec.similar_jobs(skills, ["nowhere"])
+        rec.similar_jobs(rec.build_index(skills), ["nowhere"])
 
 
 def test_table_of_profiles_agrees_with_the_list(spark, skills, jobs):
     profiles = spark.createDataFrame([("a", ["Python", "SQL"], "HCMC", None), ("b", ["Java", "Nothing"], None, None), ("c", ["Python"], None, 1.0),
                                       ("d", ["SQL", "Python"], "hcmc", None)],
                                      "profile_id string, skills array<string>, city string, years double")
-    got = {(r.profile_id, r.rank, r.job_id, r.similarity_score) for r in rec.recommend_table(skills, jobs, profiles, 2).collect()}
+    got = {(r.profile_id, r.rank, r.job_id, r.similarity_score) for r in rec.recommend_table(rec.build_index(skills), jobs, profiles, 2).collect()}
     listed = [rec.Profile(r.profile_id, tuple(r.skills), r.city, r.years) for r in profiles.collect()]
-    want = {(r.profile_id, r.rank, r.job_id, r.similarity_score) for r in rec.recommend(skills, jobs, listed, 2).collect() if r.similarity_score > 0}
+    want = {(r.profile_id, r.rank, r.job_id, r.similarity_score) for r in rec.recommend(rec.build_index(skills), jobs, listed, 2).collect() if r.similarity_score > 0}
     assert got == want
 
 
 def test_sizes_and_export(skills, jobs):
     assert tuple(rec.index_size(skills).first()) == (3, 7)
-    row = rec.for_export(rec.recommend(skills, jobs, [rec.Profile("p", ("Python", "SQL"))], 1)).first()
+    row = rec.for_export(rec.recommend(rec.build_index(skills), jobs, [rec.Profile("p", ("Python", "SQL"))], 1)).first()
     assert row.matched_skills == "Python; SQL"
-    assert {r.job_id: r.missing_skills for r in rec.skill_gap(skills, ["Java"]).collect()}["j2"] == ["Spring"]
+    assert {r.job_id: r.missing_skills for r in rec.skill_gap(rec.skill_sets(skills), ["Java"]).collect()}["j2"] == ["Spring"]
