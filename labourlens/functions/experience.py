@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labourlens.dictionaries import EXPERIENCE_BINS, EXPERIENCE_CENTRES, EXPERIENCE_EDGES
-from labourlens.functions.text import col, folded
+from labourlens.functions.text import col, folded, let
 
 # --- fixed values ---------------------------------------------------------------
 NUM = r"(\d+(?:\.\d+)?)"
@@ -23,31 +23,32 @@ PLAIN = NUM + r"\s*(?:năm|nam|year|yr|tuổi)"
 
 def years(source: str | Column) -> Column:
     """Years of experience; null when the text says nothing readable."""
-    text = folded(source)
-
-    def value(pattern: str, index: int = 1) -> Column:
-        return F.regexp_extract(text, pattern, index).try_cast("double")
-
-    return (
-        F.when(text.rlike(ZERO), F.lit(0.0))
-        .when(text.rlike(RANGE), (value(RANGE, 1) + value(RANGE, 2)) / 2)
-        .when(text.rlike(FROM), value(FROM))
-        .when(text.rlike(UP_TO), value(UP_TO) / 2)
-        .when(text.rlike(PLUS), value(PLUS))
-        .when(text.rlike(PLAIN), value(PLAIN))
-        .when(text.rlike(ZERO_UNACCENTED), F.lit(0.0))
-    )
+    def read(text: Column) -> Column:
+        def value(pattern: str, index: int = 1) -> Column:
+            return F.regexp_extract(text, pattern, index).try_cast("double")
+
+        return (
+            F.when(text.rlike(ZERO), F.lit(0.0))
+            .when(text.rlike(RANGE), (value(RANGE, 1) + value(RANGE, 2)) / 2)
+            .when(text.rlike(FROM), value(FROM))
+            .when(text.rlike(UP_TO), value(UP_TO) / 2)
+            .when(text.rlike(PLUS), value(PLUS))
+            .when(text.rlike(PLAIN), value(PLAIN))
+            .when(text.rlike(ZERO_UNACCENTED), F.lit(0.0))
+        )
+    return let(folded(source), read)
 
 
 def experience_bin(value: str | Column, missing: str = "unknown") -> Column:
     """Half-open bins; a negative value falls through to the last one."""
-    y = col(value)
-    out = F.when(y.isNull(), F.lit(missing))
-    low = 0.0
-    for edge, label in zip(EXPERIENCE_EDGES, EXPERIENCE_BINS):
-        out = out.when((y >= low) & (y < edge), F.lit(label))
-        low = edge
-    return out.otherwise(F.lit(EXPERIENCE_BINS[-1]))
+    def binned(y: Column) -> Column:
+        out = F.when(y.isNull(), F.lit(missing))
+        low = 0.0
+        for edge, label in zip(EXPERIENCE_EDGES, EXPERIENCE_BINS):
+            out = out.when((y >= low) & (y < edge), F.lit(label))
+            low = edge
+        return out.otherwise(F.lit(EXPERIENCE_BINS[-1]))
+    return let(col(value), binned)
 
 
 def nearest_bin(value: float) -> str:

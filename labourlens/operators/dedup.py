@@ -84,6 +84,13 @@ def _heads(keyed: DataFrame, n: int) -> DataFrame:
     return keyed.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")
 
 
+def _shared(keys: DataFrame) -> DataFrame:
+    """Keys that more than one row carries; a row without one has no candidates
+    and is kept without taking part."""
+    keys = cut(keys)
+    return cut(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi"))
+
+
 def leader_duplicates(rows: DataFrame, keys: DataFrame, score: Score, threshold: float, heads: int = HEADS) -> DataFrame:
     """Greedy leaders in arrival order: a row is dropped iff an earlier *kept* row
     matches it.  ``rows(ord, block, payload)``, ``keys(key, ord)``.
@@ -93,31 +100,56 @@ def leader_duplicates(rows: DataFrame, keys: DataFrame, score: Score, threshold:
     matches, both leave, and the number of heads doubles.  Every round keeps at
     least the first open row of every key set, so the loop ends.
     """
-    open_ = cut(keys)
-    rows = cut(rows)
+    open_ = _shared(keys)
+    rows = cut(rows.join(open_.select("ord").distinct(), "ord", "left_semi"))
     found: DataFrame | None = None
     while True:
+        longest = open_.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if longest <= heads:
+            rest = _resolve(cut(_pairs(open_, open_, rows, score, threshold)))
+            return rest if found is None else found.unionByName(rest)
         head = cut(_heads(open_, heads))
         edges = cut(_pairs(head, open_, rows, score, threshold))
         n_keys = open_.groupBy("ord").agg(F.count("*").alias("n"))
         n_head = head.groupBy("ord").agg(F.count("*").alias("h"))
         compared = n_keys.join(n_head, "ord").where("n = h").select("ord")
         kept = compared.join(edges.select(F.col("b").alias("ord")).distinct(), "ord", "left_anti")
-        dropped = cut(
-            edges.join(kept.select(F.col("ord").alias("a")), "a", "left_semi")
-            .groupBy("b").agg(F.min(F.struct("a", "score")).alias("x"))
-            .select(F.col("b").alias("ord"), F.col("x.a").alias("kept_ord"), F.col("x.score").alias("score")))
+        dropped = _dropped_by(edges, kept.select(F.col("ord").alias("a")))
         found = dropped if found is None else found.unionByName(dropped)
         open_ = cut(open_.join(kept, "ord", "left_anti").join(dropped.select("ord"), "ord", "left_anti"))
-        if open_.isEmpty():
-            return found
         heads *= 2
 
 
+def _dropped_by(edges: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows matched by a kept row, with the earliest such row."""
+    hits = edges.join(kept, "a", "left_semi").groupBy("b").agg(F.min(F.struct("a", "score")).alias("x"))
+    return cut(hits.select(F.col("b").alias("ord"), F.col("x.a").alias("kept_ord"), F.col("x.score").alias("score")))
+
+
+def _resolve(edges: DataFrame) -> DataFrame:
+    """Greedy leaders when all matches (a earlier, b) are known.
+
+    A row with no earlier match left is kept and drops its matches; edges of
+    settled rows go, until none is left.
+    """
+    found: DataFrame | None = None
+    while True:
+        kept = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        dropped = _dropped_by(edges, kept)
+        found = dropped if found is None else found.unionByName(dropped)
+        gone = dropped.select("ord")
+        edges = cut(
+            edges.join(kept, "a", "left_anti")
+            .join(gone.withColumnRenamed("ord", "b"), "b", "left_anti")
+            .join(gone.withColumnRenamed("ord", "a"), "a", "left_anti").select("a", "b", "score"))
+        if edges.isEmpty():
+            return found
+
+
 def earlier_duplicates(rows: DataFrame, keys: DataFrame, score: Score, threshold: float, heads: int = HEADS) -> DataFrame:
     """A row is dropped iff *any* earlier row in its block matches it."""
-    targets = sources = cut(keys)
-    rows = cut(rows)
+    targets = sources = _shared(keys)
+    rows = cut(rows.join(sources.select("ord").distinct(), "ord", "left_semi"))
     found: DataFrame | None = None
     while True:
         head = cut(_heads(sources, heads))
@@ -193,10 +225,13 @@ def find_duplicates(df: DataFrame, company: str = "company_name", title: str = "
     rows = cut(df.select("ord", *{c for c in (company, title, job_id, text) if c and c in df.columns}))
     found = cut(by_id(rows, job_id))
     if title in rows.columns and company in rows.columns:
-        found = cut(found.unionByName(by_title_company(without(rows, found), title, company)))
-        found = cut(found.unionByName(near_titles(without(rows, found), title, company, title_threshold)))
+        rows = without(rows, found)
+        same = cut(by_title_company(rows, title, company))
+        rows = cut(without(rows, same))
+        near = near_titles(rows, title, company, title_threshold)
+        found = found.unionByName(same).unionByName(near)
         if text and text in rows.columns:
-            found = cut(found.unionByName(near_descriptions(without(rows, found), text, company, text_threshold)))
+            found = found.unionByName(near_descriptions(without(rows, near), text, company, text_threshold))
     return found
 
 

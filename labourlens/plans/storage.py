@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from labourlens.operators import quality as ql
+from labourlens.operators.harvest import run_harvest
 from labourlens.operators import records as rc
 from labourlens.operators import recommend as rec
 from labourlens.plans.matching import CANDIDATES, _sql
 from labourlens.plans.normalize import parsed
 from labourlens.plans.registry import query
 from labourlens.plans.tables import raw_records
-from labourlens.schemas import SKILL
+from labourlens.schemas import COMPANY, SKILL
 from labourlens.session import scratch
 from labourlens.sources import files
 from labourlens.sources.adapters import POSTINGS_CTE, SKILLS_CTE, job_skills, postings, table
@@ -159,3 +160,33 @@ def stream_distinct(spark, d):
     (once.writeStream.format("parquet").option("path", path).option("checkpointLocation", check)
      .trigger(availableNow=True).start().awaitTermination())
     return spark.read.parquet(path).agg(F.count("*").alias("n"))
+
+
+@query("harvest_merge", f"""WITH {POSTINGS_CTE}, f AS (SELECT min(k) AS k FROM postings GROUP BY job_title, custkey),
+n AS (SELECT count(*) AS n FROM f)
+SELECT harvest_no, n AS n_jobs, CASE harvest_no WHEN 1 THEN n ELSE 0 END AS n_new FROM n, (VALUES (1), (2)) v(harvest_no)""")
+def harvest_merge(spark, d):
+    """The same harvest merged twice: the second time brings nothing new.
+
+    Near matching is set to equality, which leaves the exact phases.
+    """
+    root = scratch(spark, "harvest")
+    raw = raw_records(spark, d).withColumn("description_raw", F.lit(""))
+    runs = [run_harvest(spark, raw, root, i, f"2024010{i}_000000", title_threshold=1.0, text_threshold=1.0) for i in (1, 2)]
+    return spark.createDataFrame([(i + 1, r["n_jobs"], r["n_new"]) for i, r in enumerate(runs)],
+                                 "harvest_no int, n_jobs long, n_new long")
+
+
+@query("raw_companies_csv", f"""WITH {POSTINGS_CTE} SELECT 'comp_' || substr(md5(c_name), 1, 8) AS company_id, c_name AS company_name, source_site
+FROM postings JOIN customer ON c_custkey = custkey GROUP BY c_name, source_site""")
+def raw_companies_csv(spark, d):
+    path = scratch(spark, "raw-companies")
+    files.write_raw(rc.company_rows(rc.normalize_batch(raw_records(spark, d), "ord")), path)
+    return files.read_raw_csv(spark, path, COMPANY).select("company_id", "company_name", "source_site")
+
+
+@query("page_archive", "SELECT page_id, url, length(html) AS n_chars FROM pages")
+def page_archive(spark, d):
+    path = scratch(spark, "pages")
+    files.write_pages(table(spark, d, "pages"), path)
+    return files.newest_file(spark, path).select("page_id", "url", F.length("html").alias("n_chars"))

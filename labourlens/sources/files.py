@@ -6,7 +6,7 @@ import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
@@ -31,19 +31,29 @@ def read_raw_csv(spark: SparkSession, paths: str | Sequence[str], schema: Struct
                  policy: str = "empty") -> DataFrame:
     """All matching raw files stacked; an empty table when there is none.
 
+    Columns are matched by their header name and typed by ``schema``.
     ``list_columns`` hold list literals as text and come back as arrays.
     """
-    flat = StructType([
-        StructField(f.name, StringType() if isinstance(f.dataType, (ArrayType, MapType)) else f.dataType) for f in schema])
     try:
-        df = spark.read.options(**CSV).schema(flat).csv(paths)
+        text = spark.read.options(**CSV).csv(paths)  # all columns as text, named by the header
     except AnalysisException as error:
         if _missing(error):
             return empty(spark, schema)
         raise
+    df = text.select(*[_typed(text, f) for f in schema])
     return df.withColumns({c: list_decode(c, policy) for c in list_columns}) if list_columns else df
 
 
+def _typed(text: DataFrame, field: StructField) -> Column:
+    """A text column as its declared type; null when absent or unreadable."""
+    if field.name not in text.columns:
+        return F.lit(None).cast(field.dataType).alias(field.name)
+    value = F.col(field.name).cast("string")
+    if isinstance(field.dataType, (ArrayType, MapType, StringType)):
+        return value.alias(field.name)
+    return value.try_cast(field.dataType).alias(field.name)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A stored table, or an empty one of the same schema if there is none yet."""
     try:
@@ -62,8 +72,9 @@ def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 
 def newest_file(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the last written file set under a folder, by modification time."""
-    stored = spark.read.parquet(path).select("*", F.col("_metadata.file_modification_time").alias("_t"))
+    """Rows of the last written files under a folder, by modification time to the second."""
+    seconds = F.date_trunc("second", F.col("_metadata.file_modification_time"))
+    stored = spark.read.parquet(path).select("*", seconds.alias("_t"))
     return stored.where(F.col("_t") == stored.agg(F.max("_t")).scalar()).drop("_t")
 
 
@@ -113,6 +124,11 @@ def write_snapshot(df: DataFrame, path: str, snapshot_ts: str) -> None:
     df.write.mode("overwrite").parquet(f"{path}/snapshot_ts={snapshot_ts}")
 
 
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Page archive as a table, one row per page."""
+    pages.select(*PAGE.fieldNames()).write.mode("append").parquet(path)
+
+
 def replace_table(df: DataFrame, root: str, version: str) -> str:
     """Write a full new version of a table and return its path.
 

@@ -84,3 +84,21 @@ def test_late_rows_are_dropped(spark, tmp_path):
     run(["2024-01-01 07:00:00", "2024-01-10 03:00:00"])  # nine days late, and on time
     got = {str(r.period)[:10]: r.n for r in st.latest_counts(spark, path).collect()}
     assert got == {"2024-01-01": 2, "2024-01-10": 2}
+
+
+def test_harvest_twice_and_gate(spark):
+    from labourlens.operators.harvest import run_harvest
+    from labourlens.schemas import RAW_POSTING
+    row = {"job_id": "itviec_abcd1234", "job_title": "Backend Developer", "company_name": "FPT", "source_site": "itviec",
+           "salary_raw": "10-15 triệu", "description_raw": "Python Django", "skills_raw": ["Python"]}
+    raw = spark.createDataFrame([tuple(row.get(f) for f in RAW_POSTING.fieldNames())], RAW_POSTING).withColumn("ord", F.lit(0))
+    root = scratch(spark, "t-harvest")
+    with pytest.raises(RuntimeError, match="below threshold"):
+        run_harvest(spark, raw, root, 1, "t0", minimum=2)
+    assert files.read_or_empty(spark, f"{root}/version=1", ROW).count() == 0
+    first = run_harvest(spark, raw, root, 1, "t1", sites=["itviec", "glints"])
+    second = run_harvest(spark, raw, root, 2, "t2", sites=["itviec"])
+    assert (first["n_jobs"], first["n_new"], second["n_jobs"], second["n_new"]) == (1, 1, 1, 0)
+    assert first["src_counts"] == {"itviec": 1, "glints": 0}
+    assert files.read_runs(spark, f"{root}-runs").count() == 2
+    assert spark.read.parquet(second["path"]).first().skills == ["Python"]
