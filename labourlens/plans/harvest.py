@@ -164,20 +164,20 @@ def page_cards(spark, d):
 
 
 @query("page_cards_fallback", f"""WITH {POSTINGS_CTE} SELECT custkey + 3000000000 * (k // 5000) AS page_id, job_title_raw AS job_title,
-  CASE WHEN custkey % 3 = 1 THEN 'state' ELSE 'cards' END AS origin FROM postings WHERE custkey % 3 < 2""")
+  CASE WHEN custkey % 3 = 1 THEN 'state' ELSE 'cards' END AS origin FROM postings""")
 def page_cards_fallback(spark, d):
     """Pages with state use it; pages with cards only fall back to them."""
     from_state = _state_page(spark, d, 1, _STATE["vietnamworks"][1])
-    only_cards = card_pages(spark, d).where("page_id % 3 = 0").withColumn(
+    only_cards = card_pages(spark, d).where("page_id % 3 <> 1").withColumn(
         "html", F.regexp_replace(F.regexp_replace("html", "job-item-search-result", "job-item"), "title big", "job-title"))
     found = pg.state_or_card_postings(from_state.unionByName(only_cards), "vietnamworks")
     return found.select("page_id", "job_title", F.when(F.size("skills_raw") > 0, "state").otherwise("cards").alias("origin"))
 
 
-@query("page_without_state", "SELECT DISTINCT o_custkey + 3000000000 * (o_orderkey // 5000) AS page_id FROM orders WHERE o_custkey % 3 = 0")
+@query("page_without_state", "SELECT DISTINCT o_custkey + 3000000000 * (o_orderkey // 5000) AS page_id FROM orders WHERE o_custkey % 3 <> 1")
 def page_without_state(spark, d):
     good = _state_page(spark, d, 1, _STATE["vietnamworks"][1])
-    bare = card_pages(spark, d).where("page_id % 3 = 0")
+    bare = card_pages(spark, d).where("page_id % 3 <> 1")
     return pg.without_app_state(good.unionByName(bare)).select("page_id")
 
 

@@ -117,16 +117,19 @@ def recommend_table(spark, d):
     return rec.recommend_table(index(spark, d), jobs, profiles, 3)
 
 
-@query("similar_jobs", f"""WITH {SKILLS_CTE}, sets AS (SELECT job_id, list_distinct(list(skill_name)) AS skills FROM job_skills GROUP BY 1),
+# Targets: the newest posting of every site, as a reader of that site would open it.
+@query("similar_jobs", f"""WITH {POSTINGS_CTE}, {SKILLS_CTE}, sets AS (SELECT job_id, list_distinct(list(skill_name)) AS skills FROM job_skills GROUP BY 1),
 scored AS (SELECT t.job_id AS target_id, s.job_id, len(list_intersect(s.skills, t.skills)) / sqrt(len(t.skills) * len(s.skills)) AS score,
   pow(len(list_intersect(s.skills, t.skills)), 2) / len(s.skills) AS fit
-  FROM sets s, (SELECT * FROM sets ORDER BY job_id LIMIT 3) t WHERE s.job_id <> t.job_id),
+  FROM sets s, (SELECT sets.* FROM sets JOIN postings USING (job_id) QUALIFY row_number() OVER (PARTITION BY source_site ORDER BY posted_at DESC, job_id DESC) = 1) t
+  WHERE s.job_id <> t.job_id),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY fit DESC, job_id) AS rank FROM scored WHERE score > 0)
 SELECT target_id, rank, job_id, {floor_sql('score', 4)} AS similarity_score FROM numbered WHERE rank <= 10""")
 def similar_jobs(spark, d):
     sets = index(spark, d)
-    first = [r[0] for r in sets.select("job_id").orderBy("job_id").limit(3).collect()]
-    return rec.similar_jobs(sets, first)
+    newest = (postings(spark, d).select("job_id", "source_site", "posted_at").join(sets.select("job_id"), "job_id")
+              .groupBy("source_site").agg(F.max_by("job_id", F.struct("posted_at", "job_id")).alias("job_id")))
+    return rec.similar_jobs(sets, [r["job_id"] for r in newest.collect()])  # one row per site
 
 
 @query("skill_gap", f"""WITH {SKILLS_CTE}, sets AS (SELECT job_id, list_sort(list_distinct(list(skill_name))) AS skills FROM job_skills GROUP BY 1)
