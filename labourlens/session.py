@@ -18,16 +18,16 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Keep splitting hot join partitions even where it costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Call sites per column cost more than the columns when expressions are long.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
+# Fixed at start-up: call sites per column cost more than the columns when expressions are long.
+STARTUP_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def build(app: str = "labourlens", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    for key, value in {**RUNTIME_CONF, **STARTUP_CONF, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
