@@ -160,7 +160,7 @@ def earlier_duplicates(rows: DataFrame, keys: DataFrame, score: Score, threshold
         found = dropped if found is None else found.unionByName(dropped)
         sources = cut(sources.join(head, ["key", "ord"], "left_anti"))
         targets = cut(targets.join(dropped.select("ord"), "ord", "left_anti"))
-        if sources.isEmpty():
+        if sources.isEmpty() or targets.isEmpty():
             return found
         heads *= 2
 

@@ -15,7 +15,7 @@ from labourlens.plans.normalize import parsed
 from labourlens.plans.registry import query
 from labourlens.session import spread, stored
 from labourlens.sources.adapters import (
-    BIN_SQL, COMPANIES_CTE, POSTINGS_CTE, SKILLS_CTE, companies, floor_sql, job_skills, table,
+    BIN_SQL, POSTINGS_CTE, SKILLS_CTE, companies, floor_sql, job_skills, table,
 )
 
 BIN = BIN_SQL.format("experience_years")

@@ -8,7 +8,6 @@ from labourlens.dictionaries import EXPERIENCE_BINS, REMOTE_OPTIONS
 from labourlens.functions import category
 from labourlens.functions.experience import experience_bin, mixed_years
 from labourlens.functions.keys import month
-from labourlens.functions.salary import normalize_salary
 from labourlens.functions.text import floor_round
 from labourlens.functions.title import add_title
 from labourlens.operators import profile as pr
@@ -16,7 +15,7 @@ from labourlens.operators.skills import normalize_skills
 from labourlens.plans.normalize import parsed
 from labourlens.plans.registry import query
 from labourlens.sources.adapters import (
-    BIN_SQL, POSTINGS_CTE, SKILLS_CTE, companies, floor_sql, posting_skills, postings, table,
+    BIN_SQL, POSTINGS_CTE, SKILLS_CTE, floor_sql, posting_skills, postings, table,
 )
 
 BIN = BIN_SQL.format("experience_years")

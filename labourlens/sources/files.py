@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
-from labourlens.functions.text import blank_to_null
 from labourlens.operators.merge import list_decode
 from labourlens.schemas import PAGE, RUN
 
@@ -161,7 +160,3 @@ def export(df: DataFrame, path: str, fmt: str = "csv") -> None:
         df.write.mode("overwrite").json(path)
     else:
         raise ValueError(f"unknown export format {fmt!r}")
-
-
-def non_blank(df: DataFrame, column: str) -> DataFrame:
-    return df.where(blank_to_null(column).isNotNull())

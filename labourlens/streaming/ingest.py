@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from labourlens.operators.merge import keep_first
 from labourlens.sources.files import read_or_empty
 
 BUCKETS = 64
+FOLDERS = [StructField("batch_id", LongType()), StructField("key_bucket", IntegerType())]
 
 
 def merge_batch(batch: DataFrame, history: DataFrame, key: str, order: str) -> DataFrame:
@@ -32,7 +33,7 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, key: str, order: str,
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stored = StructType([*schema, *_ids()])
+        stored = StructType([*schema, *FOLDERS])
         history = read_or_empty(spark, path, stored).where(F.col("batch_id") != batch_id)
         fresh = _bucketed(merge_batch(batch, history, key, order), key)
         fresh.write.mode("overwrite").partitionBy("key_bucket").parquet(f"{path}/batch_id={batch_id}")
@@ -41,14 +42,9 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, key: str, order: str,
             .trigger(availableNow=True).start())
 
 
-def _ids():
-    from pyspark.sql.types import IntegerType, LongType, StructField
-    return [StructField("batch_id", LongType()), StructField("key_bucket", IntegerType())]
-
-
 def new_per_batch(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """How many new rows each batch brought."""
-    stored = read_or_empty(spark, path, StructType([*schema, *_ids()]))
+    stored = read_or_empty(spark, path, StructType([*schema, *FOLDERS]))
     return stored.groupBy("batch_id").agg(F.count("*").alias("n_new"))
 
 
