@@ -1,4 +1,4 @@
-"""Name -> query, and name -> reference SQL over the same tables."""
+"""Name -> query, and name -> the SQL it must equal over the same tables."""
 
 from __future__ import annotations
 
