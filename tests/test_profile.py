@@ -97,3 +97,18 @@ def test_importances_and_clusters(spark):
     labelled = cl.fit_kmeans(df, 3, starts=3).transform(df)
     assert labelled.groupBy((F.col("i") % 3).alias("m")).agg(F.countDistinct("cluster").alias("n")).agg(F.max("n")).first()[0] == 1
     assert -1 <= cl.silhouette(labelled) <= 1 and cl.plane(df).count() == 120
+
+
+def test_cross_validation_and_cluster_matrix(spark):
+    from labourlens.operators import cluster as cl
+    rnd = random.Random(8)
+    rows = [(f"j{i}", x, "HCMC" if i % 2 else None, "Full-time", "Remote", 10 + 2 * x + rnd.gauss(0, 0.5)) for i, x in
+            enumerate(rnd.uniform(0, 9) for _ in range(200))]
+    df = spark.createDataFrame(rows, "job_id string, experience_years double, city string, job_type string, remote_option string, salary_mid double")
+    cv = md.cross_validate("linear", ft.prepare_target(df), folds=3).first()
+    assert cv.folds == 3 and 0.3 < cv.cv_rmse_mean < 0.8 and cv.cv_rmse_std < 0.3
+    skills = spark.createDataFrame([("j1", "SQL"), ("j1", "Go"), ("j2", "SQL"), ("j2", "SQL")], "job_id string, skill_name string")
+    got = {r.job_id: list(r.features.toArray()) for r in cl.cluster_matrix(df, skills).where("job_id in ('j1', 'j2', 'j3')").collect()}
+    # two numbers, two cities, one contract, one place, two skills (SQL is the commoner)
+    assert got["j1"][2:] == [1, 0, 1, 1, 1, 1] or got["j1"][2:] == [0, 1, 1, 1, 1, 1]
+    assert got["j2"][-2:] == [2, 0] and got["j3"][-2:] == [0, 0]
