@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 MARK = "▁"
 WIDEST = 48
 #: Characters handled in one numpy step; bounds a worker's memory whatever the batch holds.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 1_000_000
 NONE = np.int32(2**31 - 1)
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 

@@ -10,7 +10,7 @@ Documents are sorted by key over all shards (range exchange, then a sort inside
 batches come, so memory holds a batch and a number per document.  A task writes under a name of its own and renames the file
 when it is complete: a repeated task overwrites with the same bytes.  The folder must be one that every executor reaches.
 
-Words are encoded once per task and looked up afterwards: the tokenizer drops white space and never joins over it, so a
+Words are encoded once per worker process and looked up afterwards: the tokenizer drops white space and never joins over it, so a
 text's ids are its words' ids in turn (the tests compare with whole texts).
 
 Defined results: a null text counts as empty and has only the end id; null keys come first, then ascending keys, repeated
@@ -19,11 +19,16 @@ keys in the order of their texts; no rows give no files and no rows.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +42,8 @@ MAGIC = b"LLTOKEN1"
 TAIL = "<qqqqqqq8s"  # id bytes, bytes per id, null keys, least key, keys' place, boundaries' place, documents, magic
 SELECT = 512
 DOCS_PER_SHARD = 200_000
-CACHE_WORDS = 1_000_000
+#: Words that a worker process remembers, some 150 bytes each.
+CACHE_WORDS = 600_000
 
 
 class EliasFano:
@@ -92,60 +98,131 @@ class EliasFano:
         return cls(n, width, part(at, a, np.uint8), part(at + a, b, np.uint8), part(at + a + b, c, np.uint32 if item == 4 else np.uint64))
 
 
+#: The split of a word into parts that are encoded by themselves, as the tokenizer file states it, and the same for lower-case
+#: words of plain characters: there, lowering and composing change single characters only.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN_PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+PLAIN_WORD = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+
+
+class Lists:
+    """Growing lists of ids, end to end."""
+
+    def __init__(self) -> None:
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.sizes, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + len(sizes) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.n : self.n + len(sizes)] = sizes
+        self.used, self.n = self.used + len(ids), self.n + len(sizes)
+
+    def keep(self, n: int) -> None:
+        self.n, self.used = n, int(self.starts[n - 1] + self.sizes[n - 1])
+
+    def take(self, place: np.ndarray) -> np.ndarray:
+        """The lists at the given places, end to end."""
+        sizes = self.sizes[place]
+        ends = np.cumsum(sizes)
+        run = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+        return self.flat[np.repeat(self.starts[place], sizes) + run]
+
+
 class WordEncoder:
-    """Ids of texts, by a cache of words."""
+    """Ids of texts, by a cache of words, which are made of a cache of word parts.
+
+    Full caches keep what they learnt first, which holds nearly all frequent words."""
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
-        self._clear()
-
-    def _clear(self) -> None:
+        spec = json.loads(tokenizer)
+        names = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        # parts are taken only where the file states the rules they follow
+        self.in_parts = names == ["NFC", "Replace", "Lowercase"] and first.get("pattern") == {"Regex": SPLIT} and first.get("invert") is True
+        self.marks = [t["content"] for t in spec.get("added_tokens", [])]
         self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.words = Lists()
+        self.known_parts: dict[str, int] = {}
+        self.parts = Lists()
+
+    def _encode_each(self, strings: list[str], into: Lists) -> None:
+        for at in range(0, len(strings), 5_000):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(strings[at : at + 5_000], add_special_tokens=False)]
+            into.add(np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
 
     def _learn(self, words: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.array([len(x) for x in encoded], np.int64)
-        total, n = int(sizes.sum()), len(self.known)
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(words) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        self.flat[self.used : self.used + total] = [i for x in encoded for i in x]
-        self.starts[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[n : n + len(words)] = sizes
-        self.known.update((w, n + i) for i, w in enumerate(words))
-        self.used += total
+        plain = [w for w in words if self.in_parts and PLAIN_WORD.fullmatch(w) and not any(m in w for m in self.marks)]
+        if plain:
+            split = [PLAIN_PART.findall(w.lower()) for w in plain]
+            new = [p for p in dict.fromkeys(chain.from_iterable(split)) if p not in self.known_parts]
+            if new:
+                n = self.parts.n
+                self._encode_each(new, self.parts)
+                self.known_parts.update(zip(new, range(n, n + len(new)), strict=True))
+            place = np.fromiter(map(self.known_parts.__getitem__, chain.from_iterable(split)), np.int64)
+            counts = np.fromiter(map(len, split), np.int64, len(split))
+            ends = np.concatenate([[0], np.cumsum(self.parts.sizes[place])])
+            upto = np.cumsum(counts)
+            n = self.words.n
+            self.words.add(self.parts.take(place), ends[upto] - ends[upto - counts])
+            self.known.update(zip(plain, range(n, n + len(plain)), strict=True))
+        rest = words if not plain else [w for w in words if w not in self.known]
+        if rest:
+            n = self.words.n
+            self._encode_each(rest, self.words)
+            self.known.update(zip(rest, range(n, n + len(rest)), strict=True))
+
+    def _forget(self) -> None:
+        """Back to the first half of a full cache."""
+        half = CACHE_WORDS // 2
+        if len(self.known) > CACHE_WORDS:
+            self.known = dict(islice(self.known.items(), half))
+            self.words.keep(half)
+        if len(self.known_parts) > CACHE_WORDS:
+            self.known_parts = dict(islice(self.known_parts.items(), half))
+            self.parts.keep(half)
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, each text's followed by ``end_id``, and how many each text has."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         words = split.flatten().dictionary_encode()
         distinct = words.dictionary.to_pylist()
-        if len(self.known) > CACHE_WORDS:
-            self._clear()
-        new = [w for w in distinct if w not in self.known]
+        self._forget()
+        get = self.known.get
+        own = [get(w, -1) for w in distinct]
+        new = [w for w, i in zip(distinct, own, strict=True) if i < 0]
         if new:
             self._learn(new)
-        place = np.array([self.known[w] for w in distinct], np.int64)[words.indices.to_numpy()] if distinct else np.zeros(0, np.int64)
-        sizes = self.sizes[place]
+            own = [get(w) if i < 0 else i for w, i in zip(distinct, own, strict=True)]
+        place = np.array(own, np.int64)[words.indices.to_numpy()] if distinct else np.zeros(0, np.int64)
         offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
-        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ends = np.concatenate([[0], np.cumsum(self.words.sizes[place])])
         counts = ends[offsets[1:]] - ends[offsets[:-1]] + 1
         out = np.empty(int(counts.sum()), np.uint32)
         last = np.cumsum(counts) - 1
         out[last] = end_id
         body = np.ones(len(out), bool)
         body[last] = False
-        run = np.arange(ends[-1]) - np.repeat(ends[:-1], sizes)
-        out[body] = self.flat[np.repeat(self.starts[place], sizes) + run]
+        out[body] = self.words.take(place)
         return out, counts
 
 
+def encoder_of(tokenizer: str) -> WordEncoder:
+    """The worker process's encoder, which outlives a task; this module itself travels with each task."""
+    held = sys.modules.setdefault("_word_encoders", types.ModuleType("_word_encoders"))
+    if getattr(held, "tokenizer", None) != tokenizer:
+        held.tokenizer, held.encoder = tokenizer, WordEncoder(tokenizer)
+    return held.encoder
+
+
 def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
@@ -216,14 +293,12 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int = 1, key: str
     system.create_dir(place, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
 
         def pieces():
-            from itertools import chain
-
             for batch in chain([first], batches):
                 for at in range(0, batch.num_rows, 1000):
                     part = batch.slice(at, 1000)
