@@ -8,18 +8,13 @@ from pyspark.sql import functions as F
 from labourlens.functions.text import col
 
 
-def job_key(site: str | Column, url: str | Column, digits: int = 8) -> Column:
-    """``site_<hash of the address>``.
+def job_key(site: str | Column, url: str | Column) -> Column:
+    """``site_<hash of the address>``, all 32 hex digits: a shorter one would merge different addresses of a large site."""
+    return F.concat(col(site), F.lit("_"), F.md5(col(url)))
 
-    Eight hex digits are enough for thousands of rows; two different addresses
-    start to share a key near 100,000 rows per site, so large tables should
-    ask for all 32.
-    """
-    return F.concat(col(site), F.lit("_"), F.substring(F.md5(col(url)), 1, digits))
 
-
-def company_key(name: str | Column, digits: int = 8) -> Column:
-    return F.concat(F.lit("comp_"), F.substring(F.md5(col(name)), 1, digits))
+def company_key(name: str | Column) -> Column:
+    return F.concat(F.lit("comp_"), F.md5(col(name)))
 
 
 def hash_unit(key: Column, salt: str, chunk: int = 0) -> Column:

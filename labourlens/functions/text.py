@@ -67,7 +67,7 @@ def keyword_bucket(c: ColumnLike, rules: Sequence[tuple[str, Sequence[str]]], de
 
 
 def capitalised(word: Column) -> Column:
-    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, 2, 1 << 20)))
+    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, F.lit(2), F.length(word))))
 
 
 def title_case(c: ColumnLike) -> Column:

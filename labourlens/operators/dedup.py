@@ -23,6 +23,7 @@ from labourlens.functions import similarity as sim
 from labourlens.functions.text import folded
 from labourlens.session import cut
 
+UNKNOWN_TITLE, UNKNOWN_COMPANY = "Unknown Title", "Unknown"
 TITLE_THRESHOLD = 0.8
 TEXT_THRESHOLD = 0.7
 MIN_TEXT = 30
@@ -58,7 +59,12 @@ def by_id(df: DataFrame, column: str = "job_id") -> DataFrame:
 
 
 def by_title_company(df: DataFrame, title: str = "job_title", company: str = "company_name") -> DataFrame:
-    return exact_duplicates(df, {"_t": folded(title), "_c": folded(company)}, [title, company])
+    """Rows with the same title and company; a missing one, also as its default, matches nothing."""
+    def known(c: str, default: str) -> Column:
+        return F.when(folded(c) != default.lower(), folded(c))
+
+    keys = {"_t": known(title, UNKNOWN_TITLE), "_c": known(company, UNKNOWN_COMPANY)}
+    return exact_duplicates(df, keys, [title, company], skip_blank=True)
 
 
 def without(df: DataFrame, dups: DataFrame) -> DataFrame:

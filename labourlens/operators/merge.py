@@ -14,10 +14,10 @@ COPIED_SUFFIXES = ("_company", "_x", "_y")
 
 
 def skill_lists(skills: DataFrame, order: Sequence[str] = ("ord",)) -> DataFrame:
-    """Four aligned lists per posting, in the given order of its skill rows."""
+    """Four aligned lists per posting, in the given order of its skill rows; rows without a posting are in no list."""
     order = [c for c in order if c in skills.columns]
     row = F.struct(*order, *SKILL_LISTS.values())
-    lists = skills.groupBy("job_id").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    lists = skills.where(F.col("job_id").isNotNull()).groupBy("job_id").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
     return lists.select("job_id", *[F.col("_rows")[source].alias(name) for name, source in SKILL_LISTS.items()])
 
 
@@ -97,11 +97,6 @@ def stack(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def arrivals(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Existing rows before new ones, as an explicit batch number."""
-    return stack(existing.withColumn("batch_no", F.lit(0)), new.withColumn("batch_no", F.lit(1)))
-
-
 def list_decode(source: str | Column, policy: str = "empty") -> Column:
     """Text such as ``['Python', 'SQL']`` to an array of trimmed, non-blank items.
 

@@ -13,7 +13,7 @@ from labourlens.operators.features import Preprocessor, fold
 from labourlens.operators.quantiles import exact_quantiles
 
 MODELS = {
-    "linear": lambda **p: LinearRegression(**{"solver": "normal", "regParam": 0.0, **p}),
+    "linear": lambda **p: LinearRegression(**{"solver": "auto", "regParam": 0.0, **p}),
     "decision_tree": lambda **p: DecisionTreeRegressor(**{"maxDepth": 10, "minInstancesPerNode": 5, "seed": 42, **p}),
     "random_forest": lambda **p: RandomForestRegressor(**{
         "numTrees": 100, "maxDepth": 15, "minInstancesPerNode": 4, "featureSubsetStrategy": "all", "seed": 42, **p}),

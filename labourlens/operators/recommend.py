@@ -137,9 +137,34 @@ def _classes(index: DataFrame, jobs: DataFrame, top_n: int) -> DataFrame:
         F.array_sort(F.collect_list("job_id")).alias("ids"))
 
 
-def recommend_table(index: DataFrame, jobs: DataFrame, profiles: DataFrame, top_n: int = 10) -> DataFrame:
+def _unmatched(index: DataFrame, jobs: DataFrame, wishes: DataFrame, answers: DataFrame, top_n: int) -> DataFrame:
+    """Zero-score answers for wishes with fewer than ``top_n`` matches: the first ids that pass the filters.
+
+    A wish meets the smallest ids of its city and years only, twice ``top_n`` of
+    them, of which at most ``top_n`` are among its matches.
+    """
+    rows = index.select("job_id").join(jobs.select("job_id", "city", "experience_years"), "job_id")
+    places = F.explode(F.array(F.lower("city"), F.lit("*")))
+    any_years = F.explode(F.array(F.lit(True), F.lit(False)))
+    options = rows.select("job_id", "experience_years", places.alias("place")).where("place IS NOT NULL").select("*", any_years.alias("any_years"))
+    options = options.withColumn("at_years", F.when(~F.col("any_years"), F.col("experience_years"))).where("any_years OR at_years IS NOT NULL")
+    rank = F.row_number().over(W.partitionBy("place", "any_years", "at_years").orderBy("job_id"))
+    heads = options.withColumn("_r", rank).where(F.col("_r") <= 2 * top_n).select("place", "any_years", "at_years", "job_id")
+    counts = answers.groupBy("wish_id").agg(F.count("*").alias("n_found"))
+    short = wishes.join(counts, "wish_id", "left").withColumn("n_found", F.coalesce("n_found", F.lit(0))).where(F.col("n_found") < top_n)
+    short = short.withColumn("place", F.when(F.coalesce("p_city", F.lit("")) == "", F.lit("*")).otherwise(F.col("p_city")))
+    short = short.withColumn("any_years", F.col("p_years").isNull())
+    near = F.col("any_years") | (F.abs(F.col("at_years") - F.col("p_years")) <= 0.5)
+    rest = short.join(heads, ["place", "any_years"]).where(near).join(answers.select("wish_id", "job_id"), ["wish_id", "job_id"], "left_anti")
+    place = F.row_number().over(W.partitionBy("wish_id").orderBy("job_id"))
+    rest = rest.withColumn("rank", F.col("n_found") + place).where(F.col("rank") <= top_n)
+    return rest.select("wish_id", F.lit(0.0).alias("score"), "job_id", F.col("rank").cast("int").alias("rank"))
+
+
+def recommend_table(index: DataFrame, jobs: DataFrame, profiles: DataFrame, top_n: int = 10, unmatched: bool = True) -> DataFrame:
     """As :func:`recommend` for a table ``(profile_id, skills, city, years)`` of any
-    length; only postings with a common skill are returned.
+    length, zero scores and profiles without a known skill included unless
+    ``unmatched`` is false.
 
     Postings are first folded into classes of equal skill set, city and years.
     Profiles meet classes, not postings, through the skill index; the ``top_n``
@@ -178,10 +203,30 @@ def recommend_table(index: DataFrame, jobs: DataFrame, profiles: DataFrame, top_
         best.select("wish_id", "score", "fit", F.explode("ids").alias("job_id"))
         .withColumn("rank", rank).where(F.col("rank") <= top_n)
     )
+    answers = answers.select("wish_id", "score", "job_id", "rank")
+    if unmatched:
+        answers = stored(answers, "answers")
+        all_wishes = asked.select("wish_id", "wish.p_city", "wish.p_years").distinct()
+        answers = answers.unionByName(_unmatched(index, jobs, all_wishes, answers, top_n))
     return asked.select("profile_id", "wish_id").join(answers, "wish_id").select(
         "profile_id", "rank", "job_id", floor_round("score", 4).alias("similarity_score"))
 
 
+def similar_table(index: DataFrame, targets: DataFrame, top_n: int = 10) -> DataFrame:
+    """As :func:`similar_jobs` for a table ``(target_id)`` of any length.
+
+    A target is asked for as a profile of its own skills; one more answer than
+    wanted leaves enough when the target itself is among them.  Targets that
+    are not in the index have no answers.
+    """
+    asked = targets.select("target_id").distinct().join(index.select(F.col("job_id").alias("target_id"), "skills"), "target_id")
+    profiles = asked.select(F.col("target_id").alias("profile_id"), "skills", F.lit(None).cast("string").alias("city"), F.lit(None).cast("double").alias("years"))
+    anywhere = index.select("job_id", F.lit(None).cast("string").alias("city"), F.lit(None).cast("double").alias("experience_years"))
+    found = recommend_table(index, anywhere, profiles, top_n + 1, unmatched=False).where("job_id <> profile_id")
+    rank = F.row_number().over(W.partitionBy("profile_id").orderBy("rank"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= top_n).select(F.col("profile_id").alias("target_id"), "rank", "job_id", "similarity_score")
+
+
 def similar_jobs(index: DataFrame, targets: Sequence[str], top_n: int = 10) -> DataFrame:
     """Postings most like each target posting, without itself and without zero scores."""
     if len(targets) > MAX_LISTED_PROFILES:

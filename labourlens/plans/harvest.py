@@ -75,7 +75,7 @@ def detail_pages(spark, d):
 
 
 @query("page_json_blocks", f"""WITH {POSTINGS_CTE}
-SELECT k AS page_id, 'itviec_' || substr(md5('https://itviec.com/jobs/' || k), 1, 8) AS job_id, job_title_raw AS job_title,
+SELECT k AS page_id, 'itviec_' || md5('https://itviec.com/jobs/' || k) AS job_id, job_title_raw AS job_title,
   'Firm ' || custkey AS company_name, CASE WHEN k % 3 < 2 THEN coalesce(([{', '.join("'" + x + "'" if x else 'NULL' for x in
   ['hcm', 'Hồ Chí Minh', ' Ho Chi Minh City ', 'HÀ NỘI', 'hanoi', 'đà nẵng', 'Cần Thơ', 'online', 'bà rịa-vũng tàu', 'hải phòng', None])}])[(k // 2) % 11 + 1], '') ELSE '' END AS city,
   CASE WHEN k % 4 <> 0 THEN (k % 5000) || ' USD' ELSE '' END AS salary_raw, strftime(posted_at, '%Y-%m-%d') AS posted_at,
@@ -155,7 +155,7 @@ def card_pages(spark, d):
 
 
 @query("page_cards", f"""WITH {POSTINGS_CTE}
-SELECT custkey + 3000000000 * (k // 5000) AS page_id, 'topcv_' || CASE WHEN k % 2 = 0 THEN CAST(k AS VARCHAR) ELSE substr(md5('https://www.topcv.vn/viec-lam/' || k), 1, 8) END AS job_id,
+SELECT custkey + 3000000000 * (k // 5000) AS page_id, 'topcv_' || CASE WHEN k % 2 = 0 THEN CAST(k AS VARCHAR) ELSE md5('https://www.topcv.vn/viec-lam/' || k) END AS job_id,
   job_title_raw AS job_title, 'Firm ' || custkey AS company_name, 'Hà Nội & 2 nơi' AS city, '1 năm' AS experience_years,
   'https://www.topcv.vn/viec-lam/' || k AS source_url FROM postings""")
 def page_cards(spark, d):

@@ -153,8 +153,7 @@ def linear_fit(spark, d):
         floor_round("slope", 3).alias("slope"), floor_round("intercept", 3).alias("intercept"))
 
 
-# Shallower and fewer trees than the defaults: this is a query, not a training run.
-QUERY_PARAMS = {"linear": {}, "decision_tree": {"maxDepth": 8}, "random_forest": {"numTrees": 20, "maxDepth": 8}}
+QUERY_PARAMS = {"linear": {}, "decision_tree": {"maxDepth": 8}, "random_forest": {"numTrees": 100, "maxDepth": 12}}
 
 
 def materialised(df):
@@ -210,7 +209,7 @@ def kmeans_fit(spark, d):
 
 @query("k_scan")
 def k_scan(spark, d):
-    return cl.best_k(cl.scan_k(vectors(spark, d), range(2, 11), starts=1))
+    return cl.best_k(cl.scan_k(vectors(spark, d), range(2, 11)))
 
 
 @query("pca_coords")
@@ -220,8 +219,9 @@ def pca_coords(spark, d):
 
 @query("cluster_matrix")
 def cluster_matrix(spark, d):
-    """Postings clustered on pay, experience, place, contract and skills."""
-    p = parsed(spark, d).where("salary_mid IS NOT NULL").select("job_id", "experience_years", "salary_mid", "city", "job_type", "remote_option")
-    scaled = cl.standardised(cl.cluster_matrix(p, job_skills(spark, d)).persist()).persist()
-    labelled = cl.fit_kmeans(scaled, 4, starts=3).transform(scaled)
+    """All postings clustered on pay, experience, place, contract and skills."""
+    p = parsed(spark, d).select("job_id", "experience_years", "salary_mid", "city", "job_type", "remote_option")
+    matrix = stored(cl.cluster_matrix(p, job_skills(spark, d)), "cluster-matrix")
+    scaled = cl.standardised(matrix, centred=False)
+    labelled = cl.fit_kmeans(scaled, 4).transform(scaled)
     return labelled.groupBy("cluster").agg(F.count("*").alias("n"), floor_round(F.avg("salary_mid"), 1).alias("avg_salary"))

@@ -100,7 +100,7 @@ sets AS (SELECT job_id, list_distinct(list(skill_name)) AS skills FROM job_skill
 scored AS (SELECT p.profile_id, s.job_id, len(list_intersect(s.skills, p.skills)) / sqrt(3 * len(s.skills)) AS score,
   pow(len(list_intersect(s.skills, p.skills)), 2) / len(s.skills) AS fit
   FROM sets s JOIN postings j USING (job_id), profiles p
-  WHERE list_has_any(s.skills, p.skills) AND (p.city IS NULL OR lower(j.city) = p.city)
+  WHERE (p.city IS NULL OR lower(j.city) = p.city)
     AND (p.years IS NULL OR abs(j.experience_years - p.years) <= 0.5)),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY fit DESC, job_id) AS rank FROM scored)
 SELECT profile_id, rank, job_id, {floor_sql('score', 4)} AS similarity_score FROM numbered WHERE rank <= 3""")
@@ -132,6 +132,19 @@ def similar_jobs(spark, d):
     return rec.similar_jobs(sets, [r["job_id"] for r in newest.collect()])  # one row per site
 
 
+@query("similar_jobs_table", f"""WITH {SKILLS_CTE}, sets AS (SELECT job_id, list_distinct(list(skill_name)) AS skills FROM job_skills GROUP BY 1),
+scored AS (SELECT t.job_id AS target_id, s.job_id, len(list_intersect(s.skills, t.skills)) / sqrt(len(t.skills) * len(s.skills)) AS score,
+  pow(len(list_intersect(s.skills, t.skills)), 2) / len(s.skills) AS fit
+  FROM sets s JOIN (SELECT * FROM sets WHERE CAST(substr(job_id, 5) AS BIGINT) % 12 = 0) t ON s.job_id <> t.job_id AND list_has_any(s.skills, t.skills)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY fit DESC, job_id) AS rank FROM scored)
+SELECT target_id, rank, job_id, {floor_sql('score', 4)} AS similarity_score FROM numbered WHERE rank <= 5""")
+def similar_jobs_table(spark, d):
+    """Every twelfth posting as a target, given as a table."""
+    sets = index(spark, d)
+    targets = sets.where(F.substring("job_id", 5, 30).cast("long") % 12 == 0).select(F.col("job_id").alias("target_id"))
+    return rec.similar_table(sets, targets, 5)
+
+
 @query("skill_gap", f"""WITH {SKILLS_CTE}, sets AS (SELECT job_id, list_sort(list_distinct(list(skill_name))) AS skills FROM job_skills GROUP BY 1)
 SELECT job_id, list_filter(skills, lambda x: list_contains(['Python', 'SQL', 'AWS'], x)) AS matched_skills,
   list_filter(skills, lambda x: NOT list_contains(['Python', 'SQL', 'AWS'], x)) AS missing_skills FROM sets""")

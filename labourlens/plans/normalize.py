@@ -228,8 +228,8 @@ def skill_extract(spark, d):
 
 
 @query("record_keys", """SELECT o_orderkey,
-  'itviec_' || substr(md5('https://itviec.com/jobs/' || o_orderkey), 1, 8) AS job_id,
-  'comp_' || substr(md5('Customer ' || o_custkey), 1, 8) AS company_id,
+  'itviec_' || md5('https://itviec.com/jobs/' || o_orderkey) AS job_id,
+  'comp_' || md5('Customer ' || o_custkey) AS company_id,
   strftime(o_orderdate, '%Y-%m') AS month, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS posted_iso,
   'https://itviec.com/jobs/' || o_orderkey AS url, replace(o_orderpriority, ' ', '+') AS q FROM orders""")
 def record_keys(spark, d):

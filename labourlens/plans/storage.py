@@ -126,6 +126,20 @@ def row_gate(spark, d):
     return ql.require_rows(parsed(spark, d, salary=False), 10).agg(F.count("*").alias("n"))
 
 
+@query("raw_csv_two_headers", f"""WITH {POSTINGS_CTE} SELECT job_id, source_site, CASE WHEN k % 2 = 0 THEN job_title_raw END AS job_title,
+  ['it''s', 'a "b", c'] AS tags FROM postings""")
+def raw_csv_two_headers(spark, d):
+    """Files whose columns stand in another order, or are absent, stacked by name; list items with quotes."""
+    path = scratch(spark, "two-headers")
+    p = postings(spark, d).select("k", "job_id", "source_site", F.col("job_title_raw").alias("job_title"),
+                                  F.array(F.lit("it's"), F.lit('a "b", c')).alias("tags"))
+    for name, part in (("even", p.where("k % 2 = 0").select("tags", "job_id", "job_title", "source_site")),
+                       ("odd", p.where("k % 2 = 1").select("source_site", "tags", "job_id"))):
+        files.flat_lists(part).write.options(header=True, escape='"', quoteAll=True).csv(f"{path}/{name}")
+    schema = StructType([StructField(c, StringType()) for c in ("job_id", "job_title", "source_site", "tags")])
+    return files.read_raw_csv(spark, [f"{path}/even", f"{path}/odd"], schema, ["tags"])
+
+
 EVENTS = StructType([StructField("event_id", LongType()), StructField("user_id", LongType()), StructField("event_type", StringType())])
 
 
@@ -166,27 +180,30 @@ def stream_distinct(spark, d):
 n AS (SELECT count(*) AS n FROM f)
 SELECT harvest_no, n AS n_jobs, CASE harvest_no WHEN 1 THEN n ELSE 0 END AS n_new FROM n, (VALUES (1), (2)) v(harvest_no)""")
 def harvest_merge(spark, d):
-    """The same harvest merged twice: the second time brings nothing new.
+    """The same harvest merged again after a run that brought nothing: no new rows, none lost.
 
     Near matching is set to equality, which leaves the exact phases.
     """
     root = scratch(spark, "harvest")
     raw = raw_records(spark, d).withColumn("description_raw", F.lit(""))
-    runs = [run_harvest(spark, raw, root, i, f"2024010{i}_000000", title_threshold=1.0, text_threshold=1.0) for i in (1, 2)]
+    runs = [run_harvest(spark, raw, root, i, f"2024010{i}_000000", title_threshold=1.0, text_threshold=1.0) for i in (1, 3)]
     return spark.createDataFrame([(i + 1, r["n_jobs"], r["n_new"]) for i, r in enumerate(runs)],
                                  "harvest_no int, n_jobs long, n_new long")
 
 
-@query("raw_companies_csv", f"""WITH {POSTINGS_CTE} SELECT 'comp_' || substr(md5(c_name), 1, 8) AS company_id, c_name AS company_name, source_site
+@query("raw_companies_csv", f"""WITH {POSTINGS_CTE} SELECT 'comp_' || md5(c_name) AS company_id, c_name AS company_name, source_site
 FROM postings JOIN customer ON c_custkey = custkey GROUP BY c_name, source_site""")
 def raw_companies_csv(spark, d):
     path = scratch(spark, "raw-companies")
-    files.write_raw(rc.company_rows(rc.normalize_batch(raw_records(spark, d), "ord")), path)
+    files.write_raw(rc.company_rows(rc.normalize_batch(raw_records(spark, d), "ord"), "ord"), path)
     return files.read_raw_csv(spark, path, COMPANY).select("company_id", "company_name", "source_site")
 
 
 @query("page_archive", "SELECT page_id, url, length(html) AS n_chars FROM pages")
 def page_archive(spark, d):
+    """The last archive, of several files, beside an older one."""
     path = scratch(spark, "pages")
-    files.write_pages(table(spark, d, "pages"), path)
+    pages = table(spark, d, "pages")
+    files.write_pages(pages.withColumn("html", F.lit("old")), path, "20240101_000000")
+    files.write_pages(pages.repartition(6, "page_id"), path, "20240102_000000")
     return files.newest_file(spark, path).select("page_id", "url", F.length("html").alias("n_chars"))

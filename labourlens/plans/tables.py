@@ -248,7 +248,7 @@ def raw_records(spark, d):
     return p.join(tags, "job_id", "left")
 
 
-_RECORD_SQL = f"""WITH {POSTINGS_CTE} SELECT job_id, job_title, 'comp_' || substr(md5(c_name), 1, 8) AS company_id, city, salary_min, salary_max, salary_mid,
+_RECORD_SQL = f"""WITH {POSTINGS_CTE} SELECT job_id, job_title, 'comp_' || md5(c_name) AS company_id, city, salary_min, salary_max, salary_mid,
   salary_hidden, coalesce(experience_years, 4.0) AS experience_years, {BIN_SQL.format('coalesce(experience_years, 4.0)')} AS experience_bin,
   remote_option, job_type, education_level, contract_type, job_level, strftime(posted_at, '%Y-%m-%d') AS posted
 FROM postings JOIN customer ON c_custkey = custkey"""
@@ -272,10 +272,11 @@ def record_skills(spark, d):
     return rows.select("job_id", "skill_name", "skill_group")
 
 
-@query("record_companies", f"""WITH {POSTINGS_CTE} SELECT 'comp_' || substr(md5(c_name), 1, 8) AS company_id, c_name AS company_name, source_site,
-  'https://example.test/' || max(job_id) AS source_url FROM postings JOIN customer ON c_custkey = custkey GROUP BY c_name, source_site""")
+@query("record_companies", f"""WITH {POSTINGS_CTE}, f AS (SELECT DISTINCT ON (job_id) *, c_name FROM postings JOIN customer ON c_custkey = custkey ORDER BY job_id, ord),
+l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY c_name, source_site ORDER BY ord DESC) = 1)
+SELECT 'comp_' || md5(c_name) AS company_id, c_name AS company_name, source_site, coalesce(city, '') AS city, 'https://example.test/' || job_id AS source_url FROM l""")
 def record_companies(spark, d):
-    return rc.company_rows(rc.normalize_batch(raw_records(spark, d), "ord")).drop("city")
+    return rc.company_rows(rc.normalize_batch(raw_records(spark, d), "ord"), "ord")
 
 
 @query("typed_rows", """SELECT 'job_' || o_orderkey AS job_id, 'IT' AS industry, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey % 50 AS DOUBLE) END AS salary_min,

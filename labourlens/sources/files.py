@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType, TimestampType
 
-from labourlens.operators.merge import list_decode
+from labourlens.operators.merge import list_decode, stack
 from labourlens.schemas import PAGE, RUN
 
 CSV = {"header": True, "multiLine": True, "escape": '"', "quote": '"'}
@@ -30,24 +32,53 @@ def read_raw_csv(spark: SparkSession, paths: str | Sequence[str], schema: Struct
                  policy: str = "empty") -> DataFrame:
     """All matching raw files stacked; an empty table when there is none.
 
-    Columns are matched by their header name and typed by ``schema``.
+    Columns are matched by their header name, file by file, and typed by
+    ``schema``: Spark takes names from one file and places from all, so files of
+    one header line are read together and the groups stacked by name.
     ``list_columns`` hold list literals as text and come back as arrays.
     """
+    frames = []
+    for path in [paths] if isinstance(paths, str) else paths:
+        options = CSV if re.search(r"[*?{\[]", path) else CSV | {"basePath": path}
+        for files in _by_header(spark, path):
+            text = spark.read.options(**options).csv(files)  # all columns as text, named by the header
+            frames.append(text.select(*[_typed(text, f) for f in schema]))
+    if not frames:
+        return empty(spark, schema)
+    df = stack(*frames)
+    return df.withColumns({c: list_decode(c, policy) for c in list_columns}) if list_columns else df
+
+
+def _by_header(spark: SparkSession, path: str) -> list[list[str]]:
+    """The files under a path, one list for each header line that occurs."""
     try:
-        text = spark.read.options(**CSV).csv(paths)  # all columns as text, named by the header
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("i"),
+                                             F.col("_metadata.file_block_start").alias("at"))
     except AnalysisException as error:
         if _missing(error):
-            return empty(spark, schema)
+            return []
         raise
-    df = text.select(*[_typed(text, f) for f in schema])
-    return df.withColumns({c: list_decode(c, policy) for c in list_columns}) if list_columns else df
+    first = lines.where("at = 0").groupBy("f").agg(F.min_by("value", "i").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for row in first.orderBy("f").collect():  # a row per file
+        groups.setdefault(row["header"], []).append(unquote(row["f"]))
+    return list(groups.values())
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """Folder and time of every file under a path; no file is opened."""
+    try:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    except AnalysisException as error:
+        if _missing(error):
+            return empty(spark, StructType([StructField("folder", StringType()), StructField("written", TimestampType())]))
+        raise
+    return found.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), F.col("modificationTime").alias("written"))
 
 
 def _typed(text: DataFrame, field: StructField) -> Column:
     """A text column as its declared type; null when absent or unreadable."""
-    if field.name not in text.columns:
-        return F.lit(None).cast(field.dataType).alias(field.name)
-    value = F.col(field.name).cast("string")
+    value = F.col(field.name).cast("string") if field.name in text.columns else F.lit(None).cast("string")
     if isinstance(field.dataType, (ArrayType, MapType, StringType)):
         return value.alias(field.name)
     return value.try_cast(field.dataType).alias(field.name)
@@ -64,17 +95,30 @@ def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFra
 
 
 def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the newest snapshot; only its partition is read."""
-    stored = spark.read.option("recursiveFileLookup", False).parquet(path)
-    newest = stored.select("snapshot_ts").agg(F.max("snapshot_ts")).first()[0]  # one partition value
-    return stored.where(F.col("snapshot_ts") == newest).drop("snapshot_ts")
+    """Rows of the newest snapshot, found by listing folders; the others are not read."""
+    stamp = F.regexp_extract("folder", r"/snapshot_ts=([^/]+)", 1)
+    newest = _listed(spark, path).agg(F.max(stamp)).first()[0]
+    if not newest:
+        raise FileNotFoundError(f"no snapshot under {path}")
+    return spark.read.parquet(f"{path}/snapshot_ts={unquote(newest)}")
 
 
 def newest_file(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the last written files under a folder, by modification time to the second."""
-    seconds = F.date_trunc("second", F.col("_metadata.file_modification_time"))
-    stored = spark.read.parquet(path).select("*", seconds.alias("_t"))
-    return stored.where(F.col("_t") == stored.agg(F.max("_t")).scalar()).drop("_t")
+    """All rows of the folder under ``path`` that was written to last.
+
+    A folder is one snapshot, whatever number of files it holds and however long
+    they took to write.
+    """
+    newest = _listed(spark, path).agg(F.max_by("folder", F.struct("written", "folder"))).first()[0]
+    if not newest:
+        raise FileNotFoundError(f"nothing under {path}")
+    return spark.read.parquet(unquote(newest))
+
+
+def last_version(spark: SparkSession, root: str, below: int) -> int | None:
+    """The highest stored version of a table under a number."""
+    number = F.regexp_extract("folder", r"/version=(\d+)$", 1).try_cast("long")
+    return _listed(spark, root).agg(F.max(F.when(number < below, number))).first()[0]
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -88,6 +132,16 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RUN).option("multiLine", True).json(path)
 
 
+def read_runs_or_empty(spark: SparkSession, path: str) -> DataFrame:
+    """Run history, or an empty one before the first run."""
+    try:
+        return read_runs(spark, path)
+    except AnalysisException as error:
+        if _missing(error):
+            return empty(spark, RUN)
+        raise
+
+
 def run_counts(runs: DataFrame) -> DataFrame:
     """One row per run and site."""
     return runs.select("timestamp", "n_jobs", "n_new", F.explode("src_counts").alias("site", "n"))
@@ -96,20 +150,17 @@ def run_counts(runs: DataFrame) -> DataFrame:
 # --- sinks -----------------------------------------------------------------------
 
 def flat_lists(df: DataFrame) -> DataFrame:
-    """Array columns as list-literal text, for formats without arrays."""
+    """Array columns as JSON text, for formats without arrays; quotes in items are escaped."""
     arrays = [f.name for f in df.schema if isinstance(f.dataType, ArrayType)]
-    return df.withColumns({
-        c: F.when(F.col(c).isNotNull(), F.concat(
-            F.lit("["), F.array_join(F.transform(c, lambda x: F.concat(F.lit("'"), x.cast("string"), F.lit("'"))), ", "), F.lit("]")))
-        for c in arrays}) if arrays else df
+    return df.withColumns({c: F.to_json(c) for c in arrays}) if arrays else df
 
 
-def write_raw(df: DataFrame, path: str, fmt: str = "csv", site: str = "source_site") -> None:
-    """Raw rows appended under one folder per site."""
+def write_raw(df: DataFrame, path: str, fmt: str = "csv", site: str = "source_site", mode: str = "append") -> None:
+    """Raw rows under one folder per site, added to what is there or in its place."""
     if fmt == "csv":
-        flat_lists(df).write.mode("append").partitionBy(site).options(header=True, escape='"', quoteAll=True).csv(path)
+        flat_lists(df).write.mode(mode).partitionBy(site).options(header=True, escape='"', quoteAll=True).csv(path)
     elif fmt == "json":
-        df.write.mode("append").partitionBy(site).json(path)
+        df.write.mode(mode).partitionBy(site).json(path)
     else:
         raise ValueError(f"unknown raw format {fmt!r}")
 
@@ -123,9 +174,9 @@ def write_snapshot(df: DataFrame, path: str, snapshot_ts: str) -> None:
     df.write.mode("overwrite").parquet(f"{path}/snapshot_ts={snapshot_ts}")
 
 
-def write_pages(pages: DataFrame, path: str) -> None:
-    """Page archive as a table, one row per page."""
-    pages.select(*PAGE.fieldNames()).write.mode("append").parquet(path)
+def write_pages(pages: DataFrame, path: str, stamp: str) -> None:
+    """One harvest's pages, a row each, in a folder of their own."""
+    pages.select(*PAGE.fieldNames()).write.mode("overwrite").parquet(f"{path}/archived={stamp}")
 
 
 def replace_table(df: DataFrame, root: str, version: str) -> str:

@@ -5,14 +5,14 @@ from labourlens.operators import recommend as rec
 
 @pytest.fixture(scope="module")
 def skills(spark):
-    return spark.createDataFrame([("j1", s) for s in ("Python", "SQL", "Django")] + [("j2", s) for s in ("Java", "Spring")]
-                                 + [("j3", s) for s in ("Python", "SQL", "ML", "Docker")], "job_id string, skill_name string")
+    return spark.createDataFrame([("k1", s) for s in ("Rust", "Kafka", "Linux")] + [("k2", s) for s in ("Figma", "CSS")]
+                                 + [("k3", s) for s in ("Rust", "Kafka", "Ansible", "Redis")], "job_id string, skill_name string")
 
 
 @pytest.fixture(scope="module")
 def jobs(spark):
-    return spark.createDataFrame([("j1", "Backend Dev", "FPT", "HCMC", 20.0, 2.0), ("j2", "Java Dev", "VNG", "Hanoi", 18.0, 5.0),
-                                  ("j3", "Data Scientist", "VNG", "HCMC", 25.0, 1.0)],
+    return spark.createDataFrame([("k1", "Systems Engineer", "Mekong Grid", "Hue", 31.0, 4.0), ("k2", "Designer", "Paper Boat", "Can Tho", 14.0, 1.0),
+                                  ("k3", "Platform Engineer", "Paper Boat", "Hue", 28.0, 6.0)],
                                  "job_id string, job_title string, company_name string, city string, salary_mid double, experience_years double")
 
 
@@ -21,43 +21,55 @@ def run(skills, jobs, wish, top=10, **kw):
 
 
 def test_best_first_with_matched_and_missing(skills, jobs):
-    got = run(skills, jobs, ["Python", "SQL", "Django", "Cobol"])
-    assert [r.job_id for r in got] == ["j1", "j3", "j2"]
-    assert got[0].similarity_score == 1.0 and got[0].matched_skills == ["Django", "Python", "SQL"]
-    assert got[1].missing_skills == ["Docker", "ML"] and got[2].similarity_score == 0.0
+    got = run(skills, jobs, ["Rust", "Kafka", "Linux", "Fortran"])
+    assert [r.job_id for r in got] == ["k1", "k3", "k2"]
+    assert got[0].similarity_score == 1.0 and got[0].matched_skills == ["Kafka", "Linux", "Rust"]
+    assert got[1].missing_skills == ["Ansible", "Redis"] and got[2].similarity_score == 0.0
 
 
 def test_empty_wish_keeps_all_at_zero(skills, jobs):
     got = run(skills, jobs, [], 3)
-    assert [(r.job_id, r.similarity_score) for r in got] == [("j1", 0.0), ("j2", 0.0), ("j3", 0.0)]
+    assert [(r.job_id, r.similarity_score) for r in got] == [("k1", 0.0), ("k2", 0.0), ("k3", 0.0)]
 
 
 def test_filters(skills, jobs):
-    assert {r.job_id for r in run(skills, jobs, ["Python"], city="hcmc ")} == {"j1", "j3"}
-    assert {r.job_id for r in run(skills, jobs, ["Python"], years=2.0)} == {"j1"}
-    assert run(skills, jobs, ["Python"], city="Da Nang") == []
-    assert len(run(skills, jobs, ["Python"], city=" ")) == 3
+    assert {r.job_id for r in run(skills, jobs, ["Rust"], city="hue ")} == {"k1", "k3"}
+    assert {r.job_id for r in run(skills, jobs, ["Rust"], years=4.0)} == {"k1"}
+    assert run(skills, jobs, ["Rust"], city="Da Lat") == []
+    assert len(run(skills, jobs, ["Rust"], city=" ")) == 3
 
 
-def test_similar(skills):
-    got = rec.similar_jobs(rec.build_index(skills), ["j1"], 2).collect()
-    assert [(r.job_id, r.similarity_score) for r in got] == [("j3", 0.5774)]
+def test_similar(spark, skills):
+    got = rec.similar_jobs(rec.build_index(skills), ["k1"], 2).collect()
+    assert [(r.job_id, r.similarity_score) for r in got] == [("k3", 0.5774)]
     with pytest.raises(ValueError):
         rec.similar_jobs(rec.build_index(skills), ["nowhere"])
+    targets = spark.createDataFrame([("k1",), ("k2",), ("k3",), ("nowhere",)], "target_id string")
+    table = {(r.target_id, r.rank, r.job_id, r.similarity_score) for r in rec.similar_table(rec.build_index(skills), targets, 2).collect()}
+    assert table == {(r.target_id, r.rank, r.job_id, r.similarity_score) for r in rec.similar_jobs(rec.build_index(skills), ["k1", "k2", "k3"], 2).collect()}
 
 
-def test_table_of_profiles_agrees_with_the_list(spark, skills, jobs):
-    profiles = spark.createDataFrame([("a", ["Python", "SQL"], "HCMC", None), ("b", ["Java", "Nothing"], None, None), ("c", ["Python"], None, 1.0),
-                                      ("d", ["SQL", "Python"], "hcmc", None)],
+def test_similar_among_equals(spark):
+    same = spark.createDataFrame([(f"e{i:02d}", s) for i in range(30) for s in ("Rust", "Linux")], "job_id string, skill_name string")
+    targets = spark.createDataFrame([("e00",), ("e29",)], "target_id string")
+    got = {(r.target_id, r.rank): r.job_id for r in rec.similar_table(rec.build_index(same), targets, 3).collect()}
+    assert got == {("e00", 1): "e01", ("e00", 2): "e02", ("e00", 3): "e03", ("e29", 1): "e00", ("e29", 2): "e01", ("e29", 3): "e02"}
+
+
+@pytest.mark.parametrize("top", [1, 2, 10])
+def test_table_of_profiles_agrees_with_the_list(spark, skills, jobs, top):
+    profiles = spark.createDataFrame([("a", ["Rust", "Kafka"], "Hue", None), ("b", ["Figma", "Nothing"], None, None), ("c", ["Rust"], None, 6.0),
+                                      ("d", ["Kafka", "Rust"], "hue", None), ("blank", [], None, None), ("unknown", ["Nothing"], " ", None),
+                                      ("blank in place", [], "Can Tho", 1.0), ("nowhere", ["Rust"], "Da Lat", None)],
                                      "profile_id string, skills array<string>, city string, years double")
-    got = {(r.profile_id, r.rank, r.job_id, r.similarity_score) for r in rec.recommend_table(rec.build_index(skills), jobs, profiles, 2).collect()}
+    got = {(r.profile_id, r.rank, r.job_id, r.similarity_score) for r in rec.recommend_table(rec.build_index(skills), jobs, profiles, top).collect()}
     listed = [rec.Profile(r.profile_id, tuple(r.skills), r.city, r.years) for r in profiles.collect()]
-    want = {(r.profile_id, r.rank, r.job_id, r.similarity_score) for r in rec.recommend(rec.build_index(skills), jobs, listed, 2).collect() if r.similarity_score > 0}
-    assert got == want
+    want = {(r.profile_id, r.rank, r.job_id, r.similarity_score) for r in rec.recommend(rec.build_index(skills), jobs, listed, top).collect()}
+    assert got == want and {p for p, *_ in got} == {"a", "b", "c", "d", "blank", "unknown", "blank in place"}
 
 
 def test_sizes_and_export(skills, jobs):
     assert tuple(rec.index_size(skills).first()) == (3, 7)
-    row = rec.for_export(rec.recommend(rec.build_index(skills), jobs, [rec.Profile("p", ("Python", "SQL"))], 1)).first()
-    assert row.matched_skills == "Python; SQL"
-    assert {r.job_id: r.missing_skills for r in rec.skill_gap(rec.skill_sets(skills), ["Java"]).collect()}["j2"] == ["Spring"]
+    row = rec.for_export(rec.recommend(rec.build_index(skills), jobs, [rec.Profile("p", ("Rust", "Kafka", "Linux"))], 1)).first()
+    assert row.matched_skills == "Kafka; Linux; Rust"
+    assert {r.job_id: r.missing_skills for r in rec.skill_gap(rec.skill_sets(skills), ["CSS"]).collect()}["k2"] == ["Figma"]

@@ -17,6 +17,36 @@ def test_csv_with_bom_breaks_and_lists(spark, tmp_path):
     assert got["j1"].note == 'two\nlines, "quoted"' and got["j1"].tags == ["x", "y"] and got["j2"].tags == []
 
 
+def test_csv_columns_go_by_name_in_every_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("job_id,note\nj1,n1\n")
+    (tmp_path / "b.csv").write_text("note,job_id\nn2,j2\n")
+    (tmp_path / "c d.csv").write_text("job_id,tags\nj3,\"['x']\"\n")
+    got = {(r.job_id, r.note, tuple(r.tags)) for r in files.read_raw_csv(spark, f"{tmp_path}/*.csv", ROW, ["tags"]).collect()}
+    assert got == {("j1", "n1", ()), ("j2", "n2", ()), ("j3", None, ("x",))}
+
+
+def test_lists_with_quotes_survive_csv(spark):
+    path, tags = scratch(spark, "t-lists"), ["it's", 'a "b"', "c, d", "e\\f", "[g]"]
+    files.flat_lists(spark.createDataFrame([("j", "n", tags)], ROW)).write.options(header=True, escape='"').csv(path)
+    assert files.read_raw_csv(spark, path, ROW, ["tags"]).first().tags == tags
+
+
+def test_newest_folder_counts_whatever_its_files_took(spark):
+    import os
+    import time
+
+    path = scratch(spark, "t-newest")
+    pages = spark.createDataFrame([(i, "u", "h") for i in range(100)], "page_id long, url string, html string")
+    files.write_pages(pages.limit(7), path, "1")
+    files.write_pages(pages.repartition(4), path, "2")
+    folder = f"{path}/archived=2".removeprefix("file:")
+    for k, name in enumerate(sorted(n for n in os.listdir(folder) if n.endswith(".parquet"))):
+        os.utime(f"{folder}/{name}", (time.time() + 3 * k,) * 2)
+    assert files.newest_file(spark, path).count() == 100
+    with pytest.raises(FileNotFoundError):
+        files.newest_file(spark, path + "-none")
+
+
 def test_absent_files_give_empty_tables(spark, tmp_path):
     assert files.read_raw_csv(spark, f"{tmp_path}/none_*.csv", ROW).columns == ["job_id", "note", "tags"]
     assert files.read_or_empty(spark, f"{tmp_path}/none", ROW).count() == 0
@@ -89,8 +119,8 @@ def test_late_rows_are_dropped(spark, tmp_path):
 def test_harvest_twice_and_gate(spark):
     from labourlens.operators.harvest import run_harvest
     from labourlens.schemas import RAW_POSTING
-    row = {"job_id": "itviec_abcd1234", "job_title": "Backend Developer", "company_name": "FPT", "source_site": "itviec",
-           "salary_raw": "10-15 triệu", "description_raw": "Python Django", "skills_raw": ["Python"]}
+    row = {"job_id": "itviec_q77", "job_title": "Platform Engineer", "company_name": "Mekong Grid", "source_site": "itviec",
+           "salary_raw": "22-36 triệu", "description_raw": "Redis", "skills_raw": ["Python"]}
     raw = spark.createDataFrame([tuple(row.get(f) for f in RAW_POSTING.fieldNames())], RAW_POSTING).withColumn("ord", F.lit(0))
     root = scratch(spark, "t-harvest")
     with pytest.raises(RuntimeError, match="below threshold"):
@@ -102,3 +132,24 @@ def test_harvest_twice_and_gate(spark):
     assert first["src_counts"] == {"itviec": 1, "glints": 0}
     assert files.read_runs(spark, f"{root}-runs").count() == 2
     assert spark.read.parquet(second["path"]).first().skills == ["Python"]
+
+
+def test_history_is_found_across_a_gap(spark):
+    from labourlens.operators.harvest import run_harvest
+    from labourlens.schemas import RAW_POSTING
+
+    def raw(*ids):
+        rows = [{"job_id": i, "job_title": f"Role of {i}", "company_name": f"Firm {i}", "source_site": "glints", "skills_raw": ["Python"]} for i in ids]
+        return spark.createDataFrame([tuple(r.get(f) for f in RAW_POSTING.fieldNames()) for r in rows], RAW_POSTING).withColumn("ord", F.col("job_id").substr(2, 5).cast("long"))
+    root = scratch(spark, "t-gap")
+    run_harvest(spark, raw("x1", "x2"), root, 1, "t1")
+    with pytest.raises(RuntimeError, match="below threshold"):
+        run_harvest(spark, raw("x3"), root, 2, "t2", minimum=5)
+    third = run_harvest(spark, raw("x4"), root, 3, "t3")
+    assert (third["n_jobs"], third["n_new"]) == (3, 1)
+    assert spark.read.json(f"{root}-raw").count() == 3 and spark.read.parquet(f"{root}-skills").count() == 3
+    assert {r.company_name for r in spark.read.parquet(f"{root}-companies").collect()} == {"Firm x1", "Firm x2", "Firm x4"}
+    lost = scratch(spark, "t-lost")
+    files.append_run(spark, f"{lost}-runs", {"timestamp": "t", "n_jobs": 3, "n_new": 1, "src_counts": {}})
+    with pytest.raises(RuntimeError, match="no stored version"):
+        run_harvest(spark, raw("x1"), lost, 4, "t4")
