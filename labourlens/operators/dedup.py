@@ -72,11 +72,17 @@ def without(df: DataFrame, dups: DataFrame) -> DataFrame:
     return df.join(dups.select("ord"), "ord", "left_anti")
 
 
-def _pairs(heads: DataFrame, rest: DataFrame, rows: DataFrame, score: Score, threshold: float) -> DataFrame:
-    """Scored pairs (earlier head a, later row b) under a common key and block."""
+def _pairs(heads: DataFrame, rest: DataFrame, rows: DataFrame, score: Score, threshold: float, share: float) -> DataFrame:
+    """Scored pairs (earlier head a, later row b) under a common key and block.
+
+    Two payloads match only if the smaller size is ``share`` of the larger one
+    or more; other pairs go before any exchange of pairs or payloads.
+    """
+    sizes = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(share - 1e-9)
     pairs = (
-        heads.select("key", F.col("ord").alias("a")).join(rest.select("key", F.col("ord").alias("b")), "key")
-        .where("a < b").select("a", "b").distinct()
+        heads.select("key", F.col("ord").alias("a"), F.col("n").alias("na"))
+        .join(rest.select("key", F.col("ord").alias("b"), F.col("n").alias("nb")), "key")
+        .where(F.col("a") < F.col("b")).where(sizes).select("a", "b").distinct()
     )
     left = rows.select(F.col("ord").alias("a"), F.col("block").alias("_ba"), F.col("payload").alias("_pa"))
     right = rows.select(F.col("ord").alias("b"), F.col("block").alias("_bb"), F.col("payload").alias("_pb"))
@@ -94,12 +100,13 @@ def _shared(keys: DataFrame) -> DataFrame:
     """Keys that more than one row carries; a row without one has no candidates
     and is kept without taking part."""
     keys = cut(keys)
-    return cut(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi"))
+    return cut(keys.join(keys.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "key", "left_semi"))
 
 
-def leader_duplicates(rows: DataFrame, keys: DataFrame, score: Score, threshold: float, heads: int = HEADS) -> DataFrame:
+def leader_duplicates(rows: DataFrame, keys: DataFrame, score: Score, threshold: float, share: float, heads: int = HEADS) -> DataFrame:
     """Greedy leaders in arrival order: a row is dropped iff an earlier *kept* row
-    matches it.  ``rows(ord, block, payload)``, ``keys(key, ord)``.
+    matches it.  ``rows(ord, block, payload)``, ``keys(key, ord, n)``: n is the
+    size of the row's payload.
 
     A row is kept for certain once it is among the compared heads of all its keys
     and matches nothing earlier that is still open.  Kept rows drop their
@@ -112,13 +119,13 @@ def leader_duplicates(rows: DataFrame, keys: DataFrame, score: Score, threshold:
     while True:
         longest = open_.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
         if longest <= heads:
-            rest = _resolve(cut(_pairs(open_, open_, rows, score, threshold)))
+            rest = _resolve(cut(_pairs(open_, open_, rows, score, threshold, share)))
             return rest if found is None else found.unionByName(rest)
         head = cut(_heads(open_, heads))
-        edges = cut(_pairs(head, open_, rows, score, threshold))
-        n_keys = open_.groupBy("ord").agg(F.count("*").alias("n"))
+        edges = cut(_pairs(head, open_, rows, score, threshold, share))
+        n_keys = open_.groupBy("ord").agg(F.count("*").alias("k"))
         n_head = head.groupBy("ord").agg(F.count("*").alias("h"))
-        compared = n_keys.join(n_head, "ord").where("n = h").select("ord")
+        compared = n_keys.join(n_head, "ord").where("k = h").select("ord")
         kept = compared.join(edges.select(F.col("b").alias("ord")).distinct(), "ord", "left_anti")
         dropped = _dropped_by(edges, kept.select(F.col("ord").alias("a")))
         found = dropped if found is None else found.unionByName(dropped)
@@ -152,7 +159,7 @@ def _resolve(edges: DataFrame) -> DataFrame:
             return found
 
 
-def earlier_duplicates(rows: DataFrame, keys: DataFrame, score: Score, threshold: float, heads: int = HEADS) -> DataFrame:
+def earlier_duplicates(rows: DataFrame, keys: DataFrame, score: Score, threshold: float, share: float, heads: int = HEADS) -> DataFrame:
     """A row is dropped iff *any* earlier row in its block matches it."""
     targets = sources = _shared(keys)
     rows = cut(rows.join(sources.select("ord").distinct(), "ord", "left_semi"))
@@ -160,7 +167,7 @@ def earlier_duplicates(rows: DataFrame, keys: DataFrame, score: Score, threshold
     while True:
         head = cut(_heads(sources, heads))
         dropped = cut(
-            _pairs(head, targets, rows, score, threshold)
+            _pairs(head, targets, rows, score, threshold, share)
             .groupBy("b").agg(F.min(F.struct("a", "score")).alias("x"))
             .select(F.col("b").alias("ord"), F.col("x.a").alias("kept_ord"), F.col("x.score").alias("score")))
         found = dropped if found is None else found.unionByName(dropped)
@@ -174,8 +181,8 @@ def earlier_duplicates(rows: DataFrame, keys: DataFrame, score: Score, threshold
 def _letter_rows(df: DataFrame, title: str, company: str, share: float) -> tuple[DataFrame, DataFrame]:
     rows = df.select("ord", folded(company).alias("block"), folded(title).alias("payload")).where(
         "block <> '' AND payload <> ''")
-    keys = rows.select("ord", "block", F.explode(sim.letter_keys(F.col("payload"), share)).alias("k")).select(
-        F.xxhash64("block", "k").alias("key"), "ord")
+    keys = rows.select("ord", "block", F.length("payload").alias("n"), F.explode(sim.letter_keys(F.col("payload"), share)).alias("k")).select(
+        F.xxhash64("block", "k").alias("key"), "ord", "n")
     return rows, keys
 
 
@@ -183,7 +190,7 @@ def near_titles(df: DataFrame, title: str = "job_title", company: str = "company
                 threshold: float = TITLE_THRESHOLD) -> DataFrame:
     """Similar titles within one company, greedy leaders, exact for the threshold."""
     rows, keys = _letter_rows(df, title, company, sim.ratio_share(threshold))
-    dups = leader_duplicates(rows, keys, lambda a, b: sim.title_score(a, b, threshold), threshold)
+    dups = leader_duplicates(rows, keys, lambda a, b: sim.title_score(a, b, threshold), threshold, threshold / (2 - threshold))
     return _found(dups, "near", [title])
 
 
@@ -195,7 +202,7 @@ def earlier_titles(df: DataFrame, title: str = "job_title", company: str = "comp
     dropped row is dropped too.
     """
     rows, keys = _letter_rows(df, title, company, threshold)
-    return _found(earlier_duplicates(rows, keys, sim.levenshtein_score, threshold), "near", [title])
+    return _found(earlier_duplicates(rows, keys, sim.levenshtein_score, threshold, threshold), "near", [title])
 
 
 def near_descriptions(df: DataFrame, text: str = "description_raw", company: str = "company_name",
@@ -204,8 +211,8 @@ def near_descriptions(df: DataFrame, text: str = "description_raw", company: str
     leader and a later row compared."""
     rows = df.select("ord", folded(company).alias("block"), folded(text).alias("payload")).where(
         (F.col("block") != "") & (F.length("payload") >= min_length))
-    keys = rows.select(F.xxhash64("block").alias("key"), "ord")
-    dups = leader_duplicates(rows, keys, sim.sequence_ratio(threshold), threshold)
+    keys = rows.select(F.xxhash64("block").alias("key"), "ord", F.length("payload").alias("n"))
+    dups = leader_duplicates(rows, keys, sim.sequence_ratio(threshold), threshold, threshold / (2 - threshold))
     return _found(dups, "near", [text])
 
 
@@ -219,8 +226,8 @@ def near_texts(df: DataFrame, text: str = "text", threshold: float = TEXT_THRESH
     exact = cut(exact_duplicates(df, {"_h": F.md5(folded(text))}, [text]))
     rows = cut(without(df.select("ord", text), exact).select(
         "ord", F.lit(0).alias("block"), sim.shingles(F.col(text)).alias("payload")))
-    keys = rows.select(F.explode(sim.band_keys("payload")).alias("key"), "ord")
-    near = leader_duplicates(rows, keys, sim.jaccard, threshold)
+    keys = rows.select(F.explode(sim.band_keys("payload")).alias("key"), "ord", F.size("payload").alias("n"))
+    near = leader_duplicates(rows, keys, sim.jaccard, threshold, threshold)
     return exact.unionByName(_found(near, "near", [text]))
 
 

@@ -33,14 +33,6 @@ def _bin(v: Column) -> Column:
     return (F.signum(v) * F.floor(F.log1p(F.abs(v)) * BINS_PER_E)).cast("long")
 
 
-def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on all keys."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def quantiles_of(freq: DataFrame, keys: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
     """``(*keys, one column per entry of probs)`` from a frequency table,
     interpolated linearly between the two nearest ranks."""

@@ -10,6 +10,7 @@ from labourlens.functions.salary import normalize_salary
 from labourlens.functions.title import add_title
 from labourlens.operators import recommend as rec
 from labourlens.plans.registry import query
+from labourlens.session import stored
 from labourlens.sources.adapters import (
     BIN_SQL, POSTINGS_CTE, SKILLS_CTE, floor_sql, job_skills, postings,
 )
@@ -31,8 +32,11 @@ def index(spark, d):
     return rec.build_index(job_skills(spark, d))
 
 
-def _details(spark, d):
-    p = add_title(normalize_salary(postings(spark, d)))
+def _details(spark, d, wanted=None):
+    rows = postings(spark, d)
+    if wanted is not None:
+        rows = rows.join(wanted, "job_id", "left_semi")
+    p = add_title(normalize_salary(rows))
     return p.select("job_id", "job_title", category.city("city_raw").alias("city"), "salary_mid",
                     years("experience_raw").alias("experience_years"))
 
@@ -63,7 +67,9 @@ FROM numbered WHERE rank <= {top}"""
 
 @query("recommend_profile", _sql(CANDIDATES, "job_title, city, salary_mid, experience_years, "))
 def recommend_profile(spark, d):
-    return rec.recommend(index(spark, d), _details(spark, d), CANDIDATES)
+    """Postings are ranked by id; the texts of the ranked ones only are parsed."""
+    ranked = stored(rec.recommend(index(spark, d), postings(spark, d).select("job_id"), CANDIDATES), "ranked")
+    return ranked.join(_details(spark, d, ranked.select("job_id").distinct()), "job_id")
 
 
 @query("recommend_filtered", _sql(FILTERED, "city, experience_years, "))
