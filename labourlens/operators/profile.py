@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labourlens.functions.text import floor_round
-from labourlens.operators.quantiles import frequencies, join_stats, quantiles_of
+from labourlens.operators.quantiles import counted, join_stats, known_values, quantiles_of
+from labourlens.session import stored
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -20,9 +20,8 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def shares(df: DataFrame, column: str, digits: int = 1) -> DataFrame:
     """``value_counts`` with the percentage of all counted rows."""
     counts = value_counts(df, column)
-    # One row per value is left here, so the total is a window over few rows.
-    total = F.sum("n").over(W.partitionBy(F.lit(1)))
-    return counts.withColumn("pct", floor_round(F.col("n") * 100.0 / total, digits))
+    total = counts.agg(F.sum("n").alias("_total"))
+    return join_stats(counts, total, []).select(column, "n", floor_round(F.col("n") * 100.0 / F.col("_total"), digits).alias("pct"))
 
 
 def null_report(df: DataFrame) -> DataFrame:
@@ -41,20 +40,14 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], digits: int = 4) -> D
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")
     ).select("x.*")
-    freq = frequencies(long, ["column_name"], "v")
-    q = quantiles_of(freq, ["column_name"], {"median": 0.5, "q25": 0.25, "q75": 0.75})
-    n, v = F.col("_n"), F.col("_v")
-    mean = F.sum(n * v) / F.sum(n)
-    # Moments from the counted values; the deviation is taken about the mean in a
-    # second step, because a difference of large squares loses digits.
-    basic = freq.groupBy("column_name").agg(
-        F.sum(n).alias("n"), mean.alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
-    spread_ = (
-        freq.join(F.broadcast(basic.select("column_name", "mean")), "column_name")  # one row per named column
-        .groupBy("column_name").agg(F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))).alias("ss"))
-    )
-    joined = basic.join(spread_, "column_name").join(q, "column_name")
-    std = F.when(F.col("n") > 1, F.sqrt(F.col("ss") / (F.col("n") - 1)))
+    known = known_values(long, ["column_name"], "v")
+    q = quantiles_of(known, ["column_name"], {"median": 0.5, "q25": 0.25, "q75": 0.75})
+    v = F.col("_v")
+    # the deviation is merged from partial means and squares about them, so large values lose no digits
+    basic = known.groupBy("column_name").agg(
+        F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    joined = basic.join(q, "column_name")
+    std = F.when(F.col("n") > 1, F.col("std"))
     return joined.select(
         "column_name", "n",
         *[floor_round(c, digits).alias(c) for c in ("mean", "median")],
@@ -66,43 +59,42 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], digits: int = 4) -> D
 def stats_by(df: DataFrame, key: str, value: str, digits: int = 1) -> DataFrame:
     """Mean, median and count of the known values per non-null key."""
     known = df.where(F.col(key).isNotNull() & F.col(value).isNotNull())
-    freq = frequencies(known, [key], value)
-    base = freq.groupBy(key).agg((F.sum(F.col("_n") * F.col("_v")) / F.sum("_n")).alias("mean"), F.sum("_n").alias("n"))
-    joined = join_stats(base, quantiles_of(freq, [key], {"median": 0.5}), [key])
+    values = known_values(known, [key], value)
+    base = values.groupBy(key).agg(F.avg("_v").alias("mean"), F.count("*").alias("n"))
+    joined = join_stats(base, quantiles_of(values, [key], {"median": 0.5}), [key])
     return joined.select(key, floor_round("mean", digits).alias("mean"), floor_round("median", digits).alias("median"), "n")
 
 
 def boxplot(df: DataFrame, key: str, value: str, digits: int = 4) -> DataFrame:
     """Quartiles, whiskers at 1.5 interquartile ranges and outlier count per key."""
-    known = df.where(F.col(key).isNotNull())
-    freq = frequencies(known, [key], value)
-    q = quantiles_of(freq, [key], {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    values = known_values(df.where(F.col(key).isNotNull()), [key], value)
+    q = quantiles_of(values, [key], {"q1": 0.25, "median": 0.5, "q3": 0.75})
     fences = q.withColumns({
         "_lo": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
         "_hi": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")),
     })
     v, inside = F.col("_v"), F.col("_v").between(F.col("_lo"), F.col("_hi"))
-    marked = join_stats(freq, fences, [key])
+    marked = join_stats(values, fences, [key])
     return marked.groupBy(key).agg(
         *[floor_round(F.first(c), digits).alias(c) for c in ("q1", "median", "q3")],
         F.min(F.when(inside, v)).alias("whisker_low"),
         F.max(F.when(inside, v)).alias("whisker_high"),
-        F.sum(F.when(inside, 0).otherwise(F.col("_n"))).alias("n_outliers"),
-        F.sum("_n").alias("n"),
+        F.count_if(~inside).alias("n_outliers"),
+        F.count("*").alias("n"),
     )
 
 
 def histogram(df: DataFrame, value: str, bins: int = 30) -> DataFrame:
     """Equal-width bins between the extremes; the last bin is closed on the right."""
     v = F.col(value).cast("double")
-    known = df.where(v.isNotNull()).groupBy(v.alias("v")).agg(F.count("*").alias("c"))
+    known = df.where(v.isNotNull()).select(v.alias("v"))
     limits = known.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     placed = join_stats(known, limits, [])
     width = (F.col("hi") - F.col("lo")) / bins
     index = F.when(F.col("hi") == F.col("lo"), 0).otherwise(
         F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
-    counted = placed.groupBy(index.alias("bin"), "lo", "hi").agg(F.sum("c").alias("n"))
-    return counted.select("bin", (F.col("lo") + F.col("bin") * width).alias("bin_low"), "n")
+    binned = placed.groupBy(index.alias("bin"), "lo", "hi").agg(F.count("*").alias("n"))
+    return binned.select("bin", (F.col("lo") + F.col("bin") * width).alias("bin_low"), "n")
 
 
 def density(df: DataFrame, key: str, value: str, points: int = 32) -> DataFrame:
@@ -111,7 +103,7 @@ def density(df: DataFrame, key: str, value: str, points: int = 32) -> DataFrame:
     Values are counted first and the grid is unrolled per distinct value, so the
     work follows the number of distinct values, not the number of rows.
     """
-    freq = frequencies(df.where(F.col(key).isNotNull()), [key], value)
+    freq = stored(counted(known_values(df.where(F.col(key).isNotNull()), [key], value)), "counts")
     n, v = F.col("_n"), F.col("_v")
     basic = freq.groupBy(key).agg(F.sum(n).alias("n"), (F.sum(n * v) / F.sum(n)).alias("mean"),
                                   F.min(v).alias("lo"), F.max(v).alias("hi"))

@@ -194,9 +194,7 @@ def stage_summary(spark, d):
 SELECT job_id, 'job_title' AS field, 'NORMALIZED' AS issue, job_title_raw AS original_value, job_title AS fixed_value
 FROM postings WHERE job_title <> job_title_raw""")
 def audit_rows(spark, d):
-    raw = postings(spark, d).select("job_id", F.col("job_title_raw").alias("job_title"))
-    clean = add_title(postings(spark, d)).select("job_id", "job_title")
-    return ql.cleaning_audit(raw, clean, "job_id", ["job_title"], "NORMALIZED")
+    return ql.cleaning_audit(add_title(postings(spark, d)), "job_id", {"job_title": ("job_title_raw", "job_title")}, "NORMALIZED")
 
 
 @query("audit_lines", """SELECT event_id || '|' || event_type || '|' || user_id AS value, (SELECT count(*) FROM events) AS total_lines

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from labourlens.operators import features as ft
 from labourlens.operators import models as md
 from labourlens.operators import profile as pr
+from labourlens.operators import quantiles
 from labourlens.operators.quantiles import exact_quantiles
 
 
@@ -27,6 +28,20 @@ def test_quantiles_equal_numpy(spark, kind):
     assert total == pytest.approx(np.median([v for _, v in rows if v is not None]), rel=1e-12)
 
 
+@pytest.mark.parametrize("kind", ["crowded", "tiny", "wide", "hot"])
+def test_crowded_bins_are_split_again(spark, monkeypatch, kind):
+    monkeypatch.setattr(quantiles, "MOST_VALUES", 8)
+    monkeypatch.setattr(quantiles, "SPLIT", 256)
+    rnd = random.Random(5)
+    make = {"crowded": lambda: 0.001 * rnd.random(), "tiny": lambda: 10.0 ** rnd.uniform(-12, -3), "wide": lambda: rnd.choice([-1, 1]) * 10.0 ** rnd.uniform(290, 308),
+            "hot": lambda: 0.002 if rnd.random() < 0.4 else 0.002 + 1e-9 * rnd.random()}[kind]
+    rows = [(rnd.choice(["a", "b", None]), make()) for _ in range(300)]
+    probs = {"lo": 0.0, "q33": 0.33, "mid": 0.5, "hi": 0.99}
+    got = {r.g: [r[p] for p in probs] for r in exact_quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", probs).collect()}
+    for g in ("a", "b", None):
+        assert got[g] == pytest.approx(list(np.quantile([v for k, v in rows if k == g], list(probs.values()))), rel=1e-9, abs=0)
+
+
 def test_null_report_counts_and_order(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, None, None), (3, 1.0, "b")], "a int, b double, c string")
     assert [tuple(r) for r in pr.null_report(df).collect()] == [("b", 2, 66.67), ("c", 1, 33.33)]
