@@ -75,15 +75,20 @@ def compare_models(train: DataFrame, test: DataFrame, params: Mapping[str, dict]
     return out.select("model", "n", "rmse", "mae", "r2", floor_round((best - F.col("rmse")) / best * 100, 1).alias("improvement_pct"))
 
 
-def cross_validate(name: str, df: DataFrame, folds: int = 5, key: str = "job_id", **params) -> DataFrame:
-    """Mean and deviation of the RMSE over hash-chosen folds."""
+def fold_scores(name: str, df: DataFrame, folds: int = 5, key: str = "job_id", **params) -> DataFrame:
+    """Scores on each hash-chosen fold of a model fitted on the other folds."""
     rows = df.withColumn("_fold", fold(key, folds))
     out = None
     for i in range(folds):
         predicted = fit_predict(name, rows.where(F.col("_fold") != i), rows.where(F.col("_fold") == i), **params)
-        one = scores(predicted).select(F.lit(i).alias("fold"), "rmse")
+        one = scores(predicted).withColumn("fold", F.lit(i))
         out = one if out is None else out.unionByName(one)
-    return out.agg(F.count("*").alias("folds"), floor_round(F.avg("rmse"), 4).alias("cv_rmse_mean"),
+    return out
+
+
+def cross_validate(name: str, df: DataFrame, folds: int = 5, key: str = "job_id", **params) -> DataFrame:
+    """Mean and deviation of the RMSE over hash-chosen folds."""
+    return fold_scores(name, df, folds, key, **params).agg(F.count("*").alias("folds"), floor_round(F.avg("rmse"), 4).alias("cv_rmse_mean"),
                    floor_round(F.stddev_pop("rmse"), 4).alias("cv_rmse_std"))
 
 

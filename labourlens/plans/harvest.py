@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from labourlens.functions.cards import Step, cards
 from labourlens.plans.registry import query
 from labourlens.sources import pages as pg
 from labourlens.sources.adapters import POSTINGS_CTE, postings, table
@@ -194,3 +195,20 @@ def crawl_frontier(spark, d):
 SELECT site, count(k) AS n FROM s LEFT JOIN postings ON source_site = site GROUP BY 1""")
 def harvest_counts(spark, d):
     return pg.harvest_counts(postings(spark, d), ["itviec", "glints", "topcv", "nowhere"])
+
+
+@query("page_articles", r"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
+b AS (SELECT page_id, trim(regexp_extract(body, '(?s)<h1>(.*?)</h1>', 1)) AS title, regexp_extract_all(body, '(?s)<p>(.*?)</p>', 1) AS p FROM a)
+SELECT page_id, replace(replace(replace(replace(title, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM b WHERE title <> ''""")
+def page_articles(spark, d):
+    """Repeated elements of the given pages: articles with their headings."""
+    found = cards(F.col("html"), Step("article"), {"title": ((Step("h1"),),), "tags": ((Step("p"),),)})
+    return stored_pages(spark, d).select("page_id", F.explode(found).alias("c")).select("page_id", "c.title")
+
+
+@query("page_extract_site", f"""WITH {POSTINGS_CTE}
+SELECT custkey + 3000000000 * (k // 5000) AS page_id, job_title_raw AS job_title, 'topcv' AS source_site, 'python' AS keyword FROM postings WHERE custkey % 4 <> 0""")
+def page_extract_site(spark, d):
+    """One site's pages by its name, with the search word; challenge pages give nothing."""
+    shown = card_pages(spark, d).withColumn("html", F.when(F.col("page_id") % 3_000_000_000 % 4 == 0, F.concat("html", F.lit("<p>Attention Required!</p>"))).otherwise(F.col("html")))
+    return pg.extract_site("topcv", shown, "python").select("page_id", "job_title", "source_site", "keyword")

@@ -225,3 +225,98 @@ def cluster_matrix(spark, d):
     scaled = cl.standardised(matrix, centred=False)
     labelled = cl.fit_kmeans(scaled, 4).transform(scaled)
     return labelled.groupBy("cluster").agg(F.count("*").alias("n"), floor_round(F.avg("salary_mid"), 1).alias("avg_salary"))
+
+
+# --- models and clusters whose result has a closed form -------------------------------
+
+_FOLD = "CAST(floor(CAST(('0x' || substr(md5(job_id || '|fold42'), 1, 8)) AS BIGINT) / 4294967296.0 * 5) AS INTEGER)"
+
+
+@query("fold_rows", f"""WITH {POSTINGS_CTE} SELECT {_FOLD} AS fold, count(*) AS n, true AS scored
+FROM postings JOIN customer ON c_custkey = custkey WHERE salary_mid IS NOT NULL GROUP BY 1""")
+def fold_rows(spark, d):
+    """Each fold is predicted whole by a model of the other folds."""
+    rows = materialised(model_rows(spark, d))
+    return md.fold_scores("linear", rows).select("fold", "n", (F.col("rmse") > 0).alias("scored"))
+
+
+def stump_rows(spark, d):
+    rows = table(spark, d, "lineitem").select((F.col("l_extendedprice") + 1000 * F.col("l_quantity")).cast("double").alias("label"), F.array(F.col("l_quantity").cast("double"), F.col("l_tax").cast("double")).alias("x"))
+    return materialised(rows.select("label", "x")).select("label", array_to_vector("x").alias("features"))
+
+
+_STUMP = f"""WITH c AS (SELECT l_quantity AS q, count(*)::DOUBLE AS n, sum(l_extendedprice + 1000 * l_quantity)::DOUBLE AS s FROM lineitem GROUP BY 1),
+t AS (SELECT q, sum(n) OVER (ORDER BY q) AS n1, sum(s) OVER (ORDER BY q) AS s1, sum(n) OVER () AS n, sum(s) OVER () AS s FROM c),
+b AS (SELECT * FROM t WHERE n1 < n ORDER BY s1 * s1 / n1 + (s - s1) * (s - s1) / (n - n1) DESC LIMIT 1)
+SELECT {floor_sql('s1 / n1', 3)} AS prediction, CAST(n1 AS BIGINT) AS n, 1.0 AS quantity_importance, 0.0 AS tax_importance FROM b
+UNION ALL SELECT {floor_sql('(s - s1) / (n - n1)', 3)}, CAST(n - n1 AS BIGINT), 1.0, 0.0 FROM b"""
+
+
+def stump(spark, d, name, **params):
+    """A tree of one split: the two means at the best cut of the column that the label follows."""
+    rows = stump_rows(spark, d)
+    model = md.estimator(name, maxDepth=1, maxBins=64, **params).fit(rows)
+    weights = {r["feature"]: r["importance"] for r in md.importances(model, ["quantity", "tax"], spark).collect()}
+    counted = model.transform(rows).groupBy(floor_round("prediction", 3).alias("prediction")).agg(F.count("*").alias("n"))
+    return counted.withColumns({f"{k}_importance": F.lit(v) for k, v in weights.items()})
+
+
+@query("tree_stump", _STUMP)
+def tree_stump(spark, d):
+    return stump(spark, d, "decision_tree")
+
+
+@query("forest_stump", _STUMP)
+def forest_stump(spark, d):
+    """A forest of one tree takes all rows."""
+    return stump(spark, d, "random_forest", numTrees=1, bootstrap=False)
+
+
+@query("kmeans_nearest", "SELECT count(*) AS n_rows, 0 AS n_misplaced, 5 AS n_clusters FROM embeddings")
+def kmeans_nearest(spark, d):
+    """Every vector is in the cluster of its nearest centre, and no cluster is empty."""
+    from pyspark.ml.functions import vector_to_array
+    rows = stored(cl.standardised(table(spark, d, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"))), "scaled")
+    model = cl.fit_kmeans(rows, 5)
+    x = model.transform(rows).select("cluster", vector_to_array("scaled").alias("x"))
+
+    def distance(centre):
+        pairs = F.zip_with("x", F.array(*[F.lit(float(v)) for v in centre]), lambda a, b: (a - b) * (a - b))
+        return F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v)
+    far = x.withColumn("d", F.array(*[distance(c) for c in model.clusterCenters()]))
+    wrong = F.get("d", F.col("cluster")) > F.array_min("d") * (1 + 1e-9)
+    return far.agg(F.count("*").alias("n_rows"), F.count_if(wrong).cast("int").alias("n_misplaced"), F.countDistinct("cluster").cast("int").alias("n_clusters"))
+
+
+@query("silhouette_given", f"""WITH p AS (SELECT l_linenumber AS c, l_quantity::DOUBLE AS x FROM lineitem), g AS (
+  SELECT c, count(*)::DOUBLE AS n, sum(x) AS s, sum(x * x) AS ss FROM p GROUP BY 1),
+v AS (SELECT p.c, p.x, count(*)::DOUBLE AS m FROM p GROUP BY 1, 2),
+e AS (SELECT v.c, v.x, any_value(m) AS m, any_value(CASE WHEN g.c = v.c THEN (n * x * x - 2 * x * s + ss) / (n - 1) END) AS a,
+  min(CASE WHEN g.c <> v.c THEN (n * x * x - 2 * x * s + ss) / n END) AS b FROM v, g GROUP BY 1, 2)
+SELECT {floor_sql('sum(m * (b - a) / greatest(a, b)) / sum(m)', 5)} AS silhouette FROM e""")
+def silhouette_given(spark, d):
+    """The silhouette of clusters that are given, here the line numbers."""
+    rows = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("cluster"), array_to_vector(F.array(F.col("l_quantity").cast("double"))).alias("scaled"))
+    return spark.createDataFrame([(cl.silhouette(rows),)], "silhouette double").select(floor_round("silhouette", 5).alias("silhouette"))
+
+
+@query("pca_variances", f"""WITH r AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS r FROM lineitem)
+SELECT {floor_sql('1 + r', 5)} AS v1, {floor_sql('1 - r', 5)} AS v2 FROM r""")
+def pca_variances(spark, d):
+    """Two standardised columns spread by one plus and one minus their correlation along the principal axes."""
+    rows = table(spark, d, "lineitem").select(array_to_vector(F.array(F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double"))).alias("features"))
+    xy = cl.plane(cl.standardised(rows))
+    return xy.agg(floor_round(F.var_pop("pc1"), 5).alias("v1"), floor_round(F.var_pop("pc2"), 5).alias("v2"))
+
+
+@query("cluster_matrix_shape", f"""WITH {POSTINGS_CTE}, {SKILLS_CTE}
+SELECT (SELECT count(*) FROM postings) AS n_rows, 2 + (SELECT count(DISTINCT coalesce(city, 'Unknown')) + count(DISTINCT coalesce(job_type, 'Unknown'))
+    + count(DISTINCT coalesce(remote_option, 'Unknown')) FROM postings) + (SELECT count(DISTINCT skill_name) FROM job_skills) AS width,
+  (SELECT count(*) FROM job_skills) + 3 * (SELECT count(*) FROM postings) AS ones""")
+def cluster_matrix_shape(spark, d):
+    """The matrix has a place for every category and skill, and counts every one."""
+    from pyspark.ml.functions import vector_to_array
+    p = parsed(spark, d).select("job_id", "experience_years", "salary_mid", "city", "job_type", "remote_option")
+    x = cl.cluster_matrix(p, job_skills(spark, d)).select(vector_to_array("features").alias("x"))
+    total = F.aggregate(F.slice("x", 3, F.size("x")), F.lit(0.0), lambda s, v: s + v)
+    return x.agg(F.count("*").alias("n_rows"), F.max(F.size("x")).cast("long").alias("width"), F.sum(total).cast("long").alias("ones"))

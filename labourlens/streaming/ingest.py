@@ -2,40 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from labourlens.operators.merge import keep_first
+from labourlens.session import stored
 from labourlens.sources.files import read_or_empty
 
 BUCKETS = 64
 FOLDERS = [StructField("batch_id", LongType()), StructField("key_bucket", IntegerType())]
 
 
-def merge_batch(batch: DataFrame, history: DataFrame, key: str, order: str) -> DataFrame:
-    """Rows of a batch whose key is new, the first of each key."""
-    return keep_first(batch, [key], [order]).join(history.select(key), key, "left_anti")
-
-
 def _bucketed(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("key_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
 
 
-def ingest(stream: DataFrame, path: str, checkpoint: str, key: str, order: str, schema: StructType) -> StreamingQuery:
+def merge_batch(batch: DataFrame, history: DataFrame, key: str) -> DataFrame:
+    """Rows of a batch whose key is not stored yet; both sides carry the bucket of the key.
+
+    Only the folders of buckets that the batch has (``BUCKETS`` at most) are read.
+    """
+    buckets = [r[0] for r in batch.select("key_bucket").distinct().collect()]
+    known = history.where(F.col("key_bucket").isin(buckets)).select("key_bucket", key)
+    return batch.join(known, ["key_bucket", key], "left_anti")
+
+
+def ingest(stream: DataFrame, path: str, checkpoint: str, key: str, order: str, schema: StructType,
+           prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Append the new rows of every micro-batch to ``path`` and run until caught up.
 
-    Each batch owns the folder of its number and overwrites it, so a batch that
+    ``prepare`` turns the rows of a batch into rows of ``schema``, for example
+    raw postings into records; the first row of each key stays.  A batch is
+    prepared once.  Each batch owns the folder of its number and overwrites it, so a batch that
     is retried after a lost executor leaves its rows once.  History is read as
     keys only, leaving out the batch's own folder, and is partitioned by a hash
-    bucket of the key.
+    bucket of the key, one file per batch and bucket.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stored = StructType([*schema, *FOLDERS])
-        history = read_or_empty(spark, path, stored).where(F.col("batch_id") != batch_id)
-        fresh = _bucketed(merge_batch(batch, history, key, order), key)
+        rows = keep_first(prepare(batch) if prepare else batch, [key], [order])
+        rows = stored(_bucketed(rows.select(*schema.fieldNames()), key), "batch")
+        history = read_or_empty(spark, path, StructType([*schema, *FOLDERS])).where(F.col("batch_id") != batch_id)
+        fresh = merge_batch(rows, history, key).repartition("key_bucket")
         fresh.write.mode("overwrite").partitionBy("key_bucket").parquet(f"{path}/batch_id={batch_id}")
 
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
