@@ -55,10 +55,53 @@ def _probes(spark: SparkSession, entries: list[SkillEntry]) -> tuple[DataFrame,
     ), longest
 
 
-def resolve_names(names: DataFrame, entries: list[SkillEntry] = SKILL_ENTRIES) -> DataFrame:
-    """Best dictionary hit for each distinct, trimmed, non-blank ``name``."""
-    spark = names.sparkSession
-    probes, longest = _probes(spark, entries)
+def dictionary_table(user: DataFrame) -> DataFrame:
+    """The built-in entries and a user table ``(alias, canonical, skill_group)`` of any size, as
+    ``(alias, canonical, skill_group, ord)``.
+
+    A user spelling replaces a built-in one and a user's group holds for all spellings of its canonical name; user
+    spellings rank after the built-in ones, among each other by spelling.
+    """
+    spark = user.sparkSession
+    own = user.where("trim(alias) <> ''").groupBy(F.lower(F.trim("alias")).alias("alias")).agg(
+        F.max(F.struct("canonical", "skill_group")).alias("_u")).select("alias", "_u.*")
+    built_in = spark.createDataFrame([(e.alias, e.canonical, e.group, e.ord) for e in SKILL_ENTRIES], "alias string, _c string, _g string, _ord int")
+    regrouped = user.groupBy("canonical").agg(F.max("skill_group").alias("_regrouped"))
+    both = own.join(built_in, "alias", "full").select(
+        "alias", F.coalesce("canonical", "_c").alias("canonical"), F.coalesce("skill_group", "_g").alias("skill_group"),
+        F.coalesce("_ord", F.lit(len(SKILL_ENTRIES))).alias("ord"))
+    return both.join(regrouped, "canonical", "left").select("alias", "canonical", F.coalesce("_regrouped", "skill_group").alias("skill_group"), "ord")
+
+
+def probe_rows(dictionary: DataFrame) -> tuple[DataFrame, int]:
+    """:func:`probe_table` of a dictionary that is a table itself: nothing but the longest spelling's length is fetched."""
+    words = dictionary.withColumn("_w", tokens(F.col("alias")))
+    longest = max(1, words.agg(F.max(F.size("_w"))).first()[0] or 1)
+    w = F.col("_w")
+
+    def probe(kind: str, key: Column, stage: int) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"), F.lit(stage).alias("stage"))
+
+    parts = F.filter(ngrams_up_to(w, longest), lambda g: (F.length(g) >= MIN_PARTIAL_LENGTH) & (g != F.array_join(w, " ")))
+    tries = F.concat(
+        F.array(probe("exact", F.col("alias"), EXACT), probe("canonical", F.lower("canonical"), CANONICAL)),
+        F.when(F.size(w) == 1, F.array(probe("word", F.get(w, F.lit(0)), WORD))).otherwise(F.array()),
+        F.when(F.length("alias") >= MIN_PARTIAL_LENGTH, F.array(probe("holds", F.array_join(w, " "), PARTIAL))).otherwise(F.array()),
+        F.transform(parts, lambda g: probe("held", g, PARTIAL)))
+    rows = words.select("alias", "canonical", "skill_group", "ord", F.explode(tries).alias("t")).select("t.*", "alias", "canonical", "skill_group", "ord")
+    first = F.min(F.struct("ord", "alias", "canonical", "skill_group", "stage"))
+    return rows.groupBy("kind", "key").agg(first.alias("f")).select("kind", "key", "f.canonical", "f.skill_group", "f.stage", "f.ord"), longest
+
+
+def resolve_names(names: DataFrame, entries: list[SkillEntry] | DataFrame = SKILL_ENTRIES) -> DataFrame:
+    """Best dictionary hit for each distinct, trimmed, non-blank ``name``.
+
+    Listed entries are bounded and broadcast; a table of entries joins as the planner sees fit."""
+    if isinstance(entries, DataFrame):
+        probes, longest = probe_rows(entries)
+    else:
+        probes, longest = _probes(names.sparkSession, entries)
+        probes = F.broadcast(probes)
     low = F.lower(F.col("name"))
 
     def probe(kind: str, key: Column, pos: Column | int = 0) -> Column:
@@ -72,7 +115,7 @@ def resolve_names(names: DataFrame, entries: list[SkillEntry] = SKILL_ENTRIES) -
         F.transform(words, lambda w, i: probe("word", w, i)),
     )
     tried = names.withColumn("_words", tokens(F.col("name"))).select("name", F.explode(tries).alias("t"))
-    hits = tried.select("name", "t.*").join(F.broadcast(probes), ["kind", "key"])
+    hits = tried.select("name", "t.*").join(probes, ["kind", "key"])
     best = hits.groupBy("name").agg(
         F.min(F.struct("stage", F.when(F.col("stage") == WORD, F.col("pos")).otherwise(0).alias("pos"),
                        "ord", "canonical", "skill_group")).alias("b"))
@@ -90,7 +133,7 @@ def resolve_names(names: DataFrame, entries: list[SkillEntry] = SKILL_ENTRIES) -
 
 
 def normalize_skills(df: DataFrame, source: str = "skill_raw",
-                     entries: list[SkillEntry] = SKILL_ENTRIES) -> DataFrame:
+                     entries: list[SkillEntry] | DataFrame = SKILL_ENTRIES) -> DataFrame:
     """Add ``canonical, skill_group, matched, confidence`` for the column ``source``.
 
     Work is done once per distinct name (the distinct is pre-aggregated on the

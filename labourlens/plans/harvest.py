@@ -41,12 +41,21 @@ def page_links(spark, d):
 _MARKED = "('cf-challenge|cf_chl|challenge-platform|captcha|attention required|just a moment|enable javascript and cookies|access denied')"
 
 
-@query("page_blocked", f"""SELECT page_id, regexp_matches(lower(html), {_MARKED}) OR page_id % 5 = 0 AS blocked FROM pages""")
-def page_blocked(spark, d):
+def challenged(spark, d):
     # Every fifth page is replaced by a challenge, with its notice at the very end.
     challenge = F.concat("html", F.lit("<p>Just a Moment...</p>"))
-    shown = stored_pages(spark, d).withColumn("html", F.when(F.col("page_id") % 5 == 0, challenge).otherwise(F.col("html")))
-    return shown.select("page_id", pg.is_blocked().alias("blocked"))
+    return stored_pages(spark, d).withColumn("html", F.when(F.col("page_id") % 5 == 0, challenge).otherwise(F.col("html")))
+
+
+@query("page_blocked", f"""SELECT page_id, regexp_matches(lower(html), {_MARKED}) OR page_id % 5 = 0 AS blocked FROM pages""")
+def page_blocked(spark, d):
+    return challenged(spark, d).select("page_id", pg.is_blocked().alias("blocked"))
+
+
+@query("page_quarantine", f"""SELECT page_id, url, coalesce(nullif(regexp_extract(lower(html), {_MARKED}), ''), 'just a moment') AS marker FROM pages
+WHERE regexp_matches(lower(html), {_MARKED}) OR page_id % 5 = 0""")
+def page_quarantine(spark, d):
+    return pg.quarantined(challenged(spark, d))
 
 
 def _script(body, attrs: str):

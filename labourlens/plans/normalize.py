@@ -185,18 +185,34 @@ def skill_unmatched(spark, d):
     return sk.unmatched_report(sk.normalize_skills(posting_skills(spark, d)))
 
 
-@query("skill_custom", f"""WITH {SKILLS_CTE}
+_CUSTOM = f"""WITH {SKILLS_CTE}
 SELECT CASE WHEN canonical IN ('Zorblax', 'Quuxify') THEN upper(canonical) ELSE canonical END AS canonical,
   CASE WHEN canonical = 'Zorblax' THEN 'Tool' WHEN canonical = 'Quuxify' THEN 'Testing' ELSE skill_group END AS skill_group,
   count(*) FILTER (matched OR canonical IN ('Zorblax', 'Quuxify')) AS n_matched, count(*) AS n
-FROM posting_skills GROUP BY 1, 2""")
-def skill_custom(spark, d):
-    extra = spark.createDataFrame(
+FROM posting_skills GROUP BY 1, 2"""
+
+
+def custom_rows(spark):
+    return spark.createDataFrame(
         [("Zorblax", "ZORBLAX", "Tool"), ("quuxify", "QUUXIFY", "Testing")],
         "alias string, canonical string, skill_group string")
-    normal = sk.normalize_skills(posting_skills(spark, d), entries=skill_dictionary(extra))
-    return normal.groupBy("canonical", "skill_group").agg(
-        F.count_if("matched").alias("n_matched"), F.count("*").alias("n"))
+
+
+def matched_counts(normal):
+    return normal.groupBy("canonical", "skill_group").agg(F.count_if("matched").alias("n_matched"), F.count("*").alias("n"))
+
+
+@query("skill_custom", _CUSTOM)
+def skill_custom(spark, d):
+    return matched_counts(sk.normalize_skills(posting_skills(spark, d), entries=skill_dictionary(custom_rows(spark))))
+
+
+@query("skill_custom_table", _CUSTOM)
+def skill_custom_table(spark, d):
+    """The user's entries and a spelling for each customer, joined as a table of any size."""
+    firms = table(spark, d, "customer").select(F.concat(F.lit("skill of "), "c_custkey").alias("alias"), F.col("c_name").alias("canonical"), F.lit("Firm").alias("skill_group"))
+    entries = sk.dictionary_table(custom_rows(spark).unionByName(firms))
+    return matched_counts(sk.normalize_skills(posting_skills(spark, d), entries=entries))
 
 
 # Words of four languages as user entries, one of them two words long.

@@ -36,6 +36,13 @@ def is_blocked(html: str | Column = "html") -> Column:
     return F.coalesce(contains_any(text, BLOCKED_MARKERS), F.lit(False))
 
 
+def quarantined(pages: DataFrame) -> DataFrame:
+    """The challenge pages, with the first marker each one holds: what an extraction leaves out."""
+    low = F.lower(F.col("html"))
+    first = F.coalesce(*[F.when(F.contains(low, F.lit(m)), F.lit(m)) for m in BLOCKED_MARKERS])
+    return pages.withColumn("marker", first).where("marker IS NOT NULL").select("page_id", "url", "marker")
+
+
 def page_title(html: str = "html") -> Column:
     return F.trim(F.regexp_extract(html, TITLE, 1))
 

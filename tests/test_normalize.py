@@ -161,3 +161,15 @@ def test_keys(spark):
     assert column(spark, ["2026-08-04T10:00:00", "bad", None], lambda c: keys.iso_text(keys.iso_timestamp(c))) == [
         "2026-08-04T10:00:00", None, None]
     assert column(spark, ["a b&c"], keys.query_value) == ["a+b%26c"]
+
+
+def test_a_dictionary_table_resolves_like_a_list(spark):
+    extra = spark.createDataFrame([("Zorblax", "Zorb", "Tool"), ("big data lake", "Lakes", "Data"), ("python", "Python", "Snake"), (None, "Nothing", "X"), (" ", "Blank", "X")],
+                                  "alias string, canonical string, skill_group string")
+    names = ["zorblax", "Senior zorblax user", "data lake", "lake", "Python", "python3", "react native", "js", "sql server dev", "no such thing", "c++", "java", "node.js"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    listed = sk.resolve_names(df, skill_dictionary(extra.where("trim(alias) <> ''"))).collect()
+    tabled = sk.resolve_names(df, sk.dictionary_table(extra)).collect()
+    assert {tuple(r) for r in listed} == {tuple(r) for r in tabled}
+    plain = sk.dictionary_table(extra.limit(0))
+    assert {tuple(r) for r in sk.resolve_names(df, plain).collect()} == {tuple(r) for r in sk.resolve_names(df).collect()}
