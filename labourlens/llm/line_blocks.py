@@ -1,10 +1,14 @@
 """Main text of web pages by the distribution of text over lines.
 
 The markup is stripped so that every block element leaves one line.  A line weighs its text length, less what stands in
-links; lines of page furniture (elements and class names below) weigh nothing and, where the page marks an article, so do
-lines outside it.  The weights are summed over a sliding window of lines: the sum surges from zero where running text
-starts and dives back to zero where it ends.  What lies between a surge and its dive is kept if it holds a fair share of
-the heaviest such stretch; in a marked article all of it is kept.
+links; markup only changes weights.  Page furniture (elements and class names below) weighs nothing.  Where the page marks
+an article, its lines count their links too, and a line outside weighs only what it has beyond ``OUTSIDE`` characters.
+Headings and paragraphs (``PROSE``) that are mostly not links, and lines of an article, weigh ``SURGE`` more.
+
+The weights are summed over a sliding window of lines: the sum surges from zero where text starts and dives back to zero
+where it ends.  A stretch in which the sum reaches ``SURGE`` (or the page's heaviest sum, if that is less) is running text.
+From the first surge of such a stretch to the last dive all stretches are kept, short ones too, each with its lines of
+weight zero (linked ones, say); so are linked paragraphs between stretches where no article is marked.  Furniture never is.
 
 Defined results: null or empty html, and pages without running text, give an empty text; unclosed elements end with their
 parent or the page; repeated rows repeat their result; work is one pass over the characters of a page.
@@ -31,8 +35,11 @@ FURNITURE = {"nav", "footer", "aside", "form", "button", "menu", "head", "dialog
 FURNITURE_WORDS = set("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies
 disclaimer footer menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related reply replies share
 sharing sidebar social sponsor sponsored subscribe toolbar widget""".split())
+#: Elements that hold running text.
+PROSE = {"p", "pre", "blockquote", "dd", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6"}
 WINDOW = 3
-SHARE = 0.3
+SURGE = 40
+OUTSIDE = 200
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
@@ -44,6 +51,7 @@ class Line:
     linked: int  # characters inside links
     furniture: bool
     article: bool
+    prose: bool
 
 
 def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
@@ -58,14 +66,14 @@ def lines_of(page: str) -> list[Line]:
     found: list[Line] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool, bool]] = []  # element, furniture, article, link: each includes its parents
-    furniture = article = link = False
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # element, furniture, article, link, prose: each includes its parents
+    furniture = article = link = prose = False
 
     def flush() -> None:
         nonlocal linked
         text = SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            found.append(Line(text, linked, furniture, article))
+            found.append(Line(text, linked, furniture, article, prose))
         parts.clear()
         linked = 0
 
@@ -107,11 +115,12 @@ def lines_of(page: str) -> list[Line]:
                 while stack[-1][0] != tag:
                     stack.pop()
                 stack.pop()
-                _, furniture, article, link = stack[-1] if stack else ("", False, False, False)
+                _, furniture, article, link, prose = stack[-1] if stack else ("", False, False, False, False)
             link = link or tag == "a"
             furniture = furniture or is_furniture(tag, m[3], article)
             article = article or tag in ("article", "main") and not furniture
-            stack.append((tag, furniture, article, link))
+            prose = prose or tag in PROSE
+            stack.append((tag, furniture, article, link, prose))
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
@@ -119,33 +128,45 @@ def lines_of(page: str) -> list[Line]:
                     break
                 if tag not in BLOCK and stack[k][0] in BLOCK:
                     break  # an inline end doesn't close blocks
-            _, furniture, article, link = stack[-1] if stack else ("", False, False, False)
+            _, furniture, article, link, prose = stack[-1] if stack else ("", False, False, False, False)
     flush()
     return found
 
 
-def stretches(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
-    """Surge and dive points: maximal ranges in which the sum over the next ``window`` lines never falls to zero."""
-    out, start, last = [], None, None
-    for i, w in enumerate(weights):
-        if w:
-            if start is None or i - last > window:
-                if start is not None:
-                    out.append((start, last + 1))
-                start = i
-            last = i
-    return out + ([(start, last + 1)] if start is not None else [])
+def weight(line: Line, marked: bool) -> int:
+    """The text length by which a line counts; ``marked``: the page marks an article."""
+    if line.furniture:
+        return 0
+    free = len(line.text) if line.article else max(0, len(line.text) - line.linked)
+    if marked and not line.article:
+        return max(0, free - OUTSIDE)
+    return free + SURGE * (line.article or line.prose and 2 * free >= len(line.text))
+
+
+def stretches(weights: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """(surge, dive, heaviest sum): ranges of lines in which the sum over a sliding window never falls to zero."""
+    out, total, start, peak = [], 0, 0, 0
+    for i, w in enumerate(weights + [0] * window):
+        before, total = total, total + w - (weights[i - window] if i >= window else 0)
+        if total and not before:
+            start, peak = i, 0
+        peak = max(peak, total)
+        if before and not total:
+            out.append((start, i - window + 1, peak))
+    return out
 
 
 def main_text(page: str) -> str:
     lines = lines_of(page)
     marked = any(x.article for x in lines)
-    weights = [0 if x.furniture or marked and not x.article else len(x.text) if marked else max(0, len(x.text) - x.linked) for x in lines]
-    ranges = stretches(weights)
-    if not marked and ranges:
-        sums = [sum(weights[a:b]) for a, b in ranges]
-        ranges = [r for r, s in zip(ranges, sums, strict=True) if s >= SHARE * max(sums)]
-    return "\n\n".join(lines[i].text for a, b in ranges for i in range(a, b) if weights[i])
+    found = stretches([weight(x, marked) for x in lines])
+    level = min(SURGE, max((peak for _, _, peak in found), default=0))
+    running = [(a, b) for a, b, peak in found if peak >= level]
+    if not running:
+        return ""
+    first, last = running[0][0], running[-1][1]
+    held = {i for a, b, _ in found if first <= a < last for i in range(a, b)}
+    return "\n\n".join(lines[i].text for i in range(first, last) if not lines[i].furniture and (i in held or lines[i].prose and not marked))
 
 
 def extract(df: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

@@ -77,6 +77,24 @@ class TestPages:
         text = line_blocks.main_text(page)
         assert text.count("\n\n") == 3 and "Entry" not in text and "Back" not in text
 
+    def test_window_sums(self):
+        assert line_blocks.stretches([0, 5, 0, 0, 7, 0, 0, 0, 2], 3) == [(1, 5, 7), (8, 9, 2)]
+        assert line_blocks.stretches([0, 5, 0, 0, 7, 0, 0, 0, 2], 2) == [(1, 2, 5), (4, 5, 7), (8, 9, 2)]
+        assert line_blocks.stretches([3, 4, 5, 6], 3) == [(0, 4, 15)] and line_blocks.stretches([0, 0]) == line_blocks.stretches([]) == []
+
+    def test_short_and_linked_paragraphs_stay(self):
+        long = "Running text of a paragraph. " * 40
+        advert = "".join(f"<div><a href=/{i}>Advert {i}</a></div>" for i in range(6))
+        page = f"<body><div>Log in</div>{advert}<p>{long}</p><p><a href=/x>A linked paragraph.</a></p><p>{long}</p>{advert}<div>Short.</div>{advert}<p>The end.</p>{advert}</body>"
+        assert line_blocks.main_text(page).split("\n\n") == [long.strip(), "A linked paragraph.", long.strip(), "Short.", "The end."]
+
+    def test_the_window_acts_beside_an_article(self, monkeypatch):
+        long = "Running text of a paragraph. " * 40
+        page = f"<article><p>Teaser.</p></article><p>{long}</p><div>Small print</div><div>Between</div><p>{long}</p><div>Imprint</div>"
+        assert line_blocks.main_text(page).split("\n\n") == ["Teaser.", long.strip(), "Small print", "Between", long.strip()]
+        monkeypatch.setattr(line_blocks.stretches, "__defaults__", (1,))
+        assert line_blocks.main_text(page).split("\n\n") == ["Teaser.", long.strip(), long.strip()]
+
     @pytest.mark.parametrize("page", ["", "<", "<p", "<!-- open", "<script>never ends", "</p></div>", "a < b", "<p>" * 5000, "&#xZZ; &#0; &nosuch;"])
     def test_odd_pages(self, page):
         assert isinstance(line_blocks.main_text(page), str)
