@@ -9,10 +9,11 @@ dictionaries trained on the other half of the documents.
 A document's score is a calibrated probability: logistic regression, fitted to the labelled documents, on the largest gain,
 the mean gain and the share of windows whose gain passes a threshold that few ordinary windows pass.
 
-The fit uses at most ``SAMPLE`` labelled documents of each class, chosen by a hash of the id; every window of every
-document is scored.  Defined results: null and empty texts have no window and get the score of the features' zeros; without
+The fit uses at most ``SAMPLE`` labelled documents of each class, chosen by a hash of the id; an id with several texts gives
+its further ones (``TEXTS`` at most) only after the first of all chosen ids.  Every window of every document is scored.  Defined results: null and empty texts have no window and get the score of the features' zeros; without
 labels of both classes all documents get the share of toxic labels (0 without labels); repeated rows repeat their score;
-label rows that are null, not 0 or 1, or repeated, count as given, nulls not at all.
+label rows that are null, not 0 or 1, or of no document count not at all, repeated ones
+once; an id of both labels counts in both classes.
 """
 
 from __future__ import annotations
@@ -23,10 +24,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labourlens.session import stored
+
 SAMPLE = 2_500
+TEXTS = 1_000  # Spark limits a rank inside each task up to this number
 WINDOW = 160
 PART = 8_000
 BASE = 64_000
@@ -176,12 +180,21 @@ def learns(key: Column) -> Column:
 
 def fit_labels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` labelled documents of each class; the bounded sample is the only thing collected."""
+    bodies = docs.select(F.col(key).alias("own"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     usable = labels.filter(F.col(key).isNotNull() & learns(F.col(key)) & F.col(label).isin(0, 1)).select(F.col(key).alias("own"), F.col(label).cast("int").alias("label"))
-    by_hash = [usable.filter(F.col("label") == v).orderBy(F.xxhash64("own"), "own").limit(sample) for v in (1, 0)]
-    chosen = by_hash[0].unionByName(by_hash[1])
-    rows = docs.select(F.col(key).alias("own"), F.col(text).alias("body")).join(F.broadcast(chosen), "own").select("own", "body", "label").collect()
-    # a document that occurs again counts once, so that the sample stays bounded
-    found = {(r["own"], r["label"], r["body"] or "") for r in rows}
+    usable = usable.distinct().join(bodies.select("own").distinct(), "own", "left_semi")
+
+    def first(df: DataFrame, *order: Column | str) -> DataFrame:
+        by_class = [df.filter(F.col("label") == v).orderBy(*order).limit(sample) for v in (1, 0)]
+        return stored(by_class[0].unionByName(by_class[1]), "sample")
+
+    ids = first(usable, F.xxhash64("own"), "own")
+    # copies meet as one digest in the tasks that read them, so that neither they nor a crowd of texts under one id travel
+    held = bodies.join(F.broadcast(ids), "own").withColumn("digest", F.sha2(F.col("body").cast("binary"), 256))
+    place = F.row_number().over(Window.partitionBy("own", "label").orderBy("digest"))
+    ranked = held.select("own", "label", "digest").distinct().withColumn("place", place).filter(F.col("place") <= TEXTS)
+    texts = first(ranked, "place", F.xxhash64("own"), "own", "digest").drop("place")
+    found = {tuple(r) for r in held.join(F.broadcast(texts), ["own", "label", "digest"]).select("own", "label", "body").distinct().collect()}
     pick = lambda v: [t for _, x, t in sorted(found) if x == v]
     return fit(pick(1), pick(0))
 

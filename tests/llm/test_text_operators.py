@@ -201,6 +201,24 @@ class TestToxicity:
         assert {r["score"] for r in toxicity.score(docs, toxicity.fit_labels(docs, none)).collect()} == {0.0}
         assert toxicity.score(docs.limit(0), toxicity.fit_labels(docs, none)).collect() == []
 
+    def test_the_sample_counts_documents(self, spark, monkeypatch):
+        fitted, collected = [], []
+        monkeypatch.setattr(toxicity, "fit", lambda toxic, ordinary: fitted.append((toxic, ordinary)))
+        learnt = [r["id"] for r in spark.range(400).filter(toxicity.learns(F.col("id"))).orderBy(F.xxhash64("id"), "id").collect()]
+        one, two, rest = learnt[0], learnt[1], learnt[2:200]
+        texts = [(i, f"text {i}") for i in rest] + [(one, "copy")] * 300 + [(two, f"own {k}") for k in range(300)]
+        # many labels of one document, and labels of none, come first
+        labels = [(one, 1)] * 100 + [(two, 0)] * 100 + [(i, k % 2) for k, i in enumerate(rest)] + [(10**6 + i, i % 2) for i in range(3000)]
+        docs, labels = documents(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")
+        plain = type(docs).collect
+        monkeypatch.setattr(type(docs), "collect", lambda df: collected.append(plain(df)) or collected[-1])
+        toxicity.fit_labels(docs, labels, sample=30)
+        toxicity.fit_labels(docs, labels)
+        (toxic, ordinary), (all_toxic, all_ordinary) = fitted
+        assert len(toxic) == len(ordinary) == 30 and len(set(toxic + ordinary)) == 60 and "copy" in toxic
+        assert sum(t.startswith("own ") for t in ordinary) == 1  # one text each, while there are ids enough
+        assert len(collected[0]) == 60 and len(all_toxic) == 100 and len(all_ordinary) == 99 + 300
+
 
 def test_windows_cover_the_text():
     data = ("wörter und so " * 300 + "x" * 500).encode()
