@@ -36,6 +36,7 @@ PART = 8_000
 BASE = 64_000
 ROUNDS = 1
 LEAST = 3
+TIMES = 30
 LEVEL = 6
 
 
@@ -101,27 +102,31 @@ def trained(samples: list[bytes], size: int) -> bytes:
     return b" ".join(samples)[:size]
 
 
-def own_words(docs: list[list[bytes]], other: set[bytes]) -> list[bytes]:
-    """Per document, the words that the class uses in many places and the other class lacks.
+def own_words(docs: list[list[bytes]], other: list[list[bytes]]) -> list[bytes]:
+    """Per document, the words that the class uses in many places and ``TIMES`` as often as the other class.
 
-    Words of both classes compress alike under either dictionary, and the rare words of a passage teach nothing: both would
-    only fill a dictionary with chance matches.  Places are counted as different left neighbours, so that a word of a
+    Often means the share of documents with the word, so that a few wrong labels or quoting documents don't take a word away.
+    Words that both classes use compress alike under either dictionary, and the rare words of a passage teach nothing: both
+    would only fill a dictionary with chance matches.  Places are counted as different left neighbours, so that a word of a
     passage with many copies counts once."""
     held = [[w for window in doc for w in window.split()] for doc in docs]
     places = Counter(w for w, _ in {pair for words in held for pair in zip(words[1:], words, strict=False)})
     least = max(LEAST, len(docs) // 100)
-    own = [[w for w in dict.fromkeys(words) if places[w] >= least and w not in other] for words in held]
+    here, there = _documents_with(docs), _documents_with(other)
+    rare = {w for w in here if here[w] * len(other) >= TIMES * there[w] * len(docs)}
+    own = [[w for w in dict.fromkeys(words) if places[w] >= least and w in rare] for words in held]
     return [b" " + b" ".join(words) + b" " for words in own if words]
 
 
-def _words(docs: list[list[bytes]]) -> set[bytes]:
-    return {w for doc in docs for window in doc for w in window.split()}
+def _documents_with(docs: list[list[bytes]]) -> Counter:
+    """Per word, the number of documents that have it."""
+    return Counter(w for doc in docs for w in {w for window in doc for w in window.split()})
 
 
 def _parts(toxic: list[list[bytes]], ordinary: list[list[bytes]], base: bytes) -> tuple[bytes, bytes]:
     """Both contents: the trained part, then the base.  The part stands farther off, so that it is used only for what the
     base lacks, and distances into the base are the same for both."""
-    t, o = trained(own_words(toxic, _words(ordinary)), PART), trained(own_words(ordinary, _words(toxic)), PART)
+    t, o = trained(own_words(toxic, ordinary), PART), trained(own_words(ordinary, toxic), PART)
     return t + base, o + base
 
 

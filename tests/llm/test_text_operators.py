@@ -219,6 +219,24 @@ class TestToxicity:
         assert sum(t.startswith("own ") for t in ordinary) == 1  # one text each, while there are ids enough
         assert len(collected[0]) == 60 and len(all_toxic) == 100 and len(all_ordinary) == 99 + 300
 
+    def test_one_label_in_a_hundred_wrong(self):
+        rng = random.Random(5)
+        vocabulary = ["".join(rng.choice("aeioubcdfglmnprst") for _ in range(rng.randint(2, 9))) for _ in range(1500)]
+        foul = ["vileword", "nastyterm", "slurish", "badmouth", "hatespew"]
+
+        def text(toxic):
+            words = [rng.choice(vocabulary) for _ in range(rng.randint(40, 120))]
+            for _ in range(4 if toxic else 0):
+                words.insert(rng.randrange(len(words)), rng.choice(foul))
+            return " ".join(words)
+
+        toxic, ordinary = [text(True) for _ in range(300)], [text(False) for _ in range(900)]
+        model = toxicity.fit(toxic[:297] + ordinary[:9], ordinary[9:] + toxic[297:])
+        assert all(w.encode() in model.toxic for w in foul)
+        pair = toxicity.Pair(model.toxic, model.ordinary)
+        held = [(model.score(pair, text(x)) >= 0.3, x) for x in [True] * 100 + [False] * 300]
+        assert sum(p == x for p, x in held) / len(held) > 0.95
+
 
 def test_windows_cover_the_text():
     data = ("wörter und so " * 300 + "x" * 500).encode()
