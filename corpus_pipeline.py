@@ -19,7 +19,8 @@ from labourlens.session import scratch
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity: documents scored at TOXIC_AT or more go."""
     model = toxicity.fit_labels(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, into="toxic_score").filter(F.col("toxic_score") < TOXIC_AT).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "text")  # the operators' own names can't clash with the columns of documents
+    return toxicity.score(rows, model).filter(F.col("score") < TOXIC_AT).select("row.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +36,9 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: a document occurs as often as its source's target asks, none to twice."""
-    sized = docs.withColumn("_size", mixing.word_count(F.col("text")))
-    mixed = mixing.mix(sized, size="_size", seed=SEED)
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int")))).filter(F.col("_copy") > 0).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    mixed = mixing.mix(rows, seed=SEED).select("row", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int"))).alias("copy"))
+    return mixed.filter(F.col("copy") > 0).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

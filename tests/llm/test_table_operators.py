@@ -263,6 +263,19 @@ def test_pipeline(spark, sf_dir):
     assert counts[0] >= counts[1] >= counts[2] == counts[3] and counts[5] == counts[4] > 0
 
 
+def test_pipeline_keeps_columns_of_any_name(spark, sf_dir):
+    names = ["source_size", "target", "rate", "copies", "_size", "_copy", "size", "copy", "toxic_score", "score", "row"]
+    plain = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).cache()
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("toxicity", "mixing"):
+            out = stage(spark, plain.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in names}), sf_dir)
+            rows = out.collect()
+            assert out.columns == plain.columns + names and rows
+            assert all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in names)
+            key = lambda rs: sorted((r["doc_id"], r["text"]) for r in rs)
+            assert key(rows) == key(stage(spark, plain, sf_dir).collect())
+
+
 def test_pipeline_of_nothing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
