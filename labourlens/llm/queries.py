@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labourlens.llm import ball_tree, bpe_dropout, chosen_path, host_rules, line_blocks, mixing, pii, sharding, token_file, toxicity
+from labourlens.llm import ball_tree, bpe_dropout, chosen_path, host_rules, line_blocks, merkle, mixing, pii, sharding, token_file, toxicity
 from labourlens.session import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ PIECE_MODEL, WORD_TOKENIZER = "piece_bpe_32k.model", "word_bpe_49k.json"
 DROPOUT, SEED = 0.1, 20240601
 TOXIC_AT = 0.3
 SHARDS = 24
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,11 +84,70 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's digests and proof; every third one with its capitals lowered, which the proof must tell."""
+    docs = table(spark, sf_dir, "documents")
+
+    def leaf(text: Column) -> Column:
+        return merkle.leaf([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text])
+
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, leaf(F.translate("text", CAPITALS, CAPITALS.lower())))
+    rows = docs.select("doc_id", "lang", leaf(F.col("text")).alias("leaf"), tampered.alias("claimed"))
+    manifest = merkle.build(rows, F.col("lang"), F.col("doc_id"), F.col("leaf"))
+    return merkle.verify(manifest, "claimed").select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_sentencepiece_dropout, op2_pii, op3_ngram_jaccard, op4_hypergeometric_shards, op5_entropy_mixing, op6_toxicity, op7_token_file, op8_ball_tree,
-    op9_line_blocks, op10_host_rules)}
+    op9_line_blocks, op10_host_rules, op13_merkle_manifest)}
+
+
+
+def merkle_sql() -> str:
+    """Trees level by level: a level groups runs of eight while its tree has more than one node; ways are folded alike."""
+    upper = f"translate(text, '{CAPITALS}', '{CAPITALS.lower()}')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def levels(leaves: str, t: str, many: int) -> str:
+        """CTEs of the levels over ``leaves`` (tree, i, d), with the siblings of every node."""
+        out, below = "", leaves
+        for k in range(many):
+            out += f"""
+{t}{k} AS (SELECT tree, i, d, count(*) OVER (PARTITION BY tree) AS n, string_agg(d, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l,
+  string_agg(d, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r FROM {below} WINDOW w AS (PARTITION BY tree, i // 8 ORDER BY i)),
+{t}{k}u AS (SELECT tree, i // 8 AS i, sha256(string_agg(d, '' ORDER BY i)) AS d FROM {t}{k} WHERE n > 1 GROUP BY tree, i // 8),"""
+            below = f"{t}{k}u"
+        roots = " UNION ALL ".join(f"SELECT tree, d FROM {t}{k} WHERE n = 1" for k in range(many))
+        return f"{out}\n{t}roots AS ({roots}),"
+
+    def climb(rows: str, t: str, many: int, tree: str, place: str) -> str:
+        """CTEs that carry (proof, folded) of ``rows`` up the levels."""
+        out, below = "", rows
+        for k in range(many):
+            out += f"""
+{rows}_{t}{k} AS (SELECT x.* REPLACE (CASE WHEN y.d IS NULL THEN x.proof ELSE x.proof || coalesce(y.l, '') || coalesce(y.r, '') END AS proof,
+  CASE WHEN y.d IS NULL THEN x.folded ELSE sha256(coalesce(y.l, '') || x.folded || coalesce(y.r, '')) END AS folded)
+  FROM {below} x LEFT JOIN {t}{k} y ON y.n > 1 AND y.tree = x.{tree} AND y.i = x.{place} // {8**k}),"""
+            below = f"{rows}_{t}{k}"
+        return out
+
+    return f"""
+WITH bits AS (SELECT row_number() OVER () AS r, *, [ord(c) for c in string_split(CAST(doc_id AS VARCHAR), '')] AS b FROM documents),
+crc AS (SELECT *, xor(CAST(4294967295 AS BIGINT), list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(c AS BIGINT) for c in b]), lambda a, c: list_reduce(
+  [xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, CAST(3988292384 AS BIGINT)) ELSE v // 2 END))) AS c32 FROM bits),
+leaves AS (SELECT r, doc_id, {leaf('text')} AS d, CASE WHEN c32 % 3 = 0 THEN {leaf(upper)} ELSE {leaf('text')} END AS claimed, coalesce('1' || lang, '0') AS tree FROM crc),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, d, r) - 1 AS i, d AS leaf, '' AS proof, claimed AS folded FROM leaves),{levels('placed', 'a', 8)}
+tops AS (SELECT 't' AS tree, tree AS name, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, d FROM aroots),{levels('tops', 'b', 4)}
+{climb('placed', 'a', 8, 'tree', 'i')}
+grouped AS (SELECT p.*, q.i AS g, q.d AS subroot, 't' AS top FROM placed_a7 p JOIN tops q ON p.tree = q.name),{climb('grouped', 'b', 4, 'top', 'g')}
+one AS (SELECT d AS root FROM broots)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM grouped_b3, one"""
+
 
 ORACLES: dict[str, str] = {
+    "op13_merkle_manifest": merkle_sql(),
     "op8_ball_tree": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q FROM embeddings
            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
