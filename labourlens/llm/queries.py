@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labourlens.llm import ball_tree, bpe_dropout, chosen_path, host_rules, line_blocks, merkle, mixing, pii, sharding, token_file, toxicity
+from labourlens.llm import ball_tree, bpe_dropout, chosen_path, host_rules, line_blocks, merkle, mixing, pii, sharding, token_file, toxicity, whitening
 from labourlens.session import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,12 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deviations beyond 63 bits do not fit the result's type and are null; the operator itself gives them as decimals."""
+    out = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.select("vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's digests and proof; every third one with its capitals lowered, which the proof must tell."""
     docs = table(spark, sf_dir, "documents")
@@ -99,7 +105,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_sentencepiece_dropout, op2_pii, op3_ngram_jaccard, op4_hypergeometric_shards, op5_entropy_mixing, op6_toxicity, op7_token_file, op8_ball_tree,
-    op9_line_blocks, op10_host_rules, op13_merkle_manifest)}
+    op9_line_blocks, op10_host_rules, op12_embedding_whitening, op13_merkle_manifest)}
 
 
 
