@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labourlens.llm import ball_tree, bpe_dropout, chosen_path, host_rules, line_blocks, merkle, mixing, pii, sharding, token_file, toxicity, whitening
+from labourlens.llm import ball_tree, bpe_dropout, chosen_path, host_rules, license_scan, line_blocks, merkle, mixing, pii, sharding, token_file, toxicity, whitening
 from labourlens.session import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,11 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deviations beyond 63 bits do not fit the result's type and are null; the operator itself gives them as decimals."""
     out = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
@@ -105,7 +110,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_sentencepiece_dropout, op2_pii, op3_ngram_jaccard, op4_hypergeometric_shards, op5_entropy_mixing, op6_toxicity, op7_token_file, op8_ball_tree,
-    op9_line_blocks, op10_host_rules, op12_embedding_whitening, op13_merkle_manifest)}
+    op9_line_blocks, op10_host_rules, op11_license_scan, op12_embedding_whitening, op13_merkle_manifest)}
 
 
 
@@ -152,7 +157,34 @@ one AS (SELECT d AS root FROM broots)
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM grouped_b3, one"""
 
 
+def license_sql() -> str:
+    """Every block of every text against every template, and phrases at every place."""
+    listed = lambda words: "[" + ", ".join(f"'{w.decode()}'" for w in words) + "]"
+    templates = [(label, license_scan.words_of(text)) for label, text in license_scan.TEMPLATES]
+    rows = ", ".join(f"('{label}', {license_scan.width(len(w))}, {listed(sorted(set(w)))}, {license_scan.needed(len(set(w)))})" for label, w in templates)
+    phrases = {label: license_scan.words_of(text) for label, text in license_scan.PHRASES.items()}
+    starts = ", ".join(f"list_filter(range(len(w) - {len(p) - 1}), lambda i: {' AND '.join(f'w[i + {k + 1}] = ' + chr(39) + x.decode() + chr(39) for k, x in enumerate(p))}) AS p{j}"
+                       for j, p in enumerate(phrases.values()))
+    every = " || ".join(f"p{j}" for j in range(len(phrases)))
+    base = " || ".join(f"CASE WHEN len(p{j}) > 0 THEN ['{label}'] ELSE [] END" for j, label in enumerate(phrases))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{CAPITALS}', '{CAPITALS.lower()}'),
+  '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+places AS (SELECT r, doc_id, w, {starts} FROM d),
+base AS (SELECT r, doc_id, len(w) AS n_words, {every} AS p, {base} AS b FROM places),
+t(label, width, tokens, need) AS (VALUES {rows}),
+starts AS (SELECT r, w, width, unnest(range(0, len(w), width)) AS s FROM d, (SELECT DISTINCT width FROM t)),
+blocks AS (SELECT r, width, list_distinct(list_slice(w, s + 1, s + 2 * width)) AS block FROM starts WHERE s = 0 OR s + width < len(w)),
+met AS (SELECT r, label, len(list_intersect(block, tokens)) / len(tokens) AS c FROM blocks JOIN t USING (width) WHERE len(list_intersect(block, tokens)) >= need),
+found AS (SELECT r, list(DISTINCT label) AS labels, max(c) AS c FROM met GROUP BY r)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base, list_min(p) AS first_word, list_max(p) AS last_word,
+  array_to_string(list_sort(b), ',') AS base_labels, array_to_string(list_sort(list_distinct(b || coalesce(labels, []))), ',') AS labels,
+  CASE WHEN len(b) > 0 THEN 1.0 ELSE coalesce(c, 0.0) END::DOUBLE AS score
+FROM base LEFT JOIN found USING (r)"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_license_scan": license_sql(),
     "op13_merkle_manifest": merkle_sql(),
     "op8_ball_tree": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q FROM embeddings

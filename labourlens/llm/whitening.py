@@ -170,7 +170,7 @@ def quantised(df: DataFrame, vector: str = "embedding", scale: int = 256) -> Dat
     usable = F.col(vector).isNotNull() & ~F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf")))
     whole = F.transform(vector, lambda v: F.when(F.abs(v.cast("double") * scale) < LARGEST, F.floor(v.cast("double") * scale)).otherwise(
         F.raise_error(F.lit("an entry is too large"))))
-    return df.where(usable).select(F.struct(*[c for c in df.columns if c != vector]).alias("row"), whole.alias("x"))
+    return df.where(usable).select(F.struct(*([c for c in df.columns if c != vector] or [F.lit(0).alias("n")])).alias("row"), whole.alias("x"))
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
