@@ -13,21 +13,29 @@ the rows already seen.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import itertools
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labourlens.functions import similarity as sim
 from labourlens.functions.text import folded
-from labourlens.session import cut
+from labourlens.session import cut, stored
 
 UNKNOWN_TITLE, UNKNOWN_COMPANY = "Unknown Title", "Unknown"
 TITLE_THRESHOLD = 0.8
 TEXT_THRESHOLD = 0.7
 MIN_TEXT = 30
 HEADS = 32
+#: Companies of up to so many distinct titles are compared whole; titles over this length are keyed by letters, not parts.
+DIRECT, LONG_TITLE = 32, 64
+#: Companies of up to so many descriptions are walked whole, and pairs that are scored together.
+WALK, WALK_PAIRS = 128, 1 << 15
 
 Score = Callable[[Column, Column], Column]
 
@@ -72,24 +80,27 @@ def without(df: DataFrame, dups: DataFrame) -> DataFrame:
     return df.join(dups.select("ord"), "ord", "left_anti")
 
 
-def _pairs(heads: DataFrame, rest: DataFrame, rows: DataFrame, score: Score, threshold: float, share: float) -> DataFrame:
+def _pairs(heads: DataFrame, rest: DataFrame, rows: DataFrame, score: Score, threshold: float, fits: Column) -> DataFrame:
     """Scored pairs (earlier head a, later row b) under a common key and block.
 
-    Two payloads match only if the smaller size is ``share`` of the larger one
-    or more; other pairs go before any exchange of pairs or payloads.
+    ``fits`` sees the columns that travel with the keys as ``na, nb, …``; pairs
+    that cannot match go before any exchange of pairs or payloads.
     """
-    sizes = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(share - 1e-9)
-    pairs = (
-        heads.select("key", F.col("ord").alias("a"), F.col("n").alias("na"))
-        .join(rest.select("key", F.col("ord").alias("b"), F.col("n").alias("nb")), "key")
-        .where(F.col("a") < F.col("b")).where(sizes).select("a", "b").distinct()
-    )
+    def side(keys: DataFrame, s: str) -> DataFrame:
+        return keys.select("key", F.col("ord").alias(s), *[F.col(c).alias(c + s) for c in keys.columns if c not in ("key", "ord")])
+
+    pairs = side(heads, "a").join(side(rest, "b"), "key").where(F.col("a") < F.col("b")).where(fits).select("a", "b").distinct()
     left = rows.select(F.col("ord").alias("a"), F.col("block").alias("_ba"), F.col("payload").alias("_pa"))
     right = rows.select(F.col("ord").alias("b"), F.col("block").alias("_bb"), F.col("payload").alias("_pb"))
     joined = pairs.join(left, "a").join(right, "b").where("_ba <=> _bb")
     return joined.select("a", "b", score(F.col("_pa"), F.col("_pb")).alias("score")).where(F.col("score") >= threshold)
 
 
+def _sizes_fit(share: float) -> Column:
+    """Two payloads match only if the smaller size is ``share`` of the larger one or more."""
+    return F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(share - 1e-9)
+
+
 def _heads(keyed: DataFrame, n: int) -> DataFrame:
     """First rows of every key; the limit is applied in each task before the exchange."""
     rank = F.row_number().over(W.partitionBy("key").orderBy("ord"))
@@ -99,14 +110,14 @@ def _heads(keyed: DataFrame, n: int) -> DataFrame:
 def _shared(keys: DataFrame) -> DataFrame:
     """Keys that more than one row carries; a row without one has no candidates
     and is kept without taking part."""
-    keys = cut(keys)
+    keys = stored(keys, "keys")
     return cut(keys.join(keys.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "key", "left_semi"))
 
 
-def leader_duplicates(rows: DataFrame, keys: DataFrame, score: Score, threshold: float, share: float, heads: int = HEADS) -> DataFrame:
+def leader_duplicates(rows: DataFrame, keys: DataFrame, score: Score, threshold: float, fits: Column, heads: int = HEADS) -> DataFrame:
     """Greedy leaders in arrival order: a row is dropped iff an earlier *kept* row
-    matches it.  ``rows(ord, block, payload)``, ``keys(key, ord, n)``: n is the
-    size of the row's payload.
+    matches it.  ``rows(ord, block, payload)``, ``keys(key, ord, n, …)``: n is the
+    size of the row's payload, ``fits`` as in :func:`_pairs`.
 
     A row is kept for certain once it is among the compared heads of all its keys
     and matches nothing earlier that is still open.  Kept rows drop their
@@ -119,10 +130,10 @@ def leader_duplicates(rows: DataFrame, keys: DataFrame, score: Score, threshold:
     while True:
         longest = open_.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
         if longest <= heads:
-            rest = _resolve(cut(_pairs(open_, open_, rows, score, threshold, share)))
+            rest = _resolve(cut(_pairs(open_, open_, rows, score, threshold, fits)))
             return rest if found is None else found.unionByName(rest)
         head = cut(_heads(open_, heads))
-        edges = cut(_pairs(head, open_, rows, score, threshold, share))
+        edges = cut(_pairs(head, open_, rows, score, threshold, fits))
         n_keys = open_.groupBy("ord").agg(F.count("*").alias("k"))
         n_head = head.groupBy("ord").agg(F.count("*").alias("h"))
         compared = n_keys.join(n_head, "ord").where("k = h").select("ord")
@@ -159,75 +170,169 @@ def _resolve(edges: DataFrame) -> DataFrame:
             return found
 
 
-def earlier_duplicates(rows: DataFrame, keys: DataFrame, score: Score, threshold: float, share: float, heads: int = HEADS) -> DataFrame:
-    """A row is dropped iff *any* earlier row in its block matches it."""
-    targets = sources = _shared(keys)
+def earlier_duplicates(rows: DataFrame, keys: DataFrame, score: Score, threshold: float, fits: Column, heads: int = HEADS) -> DataFrame:
+    """A row is dropped iff *any* earlier row in its block matches it.
+
+    ``keys`` have a role: 0 meets 1, and 2 meets 2.  Keys without a partner leave
+    at once.
+    """
+    keys = stored(keys, "keys")
+    roles = keys.groupBy("key").agg(F.min("role").alias("_low"), F.max("role").alias("_high"), F.count("*").alias("_n"))
+    targets = sources = cut(keys.join(roles.where("(_low = 0 AND _high = 1) OR (_low = 2 AND _n > 1)").select("key"), "key", "left_semi"))
+    meet = ((F.col("rolea") != F.col("roleb")) | (F.col("rolea") == 2)) & fits
     rows = cut(rows.join(sources.select("ord").distinct(), "ord", "left_semi"))
     found: DataFrame | None = None
     while True:
-        head = cut(_heads(sources, heads))
+        rank = F.row_number().over(W.partitionBy("key", "role").orderBy("ord"))
+        head = cut(sources.withColumn("_r", rank).where(F.col("_r") <= heads).drop("_r"))
         dropped = cut(
-            _pairs(head, targets, rows, score, threshold, share)
+            _pairs(head, targets, rows, score, threshold, meet)
             .groupBy("b").agg(F.min(F.struct("a", "score")).alias("x"))
             .select(F.col("b").alias("ord"), F.col("x.a").alias("kept_ord"), F.col("x.score").alias("score")))
         found = dropped if found is None else found.unionByName(dropped)
-        sources = cut(sources.join(head, ["key", "ord"], "left_anti"))
+        sources = cut(sources.join(head, ["key", "role", "ord"], "left_anti"))
         targets = cut(targets.join(dropped.select("ord"), "ord", "left_anti"))
         if sources.isEmpty() or targets.isEmpty():
             return found
         heads *= 2
 
 
-def _letter_rows(df: DataFrame, title: str, company: str, share: float) -> tuple[DataFrame, DataFrame]:
-    rows = df.select("ord", folded(company).alias("block"), folded(title).alias("payload")).where(
-        "block <> '' AND payload <> ''")
-    keys = rows.select("ord", "block", F.length("payload").alias("n"), F.explode(sim.letter_keys(F.col("payload"), share)).alias("k")).select(
-        F.xxhash64("block", "k").alias("key"), "ord", "n")
-    return rows, keys
-
-
 def near_titles(df: DataFrame, title: str = "job_title", company: str = "company_name",
                 threshold: float = TITLE_THRESHOLD) -> DataFrame:
     """Similar titles within one company, greedy leaders, exact for the threshold."""
-    rows, keys = _letter_rows(df, title, company, sim.ratio_share(threshold))
-    dups = leader_duplicates(rows, keys, lambda a, b: sim.title_score(a, b, threshold), threshold, threshold / (2 - threshold))
+    rows = df.select("ord", folded(company).alias("block"), folded(title).alias("payload")).where("block <> '' AND payload <> ''")
+    letters = sim.letter_keys(F.col("payload"), sim.ratio_share(threshold))
+    keys = rows.select("ord", "block", F.length("payload").alias("n"), F.explode(letters).alias("k")).select(
+        F.xxhash64("block", "k").alias("key"), "ord", "n")
+    dups = leader_duplicates(rows, keys, lambda a, b: sim.title_score(a, b, threshold), threshold, _sizes_fit(sim.ratio_share(threshold)))
     return _found(dups, "near", [title])
 
 
+def _with_block_size(rows: DataFrame) -> DataFrame:
+    return rows.join(rows.groupBy("block").agg(F.count("*").alias("block_n")), "block")
+
+
+def title_keys(titles: DataFrame, threshold: float) -> DataFrame:
+    """Keys of distinct titles under which all pairs within edit distance meet, with what prunes the others."""
+    keys = titles.select("ord", F.length("payload").alias("n"), sim.letter_parity("payload").alias("parity"),
+                         F.explode(sim.segment_keys("payload", "block", threshold, LONG_TITLE)).alias("k"))
+    return keys.select("k.key", "k.role", "ord", "n", "parity")
+
+
+def titles_fit(threshold: float) -> Column:
+    """Lengths, and letters that occur an odd number of times in one title only: an edit changes two of these at most."""
+    most = F.expr(sim.edits("greatest(na, nb)", threshold))
+    return (F.greatest("na", "nb") - F.least("na", "nb") <= most) & (F.bit_count(F.col("paritya").bitwiseXOR(F.col("parityb"))) <= 2 * most)
+
+
 def earlier_titles(df: DataFrame, title: str = "job_title", company: str = "company_name",
-                   threshold: float = TITLE_THRESHOLD) -> DataFrame:
+                   threshold: float = TITLE_THRESHOLD, direct: int = DIRECT) -> DataFrame:
     """Titles within edit distance of any earlier title of the company.
 
     Differs from :func:`near_titles` on chains only: a row that resembles a
-    dropped row is dropped too.
+    dropped row is dropped too.  Equal titles are compared once, for the first
+    row that has them.  A company of up to ``direct`` titles is compared whole,
+    which is less than the keys of its titles; larger ones by parts of titles.
     """
-    rows, keys = _letter_rows(df, title, company, threshold)
-    return _found(earlier_duplicates(rows, keys, sim.levenshtein_score, threshold, threshold), "near", [title])
+    rows = df.select("ord", folded(company).alias("block"), folded(title).alias("payload")).where("block <> '' AND payload <> ''")
+    titles = stored(rows.groupBy("block", "payload").agg(F.min("ord").alias("ord"), F.count("*").alias("copies")), "titles")
+    sized = _with_block_size(titles).where("block_n > 1")
+
+    small = sized.where(F.col("block_n") <= direct)
+    a, b = (small.select("block", F.col("ord").alias(s), F.col("payload").alias("p" + s), F.length("payload").alias("n" + s)) for s in "ab")
+    pairs = a.join(b, "block").where((F.col("a") < F.col("b")) & _sizes_fit(threshold))
+    near = (pairs.select("a", F.col("b").alias("ord"), sim.levenshtein_score(F.col("pa"), F.col("pb")).alias("score")).where(F.col("score") >= threshold)
+            .groupBy("ord").agg(F.min(F.struct("a", "score")).alias("x")).select("ord", F.col("x.a").alias("kept_ord"), "x.score"))
+    large = sized.where(F.col("block_n") > direct).select("ord", "block", "payload")
+    if not large.isEmpty():
+        near = near.unionByName(earlier_duplicates(large, title_keys(large, threshold), sim.levenshtein_score, threshold, titles_fit(threshold)))
+
+    repeated = titles.where("copies > 1")
+    if not repeated.isEmpty():
+        near = stored(near, "near")
+        copies = rows.join(repeated.withColumnRenamed("ord", "first"), ["block", "payload"]).where("ord <> first").select("ord", "first")
+        of = near.select(F.col("ord").alias("first"), F.col("kept_ord").alias("_kept"), F.col("score").alias("_score"))
+        near = near.unionByName(copies.join(of, "first", "left").select("ord", F.coalesce("_kept", "first").alias("kept_ord"), F.coalesce("_score", F.lit(1.0)).alias("score")))
+    return _found(near, "near", [title])
+
+
+def _walked(rows: DataFrame, threshold: float) -> DataFrame:
+    """The sequential walk over whole blocks of bounded size: all pairs of many blocks are scored together."""
+    ratios = sim.ratios
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settle(groups: list[list[tuple]]) -> pa.RecordBatch:
+            texts = [r[2] for g in groups for r in g]
+            first = np.cumsum([0, *map(len, groups)])
+            upper = [np.triu_indices(len(g), 1) for g in groups]
+            i = np.concatenate([u[0] + f for u, f in zip(upper, first)])
+            j = np.concatenate([u[1] + f for u, f in zip(upper, first)])
+            score = ratios(texts, i, j, threshold)
+            ords = [r[1] for g in groups for r in g]
+            kept_by: dict[int, tuple[int, float]] = {}
+            for k in np.flatnonzero(score):  # by leader, then by row
+                if int(i[k]) not in kept_by and int(j[k]) not in kept_by:
+                    kept_by[int(j[k])] = (ords[i[k]], float(score[k]))
+            return pa.RecordBatch.from_arrays([pa.array([ords[k] for k in kept_by], pa.int64()), pa.array([v[0] for v in kept_by.values()], pa.int64()),
+                                               pa.array([v[1] for v in kept_by.values()], pa.float64())], names=["ord", "kept_ord", "score"])
+
+        read = itertools.chain.from_iterable(zip(*(c.to_pylist() for c in b.columns)) for b in batches)
+        waiting, pairs = [], 0
+        for _, group in itertools.groupby(read, key=lambda r: r[0]):
+            waiting.append(list(group))
+            pairs += len(waiting[-1]) * (len(waiting[-1]) - 1) // 2
+            if pairs >= WALK_PAIRS:
+                yield settle(waiting)
+                waiting, pairs = [], 0
+        if waiting:
+            yield settle(waiting)
+
+    sorted_ = rows.select("block", F.col("ord").cast("long").alias("ord"), "payload").repartition("block").sortWithinPartitions("block", "ord")
+    return sorted_.mapInArrow(walk, "ord long, kept_ord long, score double")
 
 
 def near_descriptions(df: DataFrame, text: str = "description_raw", company: str = "company_name",
-                      threshold: float = TEXT_THRESHOLD, min_length: int = MIN_TEXT) -> DataFrame:
-    """Similar descriptions within one company, greedy leaders, every pair of a
-    leader and a later row compared."""
+                      threshold: float = TEXT_THRESHOLD, min_length: int = MIN_TEXT, direct: int = WALK) -> DataFrame:
+    """Similar descriptions within one company, greedy leaders, every pair of a leader and a later row compared.
+
+    Companies of up to ``direct`` rows are walked whole, a batch of them at a
+    time.  Larger ones go by leaders: the first rows of a company meet the rest,
+    matches leave, and so on.  Pairs that cannot match are told by bounds over
+    the whole batch, few are aligned (:func:`similarity.ratios`).
+    """
     rows = df.select("ord", folded(company).alias("block"), folded(text).alias("payload")).where(
         (F.col("block") != "") & (F.length("payload") >= min_length))
-    keys = rows.select(F.xxhash64("block").alias("key"), "ord", F.length("payload").alias("n"))
-    dups = leader_duplicates(rows, keys, sim.sequence_ratio(threshold), threshold, threshold / (2 - threshold))
+    sized = stored(_with_block_size(rows).where("block_n > 1"), "descriptions")
+    dups = _walked(sized.where(F.col("block_n") <= direct), threshold)
+    large = sized.where(F.col("block_n") > direct).select("ord", "block", "payload")
+    if not large.isEmpty():
+        keys = large.select(F.xxhash64("block").alias("key"), "ord", F.length("payload").alias("n"))
+        dups = dups.unionByName(leader_duplicates(large, keys, sim.sequence_ratio(threshold), threshold, _sizes_fit(sim.ratio_share(threshold))))
     return _found(dups, "near", [text])
 
 
+def element_frequencies(rows: DataFrame) -> Broadcast:
+    """How often the elements of each bucket occur in all sets: a table of fixed size, whatever the data."""
+    counted = rows.select(F.explode("payload").alias("t")).groupBy(sim.bucket(F.col("t")).alias("bucket")).agg(F.count("*").alias("n")).toArrow()
+    counts = np.zeros(sim.BUCKETS, dtype=np.int64)
+    counts[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+    return rows.sparkSession.sparkContext.broadcast(counts)
+
+
 def near_texts(df: DataFrame, text: str = "text", threshold: float = TEXT_THRESHOLD) -> DataFrame:
-    """Similar long texts with no company to block on: word-set similarity.
+    """Similar long texts with no company to block on: word-set similarity, greedy leaders, exact for the threshold.
 
-    Exact copies are folded first.  Candidates come from MinHash bands; two texts
-    at the threshold miss each other with a chance of about 1 in 6,000.  Every
-    candidate is then scored exactly.
+    Exact copies are folded first.  Two texts are compared if they share one of
+    their rarest word runs (:func:`similarity.prefix_keys`) at places after which
+    enough of both is left to reach the threshold.
     """
     exact = cut(exact_duplicates(df, {"_h": F.md5(folded(text))}, [text]))
-    rows = cut(without(df.select("ord", text), exact).select(
-        "ord", F.lit(0).alias("block"), sim.shingles(F.col(text)).alias("payload")))
-    keys = rows.select(F.explode(sim.band_keys("payload")).alias("key"), "ord", F.size("payload").alias("n"))
-    near = leader_duplicates(rows, keys, sim.jaccard, threshold, threshold)
+    rows = stored(without(df.select("ord", text), exact).select(
+        "ord", F.lit(0).alias("block"), sim.shingles(F.col(text)).alias("payload")), "sets")
+    keys = rows.select("ord", F.size("payload").alias("n"), F.posexplode(sim.prefix_keys("payload", element_frequencies(rows), threshold)).alias("pos", "key"))
+    enough = F.ceil((F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - 1e-6)
+    left = F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) >= enough
+    near = leader_duplicates(rows, keys.select("key", "ord", "n", "pos"), sim.jaccard, threshold, _sizes_fit(threshold) & left)
     return exact.unionByName(_found(near, "near", [text]))
 
 
@@ -248,6 +353,21 @@ def find_duplicates(df: DataFrame, company: str = "company_name", title: str = "
     return found
 
 
+def duplicate_roots(dups: DataFrame) -> DataFrame:
+    """``dups`` with ``root``, the row that is left in the end.
+
+    A row that one phase keeps can be dropped by a later one, and rows dropped by
+    any earlier row form chains.  Every round doubles the length that is followed.
+    """
+    links = dups.select("ord", F.col("kept_ord").alias("root"))
+    while True:
+        further = links.select(F.col("ord").alias("root"), F.col("root").alias("next"))
+        links = stored(links.join(further, "root", "left").select("ord", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        if links.where("moved").isEmpty():
+            return dups.join(links.drop("moved"), "ord")
+        links = links.drop("moved")
+
+
 def duplicate_stats(dups: DataFrame) -> DataFrame:
     """Groups, dropped rows, groups by kind and mean group score (a group's best)."""
     groups = dups.groupBy("kept_ord", "match_type", "matched_fields").agg(F.count("*").alias("n"), F.max("score").alias("s"))
