@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
@@ -43,13 +44,34 @@ def literal_array(values: Sequence[str]) -> Column:
     return F.expr("array(" + ", ".join(map(sql_text, values)) + ")")
 
 
-def literal_map(mapping: Mapping[str, str]) -> Column:
-    return F.expr("map(" + ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in mapping.items()) + ")")
+#: Literal maps of up to so many entries are searched one by one; larger ones go by hash.
+SCANNED = 16
+
+
+def literal_map(items: Sequence[tuple[str, str]], kind: str = "string") -> str:
+    """SQL of a map from text to values given as SQL."""
+    body = ", ".join(f"{sql_text(k)}, {v}" for k, v in items)
+    return f"map({body})" if items else f"CAST(map() AS map<string, {kind}>)"
+
+
+def dictionary(items: Mapping[str, str], key: Column, kind: str = "string") -> Column:
+    """Value, given as SQL of type ``kind``, of ``key``; null when absent.
+
+    A map literal is searched from its first entry on, so a large one is cut by a hash of the key into
+    many of a few entries: a lookup takes the same time whatever the size.
+    """
+    if len(items) <= SCANNED:
+        return F.expr(literal_map(list(items.items()), kind))[key]
+    parts: list[list[tuple[str, str]]] = [[] for _ in range(1 << (len(items) // 2).bit_length())]
+    for k, v in items.items():
+        parts[zlib.crc32(k.encode()) % len(parts)].append((k, v))
+    table = F.expr("array(" + ", ".join(literal_map(p, kind) for p in parts) + ")")
+    return F.get(table, (F.crc32(key.cast("binary")) % len(parts)).cast("int"))[key]
 
 
 def lookup(mapping: Mapping[str, str], key: Column) -> Column:
-    """Value of ``key`` in a small closed mapping, null when absent."""
-    return literal_map(mapping)[key]
+    """Value of ``key`` in a closed mapping, null when absent."""
+    return dictionary({k: sql_text(v) for k, v in mapping.items()}, key)
 
 
 def contains_any(c: Column, words: Sequence[str]) -> Column:

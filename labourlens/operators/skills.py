@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labourlens.dictionaries import SKILL_ENTRIES, SkillEntry
 from labourlens.functions.category import group_from_words
-from labourlens.functions.text import let, literal_array, lookup, sql_text
+from labourlens.functions.text import dictionary, let, literal_array, lookup, sql_text
 from labourlens.functions.tokens import ngrams_up_to, pieces, python_tokens, tokens
 
 EXACT, CANONICAL, PARTIAL, WORD = 1, 2, 3, 4
@@ -164,14 +164,13 @@ def canonical_name(name: Column, entries: list[SkillEntry] = SKILL_ENTRIES) -> C
     def names(kind: str) -> dict[str, str]:
         return {key: canonical for (k, key), (canonical, *_) in rows.items() if k == kind}
 
-    def ranked(kind: str) -> Column:
-        return F.expr("map(" + ", ".join(
-            f"{sql_text(key)}, named_struct('ord', {ord_}, 'canonical', {sql_text(canonical)})"
-            for (k, key), (canonical, _, _, ord_) in rows.items() if k == kind) + ")")
+    def ranked(kind: str, key: Column) -> Column:
+        return dictionary({k: f"named_struct('ord', {ord_}, 'canonical', {sql_text(canonical)})"
+                           for (found, k), (canonical, _, _, ord_) in rows.items() if found == kind}, key, "struct<ord: int, canonical: string>")
 
     def partial(words: Column) -> Column:
-        hits = F.concat(F.transform(ngrams_up_to(words, longest), lambda g: ranked("holds")[g]),
-                        F.array(ranked("held")[F.array_join(words, " ")]))
+        hits = F.concat(F.transform(ngrams_up_to(words, longest), lambda g: ranked("holds", g)),
+                        F.array(ranked("held", F.array_join(words, " "))))
         return F.array_min(F.filter(hits, lambda h: h.isNotNull()))["canonical"]
 
     def word(words: Column) -> Column:
@@ -206,11 +205,26 @@ def skills_in_text(text: Column, entries: list[SkillEntry] = SKILL_ENTRIES) -> C
     known = literal_array(list(by_key))
     found = let(tokens(text), lambda w: F.array_intersect(F.concat(ngrams_up_to(w, longest), pieces(w)), known))
     names = {k: e.canonical for k, e in by_key.items()}
-    described = F.expr("map(" + ", ".join(
-        f"{sql_text(c)}, named_struct('ord', {e.ord}, 'skill_name', {sql_text(c)}, "
-        f"'original_name', {sql_text(e.alias)}, 'skill_group', {sql_text(e.group)})" for c, e in first.items()) + ")")
+    described = {c: f"named_struct('ord', {e.ord}, 'skill_name', {sql_text(c)}, 'original_name', {sql_text(e.alias)}, 'skill_group', {sql_text(e.group)})" for c, e in first.items()}
     distinct = F.array_distinct(F.transform(found, lambda k: lookup(names, k)))
-    return F.coalesce(F.array_sort(F.transform(distinct, lambda c: described[c])), F.array())
+    kind = "struct<ord: int, skill_name: string, original_name: string, skill_group: string>"
+    return F.coalesce(F.array_sort(F.transform(distinct, lambda c: dictionary(described, c, kind))), F.array())
+
+
+def skills_in_texts(rows: DataFrame, key: str, text: str, entries: DataFrame) -> DataFrame:
+    """:func:`skills_in_text` by a dictionary table of any size: ``(key, ord, skill_name, original_name, skill_group)``.
+
+    The distinct words and runs of words of each text meet the spellings in a join; nothing but the longest
+    spelling's length is fetched.
+    """
+    spelled = entries.select(F.lit(0).alias("kind"), F.array_join(tokens(F.col("alias")), " ").alias("g"), "canonical", "ord", "alias").unionByName(
+        entries.select(F.lit(1).alias("kind"), F.array_join(tokens(F.col("canonical")), " ").alias("g"), "canonical", "ord", "alias"))
+    spelled = spelled.where("g <> ''").groupBy("g").agg(F.min(F.struct("kind", "ord", "alias", "canonical"))["canonical"].alias("canonical"))
+    first = entries.groupBy("canonical").agg(F.min(F.struct("ord", "alias", "skill_group")).alias("e"))
+    longest = max(1, entries.agg(F.max(F.greatest(F.size(tokens(F.col("alias"))), F.size(tokens(F.col("canonical")))))).first()[0] or 1)
+    runs = let(tokens(F.col(text)), lambda w: F.array_distinct(F.concat(ngrams_up_to(w, longest), pieces(w))))
+    met = rows.select(key, F.explode(runs).alias("g")).join(spelled, "g").select(key, "canonical").distinct()
+    return met.join(first, "canonical").select(key, "e.ord", F.col("canonical").alias("skill_name"), F.col("e.alias").alias("original_name"), "e.skill_group")
 
 
 def skill_stats(df: DataFrame) -> DataFrame:

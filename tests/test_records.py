@@ -3,9 +3,12 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from labourlens.dictionaries import skill_dictionary
+from labourlens.functions.text import lookup
 from labourlens.operators import merge as mg
 from labourlens.operators import quality as ql
 from labourlens.operators import records as rc
+from labourlens.operators import skills as sk
 from labourlens.schemas import RAW_POSTING
 
 
@@ -99,3 +102,32 @@ def test_damage_is_repeatable(spark):
     kinds = {r.issue: r["count"] for r in audit.groupBy("issue").count().collect()}
     assert 30 < kinds["INJECTED_MISSING"] < 90 and 2 < kinds["INJECTED_NEAR_DUP"] < 30
     assert a.count() == 400 + kinds["INJECTED_NEAR_DUP"]
+
+
+SKILLS = [["golang", "ReactJS", "React", "soldering"], [" "], None, ["tiếng anh", "k8s", "", "nothing at all"], ["spelling 7", "tool 99999 pro"], []]
+
+
+def test_a_dictionary_of_100000_spellings_joins(spark):
+    """The table form gives what the list form gives, and works for any size."""
+    rows = None
+    for i, tags in enumerate(SKILLS):
+        one = raw(spark, job_id=f"j{i}", skills_raw=tags, description_raw="Python, node.js and English; spelling 41 too" if i % 2 else "nothing")
+        rows = one if rows is None else rows.unionByName(one)
+    extra = spark.range(100_000).select(F.concat(F.lit("spelling "), "id").alias("alias"), F.concat(F.lit("Tool "), "id").alias("canonical"), F.lit("Made").alias("skill_group"))
+    few = extra.where("id IN (7, 41, 99999)")
+
+    def skills(entries):
+        return {r.job_id: ([tuple(s) for s in r.skills], r.has_english) for r in rc.normalize_records(rows, entries).collect()}
+
+    listed = skills(skill_dictionary(few))
+    assert skills(sk.dictionary_table(few)) == listed
+    many = skills(sk.dictionary_table(extra))
+    assert many["j4"][0][0] == ("Tool 7", "spelling 7", "Made") and many["j1"] == listed["j1"] and ("Tool 41", "spelling 41", "Made") in many["j1"][0]
+    assert [len(many[f"j{i}"][0]) for i in (0, 2, 5)] == [3, 0, len(listed["j5"][0])]
+
+
+def test_hashed_literals_find_every_key(spark):
+    items = {f"key {i} é": str(i) for i in range(500)}
+    keys = spark.createDataFrame([(k,) for k in [*items, "none", ""]] + [(None,)], "k string")
+    got = {r.k: r.v for r in keys.select("k", lookup(items, F.col("k")).alias("v")).collect()}
+    assert got == {**items, "none": None, "": None, None: None}
