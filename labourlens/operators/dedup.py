@@ -22,6 +22,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from labourlens.functions import similarity as sim
 from labourlens.functions.text import folded
@@ -259,6 +261,9 @@ def earlier_titles(df: DataFrame, title: str = "job_title", company: str = "comp
 def _walked(rows: DataFrame, threshold: float) -> DataFrame:
     """The sequential walk over whole blocks of bounded size: all pairs of many blocks are scored together."""
     ratios = sim.ratios
+    ord_ = rows.schema["ord"].dataType
+    schema = T.StructType().add("ord", ord_).add("kept_ord", ord_).add("score", T.DoubleType())
+    arrow = to_arrow_schema(schema)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settle(groups: list[list[tuple]]) -> pa.RecordBatch:
@@ -269,12 +274,11 @@ def _walked(rows: DataFrame, threshold: float) -> DataFrame:
             j = np.concatenate([u[1] + f for u, f in zip(upper, first)])
             score = ratios(texts, i, j, threshold)
             ords = [r[1] for g in groups for r in g]
-            kept_by: dict[int, tuple[int, float]] = {}
+            found: dict[int, dict] = {}
             for k in np.flatnonzero(score):  # by leader, then by row
-                if int(i[k]) not in kept_by and int(j[k]) not in kept_by:
-                    kept_by[int(j[k])] = (ords[i[k]], float(score[k]))
-            return pa.RecordBatch.from_arrays([pa.array([ords[k] for k in kept_by], pa.int64()), pa.array([v[0] for v in kept_by.values()], pa.int64()),
-                                               pa.array([v[1] for v in kept_by.values()], pa.float64())], names=["ord", "kept_ord", "score"])
+                if int(i[k]) not in found and int(j[k]) not in found:
+                    found[int(j[k])] = {"ord": ords[j[k]], "kept_ord": ords[i[k]], "score": float(score[k])}
+            return pa.RecordBatch.from_pylist(list(found.values()), schema=arrow)
 
         read = itertools.chain.from_iterable(zip(*(c.to_pylist() for c in b.columns)) for b in batches)
         waiting, pairs = [], 0
@@ -287,8 +291,7 @@ def _walked(rows: DataFrame, threshold: float) -> DataFrame:
         if waiting:
             yield settle(waiting)
 
-    sorted_ = rows.select("block", F.col("ord").cast("long").alias("ord"), "payload").repartition("block").sortWithinPartitions("block", "ord")
-    return sorted_.mapInArrow(walk, "ord long, kept_ord long, score double")
+    return rows.select("block", "ord", "payload").repartition("block").sortWithinPartitions("block", "ord").mapInArrow(walk, schema)
 
 
 def near_descriptions(df: DataFrame, text: str = "description_raw", company: str = "company_name",

@@ -161,43 +161,65 @@ def _unmatched(index: DataFrame, jobs: DataFrame, wishes: DataFrame, answers: Da
     return rest.select("wish_id", F.lit(0.0).alias("score"), "job_id", F.col("rank").cast("int").alias("rank"))
 
 
+def known_wishes(index: DataFrame, wishes: DataFrame) -> DataFrame:
+    """Wishes with the skills that some posting has, the rarest first, as ``known``."""
+    counts = index.select(F.explode("skills").alias("skill")).groupBy("skill").agg(F.count("*").alias("n"))
+    exploded = wishes.select("wish_id", "wish.p_city", "wish.p_years", F.explode("wish.skills").alias("skill")).join(counts, "skill")
+    known = F.array_sort(F.collect_list(F.struct("n", "skill")))["skill"]
+    return exploded.groupBy("wish_id", "p_city", "p_years").agg(known.alias("known"))
+
+
+def wish_matches(asked: DataFrame, classes: DataFrame) -> DataFrame:
+    """Classes that fit a wish and share the asked skill with it, but none of those before it: ``wish_id, first_id, score, fit``.
+
+    ``asked``: a wish with one of its ``known`` skills, the number of skills ``before`` it, and the ``least`` fit of interest.
+    A class that lacks these shares at most the others, so its size decides whether it can reach that fit; a pair is met under
+    its rarest common skill only.  Wishes for a city meet the postings of that city.
+    """
+    posted = classes.select(F.explode("skills").alias("skill"), "first_id", "skills", F.size("skills").alias("n_job"),
+                            F.col("_c").alias("c_city"), F.col("experience_years").alias("c_years"))
+    left = F.size("known") - F.col("before")
+    asked = asked.where(left >= F.col("least"))
+    some = F.coalesce("p_city", F.lit("")) != ""
+    here = asked.where(some).join(posted.where("c_city IS NOT NULL").withColumn("p_city", F.col("c_city")), ["skill", "p_city"])
+    met = here.unionByName(asked.where(~some).join(posted, "skill"))
+    met = met.where(F.col("p_years").isNull() | F.coalesce(F.abs(F.col("c_years") - F.col("p_years")) <= 0.5, F.lit(False)))
+    most = F.least(left, F.col("n_job"))
+    met = met.where(_fit(most, F.col("n_job")) >= F.col("least")).withColumn("_common", F.array_intersect("known", "skills"))
+    met = met.where(F.get("_common", F.lit(0)) == F.col("skill"))
+    shared = F.size("_common")
+    return met.select("wish_id", "first_id", (shared / F.sqrt(F.size("known") * F.col("n_job"))).alias("score"), _fit(shared, F.col("n_job")).alias("fit"))
+
+
 def recommend_table(index: DataFrame, jobs: DataFrame, profiles: DataFrame, top_n: int = 10, unmatched: bool = True) -> DataFrame:
     """As :func:`recommend` for a table ``(profile_id, skills, city, years)`` of any
     length, zero scores and profiles without a known skill included unless
     ``unmatched`` is false.
 
-    Postings are first folded into classes of equal skill set, city and years.
-    Profiles meet classes, not postings, through the skill index; the ``top_n``
-    best classes of a profile must hold its ``top_n`` best postings, so only
-    those are unrolled.  Profiles with the same wish are answered once.
+    Postings are first folded into classes of equal skill set, city and years; the
+    ``top_n`` best classes of a profile hold its ``top_n`` best postings, so only
+    those are unrolled.  Profiles with the same wish are answered once.  A wish
+    meets classes through the posting lists of its skills, rarest first: the list
+    of its rarest skill gives a score that ``top_n`` classes reach, and of the
+    other lists only classes that can reach it too are looked at
+    (:func:`wish_matches`).
     """
-    classes = _classes(index, jobs, top_n)
-    vocabulary = index.select(F.explode("skills").alias("skill")).distinct()
+    classes = stored(_classes(index, jobs, top_n), "classes")
     # Equal wishes are answered once.
     wish = F.struct(F.array_sort(F.array_distinct("skills")).alias("skills"), F.lower(F.trim("city")).alias("p_city"),
                     F.col("years").cast("double").alias("p_years"))
     asked = profiles.select("profile_id", wish.alias("wish")).withColumn(
         "wish_id", F.md5(F.to_json("wish")))
-    wishes = (
-        asked.select("wish_id", "wish").distinct()
-        .select("wish_id", "wish.p_city", "wish.p_years", F.explode("wish.skills").alias("skill"))
-        .join(vocabulary, "skill", "left_semi")
-        .withColumn("n_wish", F.count("*").over(W.partitionBy("wish_id")))
-    )
-    posted = classes.select(
-        F.explode("skills").alias("skill"), F.col("_class").alias("cls"), F.size("skills").alias("n_job"),
-        F.col("_c").alias("c_city"), F.col("experience_years").alias("c_years"), "first_id", "ids")
-    fits = (
-        (F.coalesce(F.col("p_city"), F.lit("")) == "") | (F.col("p_city") == F.col("c_city"))
-    ) & (F.col("p_years").isNull() | (F.abs(F.col("c_years") - F.col("p_years")) <= 0.5))
-    scored = (
-        wishes.join(posted, "skill").where(F.coalesce(fits, F.lit(False)))
-        .groupBy("wish_id", "cls", "first_id").agg(
-            (F.count("*") / F.sqrt(F.first("n_wish") * F.first("n_job"))).alias("score"),
-            _fit(F.count("*"), F.first("n_job")).alias("fit"), F.first("ids").alias("ids"))
-    )
-    best = scored.withColumn("_r", F.row_number().over(
-        W.partitionBy("wish_id").orderBy(F.desc("fit"), "first_id"))).where(F.col("_r") <= top_n)
+    wishes = stored(known_wishes(index, asked.select("wish_id", "wish").distinct()), "wishes")
+    place = F.row_number().over(W.partitionBy("wish_id").orderBy(F.desc("fit"), "first_id"))
+    by_skill = wishes.select("*", F.posexplode("known").alias("before", "skill"))
+    first = wish_matches(by_skill.where("before = 0").withColumn("least", F.lit(0.0)), classes)
+    first = stored(first.withColumn("_r", place).where(F.col("_r") <= top_n).drop("_r"), "best")
+    reached = first.groupBy("wish_id").agg(F.count("*").alias("_n"), F.min("fit").alias("_fit"))
+    reached = reached.select("wish_id", F.when(F.col("_n") >= top_n, F.col("_fit")).alias("least"))
+    rest = by_skill.where("before > 0").join(reached, "wish_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+    found = first.unionByName(wish_matches(rest, classes))
+    best = found.withColumn("_r", place).where(F.col("_r") <= top_n).join(classes.select("first_id", "ids"), "first_id")
     rank = F.row_number().over(W.partitionBy("wish_id").orderBy(F.desc("fit"), "job_id"))
     answers = (
         best.select("wish_id", "score", "fit", F.explode("ids").alias("job_id"))

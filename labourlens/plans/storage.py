@@ -166,7 +166,7 @@ def stream_ingest_dedup(spark, d):
     waves(table(spark, d, "events").select("event_id", "user_id", "event_type"), src, "event_id")
     stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(src)
     st.ingest(stream, path, check, "user_id", "event_id", EVENTS).awaitTermination()
-    return spark.read.parquet(path).select("user_id", "event_id", "event_type")
+    return st.kept(spark, path, EVENTS).select("user_id", "event_id", "event_type")
 
 
 RECORDS = StructType([StructField(c, StringType()) for c in ("job_id", "job_title", "company_name", "city")] + [
@@ -183,7 +183,7 @@ def stream_harvest(spark, d):
     raw.where("ord % 3 = 0").coalesce(1).write.mode("append").json(src)
     stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).json(src)
     st.ingest(stream, path, check, "job_id", "ord", RECORDS, prepare=lambda batch: rc.normalize_batch(batch, "ord")).awaitTermination()
-    return spark.read.parquet(path).select(*RECORDS.fieldNames())
+    return st.kept(spark, path, RECORDS)
 
 
 @query("stream_daily_counts", "SELECT strftime(ts, '%Y-%m-%d') AS period, count(*) AS n FROM events GROUP BY 1")

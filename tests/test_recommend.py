@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from labourlens.operators import recommend as rec
 
@@ -68,6 +71,32 @@ def test_table_of_profiles_agrees_with_the_list(spark, skills, jobs, top):
     assert got == want and {p for p, *_ in got} == {"a", "b", "c", "d", "blank", "unknown", "blank in place"}
 
 
+def test_many_wishes_agree_with_the_list_and_skip_most_classes(spark):
+    """Random skill sets, one skill on a third of all postings: equal to the plain ranking, with few classes looked at."""
+    rnd = random.Random(3)
+    names = ["common"] + [f"s{i}" for i in range(40)]
+    sets = {f"j{i:04d}": {"common"} | set(rnd.sample(names, 4)) if rnd.random() < 0.34 else set(rnd.sample(names, rnd.randint(1, 7))) for i in range(700)}
+    skills = spark.createDataFrame([(j, s) for j, some in sets.items() for s in some], "job_id string, skill_name string")
+    places = {j: (rnd.choice(["Hue", "Hanoi", None]), rnd.choice([1.0, 2.0, None])) for j in sets}
+    jobs = spark.createDataFrame([(j, *p) for j, p in places.items()], "job_id string, city string, experience_years double")
+    wishes = [(f"p{i}", rnd.sample(names, rnd.randint(1, 8)) + ["unknown"], rnd.choice(["hue", None, " "]), rnd.choice([1.4, None])) for i in range(60)]
+    profiles = spark.createDataFrame(wishes, "profile_id string, skills array<string>, city string, years double")
+    index = rec.build_index(skills)
+    got = {(r.profile_id, r.rank): (r.job_id, r.similarity_score) for r in rec.recommend_table(index, jobs, profiles, 3).collect()}
+    want = {(r.profile_id, r.rank): (r.job_id, r.similarity_score)
+            for r in rec.recommend(index, jobs, [rec.Profile(p, tuple(s), c, y) for p, s, c, y in wishes], 3).collect()}
+    assert got == want and len(got) == 180
+
+    classes = rec._classes(index, jobs, 3)
+    struct = F.struct(F.col("skills").alias("skills"), F.lower(F.trim("city")).alias("p_city"), F.col("years").alias("p_years"))
+    known = rec.known_wishes(index, profiles.select(F.col("profile_id").alias("wish_id"), struct.alias("wish")))
+    asked = known.select("*", F.posexplode("known").alias("before", "skill"))
+    every = rec.wish_matches(asked.withColumn("least", F.lit(0.0)), classes)
+    few = rec.wish_matches(asked.withColumn("least", F.lit(2.0)), classes)
+    good = every.where("fit >= 2")
+    assert good.count() and good.exceptAll(few).count() == 0 and few.count() < every.count() / 2
+
+
 def test_sizes_and_export(skills, jobs):
     assert tuple(rec.index_size(skills).first()) == (3, 7)
     row = rec.for_export(rec.recommend(rec.build_index(skills), jobs, [rec.Profile("p", ("Rust", "Kafka", "Linux"))], 1)).first()

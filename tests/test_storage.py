@@ -1,3 +1,4 @@
+import os
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
@@ -95,11 +96,41 @@ def test_ingest_across_batches_and_restart(spark, tmp_path):
     arrive([("b", 4), ("c", 5)])
     arrive([("c", 6), ("d", 7)])
     run()
-    got = {(r.k, r.o) for r in spark.read.parquet(path).collect()}
+    got = {(r.k, r.o) for r in st.kept(spark, path, schema).collect()}
     assert {k for k, _ in got} == {"a", "b", "c", "d"} and len(got) == 4 and {("a", 1), ("b", 3)} <= got
     assert sum(r.n_new for r in st.new_per_batch(spark, path, schema).collect()) == 4
     run()
-    assert spark.read.parquet(path).count() == 4
+    assert st.kept(spark, path, schema).count() == 4
+
+
+def test_fifty_batches_leave_few_files(spark, tmp_path, monkeypatch):
+    """Every key comes again and again, one in a third of all rows; what is merged is read once, retried batches too."""
+    monkeypatch.setattr(st, "MERGED", 4)
+    src, path, check = str(tmp_path / "src"), scratch(spark, "t-many"), scratch(spark, "t-many-check")
+    schema = StructType([StructField("k", StringType()), StructField("o", LongType())])
+    rows = spark.range(1000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 400)).alias("k"), F.col("id").alias("o"))
+    rows.repartitionByRange(50, "o").write.parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    st.ingest(stream, path, check, "k", "o", schema).awaitTermination()
+    store = st.Store(spark, path, schema)
+    n = sum(1 for _, _, names in os.walk(path) for x in names if x.endswith(".parquet"))
+    assert len(store.folders()) == 3 + 0 + 2 and len(store.complete()) < 20 and n < 20  # 50 = 3 * 16 + 0 * 4 + 2
+    got = [r.k for r in st.kept(spark, path, schema).collect()]
+    assert len(got) == len(set(got)) == rows.select("k").distinct().count()
+    assert sum(r.n_new for r in st.new_per_batch(spark, path, schema).collect()) == len(got)
+
+
+def test_unfinished_and_replaced_folders_do_not_count(spark, monkeypatch):
+    path, schema = scratch(spark, "t-store"), StructType([StructField("k", StringType())])
+    store = st.Store(spark, path, schema)
+    assert store.read().count() == 0 and store.folders() == []
+    for b in range(16):
+        rows = st._bucketed(spark.createDataFrame([(f"k{b}",)], schema), "k").withColumn("batch_id", F.lit(b).cast("long"))
+        store.write(rows, 1, b, b)
+    store.merge(15)
+    assert [(f.first, f.last) for f in store.folders()] == [(0, 15)] and len(store.complete()) == 17 and store.read().count() == 16
+    store._fs.delete(store._path("batches-000000000000-000000000015/_SUCCESS"), False)
+    assert len(store.folders()) == 16 and store.read().count() == 16
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
