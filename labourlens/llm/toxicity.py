@@ -19,7 +19,7 @@ once; an id of both labels counts in both classes.
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -178,6 +178,16 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     return model
 
 
+def with_prior(model: Model, toxic: int, ordinary: int) -> Model:
+    """The model for so many documents of each class, where its sample held another share of them: the calibration is moved by
+    the difference, so that a score does not depend on how the sample was cut."""
+    odds = lambda p: np.log(max(p, 1e-9) / max(1 - p, 1e-9))
+    prior = toxic / max(1, toxic + ordinary)
+    weights = model.weights.copy()
+    weights[-1] += odds(prior) - odds(model.prior)
+    return replace(model, prior=prior, weights=weights)
+
+
 def learns(key: Column) -> Column:
     """Rows whose label may be learnt from."""
     return F.crc32(key.cast("string")) % 4 != 2
@@ -193,6 +203,7 @@ def fit_labels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
         by_class = [df.filter(F.col("label") == v).orderBy(*order).limit(sample) for v in (1, 0)]
         return stored(by_class[0].unionByName(by_class[1]), "sample")
 
+    n_toxic, n_ordinary = (usable.filter(F.col("label") == v).count() for v in (1, 0))  # before the sample cuts each class by itself
     ids = first(usable, F.xxhash64("own"), "own")
     # copies meet as one digest in the tasks that read them, so that neither they nor a crowd of texts under one id travel
     held = bodies.join(F.broadcast(ids), "own").withColumn("digest", F.sha2(F.col("body").cast("binary"), 256))
@@ -201,7 +212,8 @@ def fit_labels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     texts = first(ranked, "place", F.xxhash64("own"), "own", "digest").drop("place")
     found = {tuple(r) for r in held.join(F.broadcast(texts), ["own", "label", "digest"]).select("own", "label", "body").distinct().collect()}
     pick = lambda v: [t for _, x, t in sorted(found) if x == v]
-    return fit(pick(1), pick(0))
+    model = fit(pick(1), pick(0))
+    return model and with_prior(model, n_toxic, n_ordinary)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:

@@ -219,6 +219,25 @@ class TestToxicity:
         assert sum(t.startswith("own ") for t in ordinary) == 1  # one text each, while there are ids enough
         assert len(collected[0]) == 60 and len(all_toxic) == 100 and len(all_ordinary) == 99 + 300
 
+    def test_the_cut_of_the_sample_does_not_move_scores(self, spark):
+        """One toxic document in ten: the share of predictions is about the same whether the sample holds one in ten or one in two."""
+        rng = random.Random(8)
+        vocabulary = ["".join(rng.choice("aeioubcdfglmnprst") for _ in range(rng.randint(2, 9))) for _ in range(900)]
+
+        def text(toxic):
+            words = [rng.choice(vocabulary) for _ in range(rng.randint(40, 90))]
+            for _ in range(rng.choice([0, 1, 2]) if toxic else 0):  # a third of them can't be told
+                words.insert(rng.randrange(len(words)), rng.choice(["vileword", "nastyterm", "slurish"]))
+            return " ".join(words)
+
+        labels = [(i, int(i % 10 == 0)) for i in range(2400)]
+        docs, labels = documents(spark, [(i, text(v)) for i, v in labels]), spark.createDataFrame(labels, "doc_id long, toxic int")
+        shares = []
+        for sample in (2000, 170):
+            scored = toxicity.score(docs, toxicity.fit_labels(docs, labels, sample=sample)).join(labels, "doc_id").select("toxic", "score").collect()
+            shares.append([sum(r.score >= 0.3 for r in scored if r.toxic == v) / sum(r.toxic == v for r in scored) for v in (0, 1)])
+        assert abs(shares[0][0] - shares[1][0]) < 0.02 and min(s[1] for s in shares) > 0.5 and max(s[0] for s in shares) < 0.05
+
     def test_one_label_in_a_hundred_wrong(self):
         rng = random.Random(5)
         vocabulary = ["".join(rng.choice("aeioubcdfglmnprst") for _ in range(rng.randint(2, 9))) for _ in range(1500)]
