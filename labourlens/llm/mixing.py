@@ -104,8 +104,10 @@ def mix(df: DataFrame, source: str = "source", size: str = "size", key: str = "d
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
     by_salt = salted.join(cells, same).withColumn("seen", F.sum("n").over(W.partitionBy("source", "size").orderBy("salt")))
     share_of = lambda seen: F.expr(f"({seen}) * of_size div of_n")
-    by_salt = by_salt.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("salt").alias("t"), F.col("n"), (share_of("seen") - share_of("seen - n")).alias("of_salt"), "source_size", "target", "rate")
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("source", "size", "salt").orderBy("draw")))
-    out = ranked.join(by_salt, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("salt") == F.col("t")))
+    # one key without nulls for rank and join, so that rows move once
+    own = F.coalesce(F.concat(F.lit("1"), F.col("source").cast("string")), F.lit("0"))
+    by_salt = by_salt.select(own.alias("own"), "size", "salt", F.col("n"), (share_of("seen") - share_of("seen - n")).alias("of_salt"), "source_size", "target", "rate")
+    ranked = rows.select("row", own.alias("own"), "size", "salt", "draw").withColumn("rank", F.row_number().over(W.partitionBy("own", "size", "salt").orderBy("draw")))
+    out = ranked.join(by_salt, ["own", "size", "salt"])
     copies = F.expr("rank * of_salt div n - (rank - 1) * of_salt div n")
     return out.select("row.*", "source_size", "target", "rate", copies.alias("copies"))
