@@ -84,8 +84,10 @@ def _row_hash(df: DataFrame, key: list[str], seed: int) -> Column:
 
 
 def shuffle(df: DataFrame, key: list[str], shards: int, seed: int = 0) -> DataFrame:
-    """``df`` with ``shard`` and ``slot``.  ``key``: columns that tell rows apart as far as they differ at all."""
+    """``df`` with ``shard`` and ``slot``, in place of columns of these names.  ``key``: columns that tell rows apart as far as
+    they differ at all."""
     spark: SparkSession = df.sparkSession
+    kept = [c for c in df.columns if c not in ("shard", "slot")]
     if shards < 1:
         raise ValueError("at least one shard is needed")
     rows = df.count()
@@ -113,4 +115,4 @@ def shuffle(df: DataFrame, key: list[str], shards: int, seed: int = 0) -> DataFr
     before = before.select("shard", "range", (F.sum("n").over(W.partitionBy("shard").orderBy("range")) - F.col("n")).alias("offset"))
     within = F.row_number().over(W.partitionBy("shard", "range").orderBy("second")) - 1
     out = dealt.withColumn("within", within).join(before, ["shard", "range"])
-    return out.select("row.*", "shard", (F.col("offset") + F.col("within")).alias("slot"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], "shard", (F.col("offset") + F.col("within")).alias("slot"))

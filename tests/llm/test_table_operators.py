@@ -124,6 +124,12 @@ class TestSharding:
         key = lambda rs: sorted((r["shard"], r["slot"], str(r["doc_id"]), r["text"]) for r in rs)
         assert key(out) == key(again)
 
+    def test_clashing_columns_give_way(self, spark):
+        df = spark.createDataFrame([(i, "clash", -1, 5) for i in range(60)], "doc_id long, shard string, slot int, row int")
+        out = sharding.shuffle(df, ["doc_id"], 7, 3)
+        assert out.columns == ["doc_id", "row", "shard", "slot"]
+        assert sorted(r["slot"] for r in out.collect() if r["shard"] == 0) == list(range(9))
+
     def test_few_and_no_rows(self, spark):
         df = spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "doc_id long, text string")
         assert sorted(r["slot"] for r in sharding.shuffle(df, ["doc_id", "text"], 24).collect()) == [0, 0, 0]
