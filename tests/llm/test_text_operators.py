@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -95,6 +96,28 @@ class TestPages:
         monkeypatch.setattr(line_blocks.stretches, "__defaults__", (1,))
         assert line_blocks.main_text(page).split("\n\n") == ["Teaser.", long.strip(), long.strip()]
 
+    def test_names_that_leave_the_choice_to_the_text(self):
+        long = "Running text of a paragraph. " * 8
+        page = f"""<article class="post social-science"><h1>Title</h1><p>{long}</p><div class="related-work"><h2>Related work</h2><p>{long}</p></div>
+            <div class="share-this"><p>Tell</p><p>Pin</p></div><div class="related-reading"><a href=/x>{long}</a></div><div class="share-buttons"><p>{long}</p></div>
+            <div class="notice">{long}</div><div class="ad-slot">{long}</div></article>"""
+        assert line_blocks.main_text(page).split("\n\n") == ["Title", long.strip(), "Related work", long.strip()]
+        assert line_blocks.main_text(f'<div class="post social-science"><p>{long}</p></div>') == long.strip()
+
+    def test_an_advert_between_articles(self):
+        long = "Running text of a paragraph. " * 20
+        assert line_blocks.main_text(f"<article><p>{long}</p></article><div>{'Buy now. ' * 40}</div><article><p>{long}</p></article>").split("\n\n") == [long.strip()] * 2
+
+    @pytest.mark.parametrize("page", ["<b>" * 150_000 + "x" + "</i>" * 150_000, "<a \"" * 250_000, "<a \"" * 250_000 + ">", "<a x=\"b>\"" * 100_000, "<a '><a \">" * 100_000, "<script>" + "</script" * 120_000,
+                                      "<div>" * 100_000 + "x" + "</p>" * 100_000, "<p><i>" * 150_000, "<" * 500_000, "<!" * 500_000, "&" * 500_000, "<a id='" * 140_000, "x" * 1_000_000])
+    def test_work_is_linear(self, page):
+        start = time.process_time()
+        line_blocks.main_text(page)
+        assert time.process_time() - start < 8
+
+    def test_quotes_that_never_close(self):
+        assert line_blocks.main_text("<article><p title=\"x>First.</p><p>Second.</p></article>") == "First.\n\nSecond."
+
     @pytest.mark.parametrize("page", ["", "<", "<p", "<!-- open", "<script>never ends", "</p></div>", "a < b", "<p>" * 5000, "&#xZZ; &#0; &nosuch;"])
     def test_odd_pages(self, page):
         assert isinstance(line_blocks.main_text(page), str)
