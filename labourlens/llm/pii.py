@@ -6,12 +6,14 @@ matches but read a long run of characters once: starts inside a run are tried on
 
 *Bootstrapping.*  The base finds are seeds.  The words before a seed (the last two, and a last word that ends like a label)
 are its lexical patterns.  Other strings that look like identifiers are candidate instances; patterns and instances form a
-bipartite graph.  In ``ROUNDS`` rounds, a pattern's confidence in a kind is the mean score of its distinct instances (shrunk
-by one instance of score 0), and a candidate's score is the noisy-or of its patterns' confidences.  Candidates in a pattern
-of final confidence ``CONFIDENT`` with ``SUPPORT`` different seeds or more become spans of that kind.  Copies of a text don't
-add to a pattern, for instances count once.
+bipartite graph.  In rounds, a pattern's confidence in a kind is the share of its distinct instances that are seeds of that
+kind (shrunk by one instance that is none), and a pattern of confidence ``CONFIDENT`` with ``SUPPORT`` different seeds or
+more is trusted: its candidates of the kind's shape become seeds of their best kind for the next round, with all their other
+patterns.  The rounds end when no instance is added; a seed stays one.  What trusted patterns find becomes spans of that
+kind.  Copies of a text don't add to a pattern, for instances count once.
 
-Only DataFrame functions are used.  Positions are code points, ends exclusive.
+Only DataFrame functions are used.  Positions are code points, ends exclusive.  Places come from running sums in two levels of
+lots (``LOT``), so that a text of many matches costs little more than its length.
 
 Defined results: a null text counts as empty and has no spans; overlapping spans of different kinds all stand; rows with
 the same text get the same spans; without seeds there are no patterns; no rows give no rows.
@@ -37,8 +39,9 @@ AT_LIKE = r"""(?:(?<![^\s,;<>()"'\[\]@])|\G)[^\s,;<>()"'\[\]@]++@[^\s,;<>()"'\[\
 DIGIT_LIKE = r"(?:(?<![0-9])|\G)[0-9]++(?:[\x20()./:-]{1,3}[0-9]++)*+"
 SPAN = "struct<start:int,kind:int,end:int>"
 FIND = "struct<start:int,end:int,found:string,before:string>"
-ROUNDS, SUPPORT, CONFIDENT = 3, 5, 0.8
+SUPPORT, CONFIDENT = 5, 0.8
 CONTEXT = 64
+LOT = 64
 
 
 def digits(found: Column) -> Column:
@@ -65,6 +68,47 @@ BASE: tuple[tuple[Callable[[Column], Column], str, Callable[[Column], Column]],
 )
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def lots(values: Column) -> Column:
+    """An array, not empty, cut into arrays of ``LOT``."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / LOT).cast("int")), lambda i: F.slice(values, i * LOT + 1, F.lit(LOT)))
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column], levels: int = 2) -> Column:
+    """What the elements before each of an array of int combine to, from 0: lots are combined, then each runs on from its start."""
+    shape = "struct<at:int,out:array<int>>"
+
+    def run(part: Column, start: Column) -> Column:
+        step = lambda acc, v: F.struct(combine(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")).cast(shape)
+        return F.aggregate(part, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")).cast(shape), step, lambda acc: acc["out"])
+
+    def in_lots(parts: Column) -> Column:
+        whole = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), combine))
+        return F.flatten(F.zip_with(parts, running(whole, combine, levels - 1), run))
+
+    if not levels:
+        return run(values, F.lit(0))
+    return bound(values, lambda v: F.when(F.size(v) <= LOT, run(v, F.lit(0))).otherwise(bound(lots(v), in_lots)))
+
+
+def overlapping(spans: Column, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """``body`` of a test whether a find overlaps one of an array of spans, in order of start: lots are passed over by their extremes."""
+    meets = lambda a, f: (a["start"] < f["end"]) & (f["start"] < a["end"])
+
+    def grouped(parts: Column) -> Column:
+        return F.transform(parts, lambda p: F.struct(F.element_at(p, 1)["start"].alias("start"), F.array_max(F.transform(p, lambda a: a["end"])).alias("end"), p.alias("parts")))
+
+    def test(tree: Column) -> Callable[[Column], Column]:
+        return lambda f: F.exists(tree, lambda x: meets(x, f) & F.exists(x["parts"], lambda y: meets(y, f) & F.exists(y["parts"], lambda z: meets(z, f))))
+
+    return bound(spans, lambda v: F.when(F.size(v) == 0, body(lambda f: F.lit(False))).otherwise(
+        bound(grouped(lots(v)), lambda inner: bound(grouped(lots(inner)), lambda tree: body(test(tree))))))
+
+
 def finds(text: Column, sign: Column, pattern: str) -> Column:
     """All matches of a text with their places and what stands before them, as an array in order.
 
@@ -73,13 +117,12 @@ def finds(text: Column, sign: Column, pattern: str) -> Column:
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.greatest(F.size(matches), F.lit(0))).alias("gap"), matches.alias("found"))
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["gap"])
-        end = start + F.length(p["found"])
-        own = F.struct(start.alias("start"), end.alias("end"), p["found"].alias("found"), F.right(p["gap"], F.lit(CONTEXT)).alias("before")).cast(FIND)
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(own)).alias("out")).cast(f"struct<at:int,out:array<{FIND}>>")
+    def place(p: Column, before: Column) -> Column:
+        start = before + F.length(p["gap"])
+        return F.struct(start.alias("start"), (start + F.length(p["found"])).alias("end"), p["found"].alias("found"), F.right(p["gap"], F.lit(CONTEXT)).alias("before")).cast(FIND)
 
-    placed = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")).cast(f"struct<at:int,out:array<{FIND}>>"), step, lambda acc: acc["out"])
+    sizes = lambda ps: F.transform(ps, lambda p: F.length(p["gap"]) + F.length(p["found"]))
+    placed = bound(pairs, lambda ps: F.zip_with(ps, running(sizes(ps), lambda a, b: a + b), place))
     return F.when(sign & (F.size(matches) > 0), placed).otherwise(none)
 
 
@@ -127,42 +170,47 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.withColumn("at_like", finds(body, F.contains(body, F.lit("@")), AT_LIKE)).withColumn("digit_like", finds(body, body.rlike("[0-9]"), DIGIT_LIKE))
     seeds = F.concat(*[_seeds(f"found_{k}", i) for i, k in enumerate(KINDS)])
     shaped = lambda f: fits(f["found"], 0) | fits(f["found"], 1) | fits(f["found"], 2) | fits(f["found"], 3)
-    free = lambda f: ~F.exists("base", lambda b: (b["start"] < f["end"]) & (f["start"] < b["end"]))
-    others = F.filter(F.filter(F.concat("at_like", "digit_like"), shaped), free)
+    others = overlapping(F.col("base"), lambda taken: F.filter(F.filter(F.concat("at_like", "digit_like"), shaped), lambda f: ~taken(f)))
     others = F.transform(others, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), f["found"].alias("found"), contexts(f["before"]).alias("patterns")))
     return stored(rows.select("row", "digest", "base", *[F.size(f"found_{k}").cast("long").alias(f"n_{k}") for k in KINDS], seeds.alias("seeds"), others.alias("candidates")), "scan")
 
 
+def fitting(kind: str, found: str) -> Column:
+    """Whether a candidate has the shape of a kind that a column names."""
+    shape = F.lit(False)
+    for i in range(len(KINDS)):
+        shape = shape | ((F.col(kind) == i) & fits(F.col(found), i))
+    return shape
+
+
 def learn(scanned: DataFrame) -> DataFrame:
-    """(pattern, kind, confidence): the patterns that are trusted, by rounds over the pattern-instance graph."""
+    """(pattern, kind, confidence): the patterns that are trusted, by rounds over the pattern-instance graph.
+
+    An edge carries the kind of its instance, -1 while that is no seed."""
     seeds = scanned.select(F.explode("seeds").alias("s")).select(F.explode("s.patterns").alias("pattern"), F.col("s.found").alias("instance"), F.col("s.kind").alias("kind"))
-    seeds = stored(seeds.distinct(), "seeds")
-    # only patterns with enough different seeds of one kind can ever be trusted
-    usable = seeds.groupBy("pattern", "kind").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT).select("pattern").distinct()
     others = scanned.select(F.explode("candidates").alias("c")).select(F.explode("c.patterns").alias("pattern"), F.col("c.found").alias("instance"), F.lit(-1).alias("kind"))
-    edges = stored(seeds.unionByName(others.distinct()).join(usable, "pattern", "left_semi"), "edges")
-    score = [f"score_{i}" for i in range(len(KINDS))]
-    scores, trusted = None, None
-    for _ in range(ROUNDS):
-        scored = edges.join(scores, "instance", "left") if scores is not None else edges.select("*", *[F.lit(0.0).alias(s) for s in score])
-        mean = [(F.sum(F.when(F.col("kind") == i, 1.0).when(F.col("kind") < 0, F.coalesce(s, F.lit(0.0))).otherwise(0.0)) / (F.count("*") + 1)).alias(f"mean_{i}") for i, s in enumerate(score)]
-        support = [F.sum((F.col("kind") == i).cast("int")).alias(f"support_{i}") for i in range(len(KINDS))]
-        trusted = stored(scored.groupBy("pattern").agg(*mean, *support), "patterns")
-        sure = [F.when((F.col(f"support_{i}") >= SUPPORT) & fits(F.col("instance"), i), F.least(f"mean_{i}", F.lit(0.999))).otherwise(0.0) for i in range(len(KINDS))]
-        scores = edges.filter(F.col("kind") < 0).join(trusted, "pattern").groupBy("instance").agg(*[(1 - F.exp(F.sum(F.log1p(-c)))).alias(s) for c, s in zip(sure, score, strict=True)])
-        scores = stored(scores, "scores")
-    per_kind = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(f"mean_{i}").alias("confidence"), F.col(f"support_{i}").alias("support")) for i in range(len(KINDS))]))
-    return trusted.select("pattern", per_kind.alias("k")).select("pattern", "k.*").filter((F.col("confidence") >= CONFIDENT) & (F.col("support") >= SUPPORT)).drop("support")
+    edges = stored(seeds.unionByName(others).distinct(), "edges")
+    least = F.lit(SUPPORT)
+    while True:
+        known = [F.sum((F.col("kind") == i).cast("long")).alias(f"known_{i}") for i in range(len(KINDS))]
+        counted = edges.groupBy("pattern").agg(F.count("*").alias("n"), *known)
+        per_kind = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(f"known_{i}").alias("known")) for i in range(len(KINDS))]))
+        shares = counted.select("pattern", "n", per_kind.alias("k")).select("pattern", "k.*", (F.col("k.known") / (F.col("n") + 1)).alias("confidence"))
+        trusted = stored(shares.filter((F.col("known") >= least) & (F.col("confidence") >= CONFIDENT)).select("pattern", "kind", "confidence"), "patterns")
+        found = edges.filter(F.col("kind") < 0).select("pattern", "instance").join(trusted, "pattern").filter(fitting("kind", "instance"))
+        # a candidate becomes a seed of one kind: the most confident, the first in a tie
+        added = stored(found.groupBy("instance").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("as")), "added")
+        if added.isEmpty():
+            return trusted
+        own = F.when(F.col("kind") < 0, F.coalesce("as", F.lit(-1))).otherwise(F.col("kind"))
+        edges = stored(edges.join(added, "instance", "left").select("pattern", "instance", own.alias("kind")).distinct(), "edges")
 
 
 def discovered(scanned: DataFrame, patterns: DataFrame) -> DataFrame:
     """(of: digest, extra: spans): what trusted patterns add, per distinct text that gains anything."""
     c = scanned.select("digest", F.explode("candidates").alias("c")).select("digest", "c.*").select("digest", "start", "end", "found", F.explode("patterns").alias("pattern"))
     hit = c.join(patterns, "pattern")
-    shape = F.lit(False)
-    for i in range(len(KINDS)):
-        shape = shape | ((F.col("kind") == i) & fits(F.col("found"), i))
-    best = hit.filter(shape).groupBy("digest", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
+    best = hit.filter(fitting("kind", "found")).groupBy("digest", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
     return best.groupBy(F.col("digest").alias("of")).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end").cast(SPAN))).alias("extra"))
 
 
@@ -184,14 +232,19 @@ def spelled(spans: str) -> Column:
 
 def masked(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; of overlapping spans the first names the kind."""
-    kind = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     name = lambda k: F.element_at(F.array(*[F.lit(f"[{x.upper()}]") for x in KINDS]), k + 1)
 
-    def step(acc: Column, s: Column) -> Column:
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), name(s["kind"]))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out")).cast("struct<at:int,out:string>")
-
-    built = F.aggregate(spans, kind.cast("struct<at:int,out:string>"), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    def pieces(steps: Column) -> Column:
+        """The text before each span and its name, lot by lot, each lot from its own stretch of the text."""
+        def of_lot(lot: Column) -> Column:
+            base, end = F.element_at(lot, 1)["at"], F.element_at(lot, -1)["span"]["start"]
+            return bound(F.substring(text, base + 1, end - base), lambda part: F.array_join(F.transform(lot, lambda p: F.when(
+                p["span"]["start"] >= p["at"], F.concat(F.substring(part, p["at"] - base + 1, p["span"]["start"] - p["at"]), name(p["span"]["kind"]))).otherwise("")), ""))
+        return F.array_join(F.transform(lots(steps), of_lot), "")
+
+    most = F.array_max(F.transform(spans, lambda s: s["end"]))
+    ends = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    built = bound(F.zip_with(spans, ends, lambda s, at: F.struct(s.alias("span"), at.alias("at"))), lambda steps: F.concat(pieces(steps), F.substring(text, most + 1, F.length(text))))
     return F.when(text.isNull() | (F.size(spans) == 0), text).otherwise(built)
 
 

@@ -184,6 +184,45 @@ class TestPersonalData:
         docs = documents(spark, [(1, "a" * 200_000 + "@"), (2, "7" * 100_000), (3, "1." * 50_000), (4, "+" * 100_000)])
         assert pii.find(docs).count() == 4
 
+    def test_many_matches(self, spark):
+        rng = random.Random(4)
+        one = lambda: rng.choice(["4111 1111 1111 1111", "+49 30 1234567 8", "10.0.0.1", "é@b.c", "a.b@c.de", "12-34", "99:88", "word é", "x@y", "+1 4111-1111-1111-1111"])
+        texts = [" ; ".join(one() for _ in range(n)) for n in (1, 2, 63, 64, 65, 66, 129, 700, 4300)]
+        rows = pii.find(documents(spark, list(enumerate(texts)))).select("doc_id", pii.spelled("base").alias("b"), pii.spelled("spans").alias("s")).collect()
+        assert {r["doc_id"]: r["b"] for r in rows} == {i: self.expected(t) for i, t in enumerate(texts)}
+        masked = {r["doc_id"]: r["text"] for r in pii.redact(documents(spark, list(enumerate(texts)))).collect()}
+        for r in rows:
+            text, out, at = texts[r["doc_id"]], [], 0
+            for kind, start, end in sorted(((k, int(a), int(b)) for k, a, b in (x.split(":") for x in r["s"].split(",") if x)), key=lambda x: (x[1], pii.KINDS.index(x[0]))):
+                if start >= at:
+                    out += [text[at:start], f"[{kind.upper()}]"]
+                at = max(at, end)
+            assert masked[r["doc_id"]] == "".join(out) + text[at:]
+
+    def test_a_megabyte_of_matches(self, spark):
+        long = [(1, "1234 5678, " * 90_000), (2, "10.0.0.1; 4111 1111 1111 1111; " * 35_000), (3, "a@b.c x@y " * 100_000)]
+        start = time.time()
+        counts = {r["doc_id"]: (r["n_email"], r["n_ip"], r["n_card"]) for r in pii.find(documents(spark, long)).collect()}
+        assert counts == {1: (0, 0, 0), 2: (0, 35_000, 35_000), 3: (100_000, 0, 0)}
+        assert time.time() - start < 60
+
+    def test_found_identifiers_lead_to_further_contexts(self, spark):
+        """mail: is learnt from addresses, its names without a dot teach user=, and those of user= teach login=."""
+        rows = [f"1 mail: u{i}@host{i}.com ." for i in range(40)] + [f"1 mail: a{i}@local ." for i in range(6)]
+        rows += [f"2 user= a{i}@local ." for i in range(6)] + ["2 user= b0@local ."]
+        texts = documents(spark, list(enumerate(rows)))
+        patterns = {(r["pattern"], r["kind"]) for r in pii.learn(pii.scan(texts)).collect()}
+        assert ("* mail:", 0) in patterns and ("* user=", 0) not in patterns  # 6 of 7 and one more: 0.75
+        more = documents(spark, list(enumerate(rows + [f"2 user= u{i}@host{i}.com ." for i in range(4)] + [f"3 login= {x}@local ." for x in ("a0", "a1", "a2", "a3", "b0")])))
+        patterns = {(r["pattern"], r["kind"]) for r in pii.learn(pii.scan(more)).collect()}
+        assert {("* user=", 0), ("* login=", 0)} <= patterns  # login= has four seeds, b0 makes the fifth
+        spans = {r["doc_id"]: r["s"] for r in pii.find(more).select("doc_id", pii.spelled("spans").alias("s")).collect()}
+        assert spans[52] == "email:8:16" and spans[57] == "email:9:17"
+
+    def test_many_unknown_identifiers_do_not_confirm_themselves(self, spark):
+        rows = [f"1 mail: u{i}@host{i}.com ." for i in range(20)] + [f"1 mail: a{i}@local ." for i in range(30)]
+        assert pii.learn(pii.scan(documents(spark, list(enumerate(rows))))).collect() == []
+
     def test_contexts_discover(self, spark):
         rows = [(i, f"please mail: u{i}@host{i}.com now") for i in range(8)] + [(20, "please mail: bob@localhost now"), (21, "see bob@localhost"), (20, "please mail: bob@localhost now")]
         out = sorted((r["doc_id"], r["s"]) for r in pii.find(documents(spark, rows)).select("doc_id", pii.spelled("spans").alias("s")).collect())
