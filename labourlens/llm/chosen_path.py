@@ -367,6 +367,8 @@ def candidates(sets: DataFrame, similarity: float) -> DataFrame:
 
 def labelled(df: DataFrame, text: str, key: str, similarity: float) -> tuple[DataFrame, DataFrame]:
     """The rows, numbered (rid, row: the other columns, text), and their labels (rid, class_id, links, keeper)."""
+    if not 0.8 <= similarity <= 1 or round(10 * similarity) / 10 != similarity:
+        raise ValueError("similarity must be 0.8, 0.9 or 1: search and sketches are laid out for 0.8 and more, the check counts tenths")
     # rows are numbered and written down once, so that nothing depends on how often the input is read
     rows = df.select(F.struct(*[c for c in df.columns if c != text], F.lit(0).alias("_")).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"), F.md5(F.col(text).cast("binary")).alias("digest"))
     rows = stored(sketched(rows.withColumn("rid", F.monotonically_increasing_id())), "rows")

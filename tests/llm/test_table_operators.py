@@ -89,6 +89,11 @@ class TestChosenPath:
         none = spark.createDataFrame([], "doc_id long, text string")
         assert chosen_path.classes(none).collect() == [] and chosen_path.keepers(none).collect() == []
 
+    @pytest.mark.parametrize("similarity", [0.5, 0.85, 1.1])
+    def test_other_similarities_are_refused(self, spark, similarity):
+        with pytest.raises(ValueError, match="similarity"):
+            chosen_path.classes(spark.createDataFrame([(1, "a")], "doc_id long, text string"), similarity=similarity)
+
     def test_recall(self):
         assert all(chosen_path.recall(0.8, level) > 0.9999 for level in range(1, chosen_path.DEPTH + 1))
 
