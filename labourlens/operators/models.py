@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from labourlens.functions.text import floor_round
 from labourlens.operators.features import Preprocessor, fold
 from labourlens.operators.quantiles import exact_quantiles
+from labourlens.session import stored
 
 MODELS = {
     "linear": lambda **p: LinearRegression(**{"solver": "auto", "regParam": 0.0, **p}),
@@ -62,17 +63,31 @@ def fit_predict(name: str, train: DataFrame, test: DataFrame, **params) -> DataF
     return model.transform(pre.transform(test))
 
 
-def compare_models(train: DataFrame, test: DataFrame, params: Mapping[str, dict]) -> DataFrame:
-    """Scores of both constants and every named model, with the improvement in RMSE
-    over the better constant."""
-    pre = Preprocessor.fit(train)
-    train_v, test_v = pre.transform(train), pre.transform(test)
-    out = baseline_scores(train, test).withColumn("model", F.concat(F.lit("baseline_"), "strategy")).drop("strategy")
+def predictions(train: DataFrame, test: DataFrame, params: Mapping[str, dict], keys: Sequence[str] = (), **groups) -> DataFrame:
+    """Long table of every test row under both constants and every named model: ``keys``, model, label, prediction.
+
+    One preprocessed matrix, written once, serves all models; ``groups`` are the feature groups of ``Preprocessor.fit``."""
+    pre = Preprocessor.fit(train, **groups)
+    train_v = stored(pre.transform(train).select("features", "label"), "train-matrix")
+    test_v = stored(pre.transform(test).select(*keys, "features", "label"), "test-matrix")
+    out = constant_predictions(train_v, test_v).withColumn("model", F.concat(F.lit("baseline_"), "strategy"))
+    out = out.select(*keys, "model", "label", "prediction")
     for name, extra in params.items():
         predicted = estimator(name, **extra).fit(train_v).transform(test_v)
-        out = out.unionByName(scores(predicted).withColumn("model", F.lit(name)))
-    best = baseline_scores(train, test).agg(F.min("rmse")).scalar()
-    return out.select("model", "n", "rmse", "mae", "r2", floor_round((best - F.col("rmse")) / best * 100, 1).alias("improvement_pct"))
+        out = out.unionByName(predicted.select(*keys, F.lit(name).alias("model"), "label", "prediction"))
+    return out
+
+
+def compared(predicted: DataFrame) -> DataFrame:
+    """Scores per model of a table of ``predictions``, with the improvement in RMSE over the better constant."""
+    each = scores(predicted, by=["model"])
+    best = each.where(F.startswith("model", F.lit("baseline_"))).agg(F.min("rmse")).scalar()
+    return each.select("model", "n", "rmse", "mae", "r2", floor_round((best - F.col("rmse")) / best * 100, 1).alias("improvement_pct"))
+
+
+def compare_models(train: DataFrame, test: DataFrame, params: Mapping[str, dict], **groups) -> DataFrame:
+    """``predictions`` written to a table, and its scores."""
+    return compared(stored(predictions(train, test, params, **groups), "predictions"))
 
 
 def fold_scores(name: str, df: DataFrame, folds: int = 5, key: str = "job_id", **params) -> DataFrame:

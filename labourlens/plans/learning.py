@@ -197,7 +197,7 @@ def cluster_profiles(spark, d):
 
 def vectors(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"))
-    return cl.standardised(spread(rows)).persist()
+    return spread(stored(cl.standardised(spread(rows)).drop("features"), "vectors"))
 
 
 @query("kmeans_fit")
@@ -272,6 +272,27 @@ def forest_stump(spark, d):
     return stump(spark, d, "random_forest", numTrees=1, bootstrap=False)
 
 
+@query("model_scores", f"""WITH r AS (SELECT l_quantity::DOUBLE AS q, (l_extendedprice + 1000 * l_quantity)::DOUBLE AS y, {_TEST} AS test
+  FROM (SELECT *, l_orderkey || '-' || l_linenumber AS job_id FROM lineitem)),
+t AS (SELECT * FROM r WHERE NOT test),
+f AS (SELECT avg(y) AS mean, quantile_cont(y, 0.5) AS median, regr_slope(y, q) AS slope, regr_intercept(y, q) AS start FROM t),
+c AS (SELECT q, count(*)::DOUBLE AS n, sum(y) AS s FROM t GROUP BY 1),
+w AS (SELECT q, sum(n) OVER (ORDER BY q) AS n1, sum(s) OVER (ORDER BY q) AS s1, sum(n) OVER () AS n, sum(s) OVER () AS s FROM c),
+b AS (SELECT q AS cut, s1 / n1 AS low, (s - s1) / (n - n1) AS high FROM w WHERE n1 < n ORDER BY s1 * s1 / n1 + (s - s1) * (s - s1) / (n - n1) DESC LIMIT 1),
+p AS (SELECT 'baseline_mean' AS model, y, mean AS p FROM r, f WHERE test UNION ALL SELECT 'baseline_median', y, median FROM r, f WHERE test
+  UNION ALL SELECT 'linear', y, slope * q + start FROM r, f WHERE test
+  UNION ALL SELECT 'decision_tree', y, CASE WHEN q <= cut THEN low ELSE high END FROM r, b WHERE test),
+e AS (SELECT model, {_scores_sql('y', 'p')} FROM p GROUP BY 1)
+SELECT model, n, rmse, mae, r2, {floor_sql('(best - rmse) / best * 100')} AS improvement_pct FROM e, (SELECT min(rmse) AS best FROM e WHERE starts_with(model, 'baseline_'))""")
+def model_scores(spark, d):
+    """Both constants, a line and a tree of one split on one column, compared on test rows."""
+    rows = table(spark, d, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("job_id"), F.col("l_quantity").cast("double").alias("quantity"),
+        (F.col("l_extendedprice") + 1000 * F.col("l_quantity")).cast("double").alias("label"))
+    return md.compare_models(*ft.split(materialised(rows)), {"linear": {}, "decision_tree": {"maxDepth": 1, "maxBins": 64}},
+                             numeric=["quantity"], categorical=[], ordinal={})
+
+
 @query("kmeans_nearest", "SELECT count(*) AS n_rows, 0 AS n_misplaced, 5 AS n_clusters FROM embeddings")
 def kmeans_nearest(spark, d):
     """Every vector is in the cluster of its nearest centre, and no cluster is empty."""
@@ -300,6 +321,22 @@ def silhouette_given(spark, d):
     return spark.createDataFrame([(cl.silhouette(rows),)], "silhouette double").select(floor_round("silhouette", 5).alias("silhouette"))
 
 
+@query("silhouette_scan", f"""WITH p AS (SELECT u.k, l_linenumber % u.k AS c, l_quantity::DOUBLE AS x FROM lineitem, unnest([2, 3, 4, 5]) AS u(k)),
+g AS (SELECT k, c, count(*)::DOUBLE AS n, sum(x) AS s, sum(x * x) AS ss FROM p GROUP BY 1, 2),
+v AS (SELECT k, c, x, count(*)::DOUBLE AS m FROM p GROUP BY 1, 2, 3),
+e AS (SELECT v.k, v.c, v.x, any_value(m) AS m, any_value(CASE WHEN g.c = v.c THEN (n * x * x - 2 * x * s + ss) / (n - 1) END) AS a,
+  min(CASE WHEN g.c <> v.c THEN (n * x * x - 2 * x * s + ss) / n END) AS b FROM v JOIN g ON g.k = v.k GROUP BY 1, 2, 3),
+h AS (SELECT k, {floor_sql('sum(ss - s * s / n)', 2)} AS cost FROM g GROUP BY 1)
+SELECT CAST(e.k AS INTEGER) AS k, {floor_sql('sum(m * (b - a) / greatest(a, b)) / sum(m)', 5)} AS silhouette, any_value(cost) AS cost
+FROM e JOIN h ON h.k = e.k GROUP BY e.k""")
+def silhouette_scan(spark, d):
+    """The scan's scores of given clusters, here the line numbers modulo each k."""
+    rows = table(spark, d, "lineitem").select(array_to_vector(F.array(F.col("l_quantity").cast("double"))).alias("scaled"),
+                                              *[(F.col("l_linenumber") % k).alias(f"in_{k}") for k in (2, 3, 4, 5)])
+    scan = cl.silhouettes(rows, {k: f"in_{k}" for k in (2, 3, 4, 5)})
+    return scan.select("k", floor_round("silhouette", 5).alias("silhouette"), floor_round("cost", 2).alias("cost"))
+
+
 @query("pca_variances", f"""WITH r AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS r FROM lineitem)
 SELECT {floor_sql('1 + r', 5)} AS v1, {floor_sql('1 - r', 5)} AS v2 FROM r""")
 def pca_variances(spark, d):
