@@ -15,6 +15,8 @@ from labourlens.operators.merge import keep_first
 from labourlens.session import stored
 
 MAX_LISTED_PROFILES = 200
+#: Skills that the subsets of a set may lack, round by round, before posting lists take over.
+LACKING = (1, 2, 4, 6)
 
 
 @dataclass(frozen=True)
@@ -234,19 +236,79 @@ def recommend_table(index: DataFrame, jobs: DataFrame, profiles: DataFrame, top_
         "profile_id", "rank", "job_id", floor_round("score", 4).alias("similarity_score"))
 
 
+def _subsets(sets: DataFrame, most: int, least: Column) -> DataFrame:
+    """Every row once per subset ``u`` of its ``skills`` that lacks ``most`` of them or fewer and has ``least`` (one or more)."""
+    level = sets.withColumns({"u": F.col("skills"), "_from": F.lit(0)})
+    out = level
+    for _ in range(most):
+        # Skills leave in order, so that no subset comes twice.
+        level = level.where((F.size("u") > 1) & (F.size("u") > least) & (F.col("_from") < F.size("u")))
+        level = level.withColumn("_from", F.explode(F.sequence("_from", F.size("u") - 1)))
+        level = level.withColumn("u", F.concat(F.slice("u", F.lit(1), F.col("_from")), F.slice("u", F.col("_from") + 2, F.size("u"))))
+        out = out.unionByName(level)
+    return out.drop("_from").where(F.size("u") >= least)
+
+
+def nearest_sets(wishes: DataFrame, classes: DataFrame, top_n: int, rounds: Sequence[int] = LACKING) -> DataFrame:
+    """The best ``top_n`` classes of every wish, ``wish_id, first_id, score, fit``, by the subsets that both have.
+
+    ``wishes(wish_id, skills)`` and ``classes(first_id, skills, n_ids)`` hold distinct sets.  A class with u of a wish's m skills and
+    n of its own fits u^2 / n.  Of the classes of one size over one subset only the ``top_n`` first can be among the best of a wish
+    with that subset, for all of them fit it as well or better.  With subsets that lack up to r skills on either side, all pairs
+    are met that fit better than max(m^2 / (m + r + 1), m - r - 1): a wish whose last answer does is settled, the others go on
+    with a larger r, and from their last answer up.  What no round settles meets the posting lists.
+    """
+    best, open_ = None, wishes.select("wish_id", "skills", F.lit(0.0).alias("least"))
+    place = W.partitionBy("wish_id").orderBy(F.desc("fit"), "first_id")
+    for r in rounds:
+        floor = open_.agg(F.min("least")).first()[0]  # one number
+        if floor is None:
+            return best
+        over = _subsets(classes.where(F.size("skills") >= floor), r, F.lit(max(1.0, floor)))
+        over = over.select("u", "first_id", "n_ids", F.size("skills").alias("n")).where(_fit(F.size("u"), F.col("n")) >= floor)
+        heads = over.withColumn("_h", F.row_number().over(W.partitionBy("u", "n").orderBy("first_id"))).where(F.col("_h") <= top_n)
+        heads = heads.groupBy("u").agg(F.collect_list(F.struct("n", "first_id", "n_ids")).alias("heads"))  # top_n for each of r + 1 sizes
+        asked = _subsets(open_, r, F.greatest(F.lit(1.0), F.col("least")))
+        met = asked.select("u", "wish_id", "least", F.size("skills").alias("m")).join(heads, "u")
+        met = met.select("wish_id", "least", "m", F.size("u").alias("common"), F.explode("heads").alias("h")).select("*", "h.*").drop("h")
+        met = met.withColumn("fit", _fit(F.col("common"), F.col("n"))).where(F.col("fit") >= F.col("least"))
+        pairs = met.groupBy("wish_id", "first_id").agg(F.max("fit").alias("fit"), F.first("n_ids").alias("n_ids"), F.first("m").alias("m"),
+                                                       F.max(F.col("common") / F.sqrt(F.col("m") * F.col("n"))).alias("score"))
+        ranked = pairs.withColumns({"_r": F.row_number().over(place), "_ids": F.sum("n_ids").over(place.rowsBetween(W.unboundedPreceding, 0))})
+        found = stored(ranked.where(F.col("_r") <= top_n).drop("_r"), "nearest")
+        last = found.where(F.col("_ids") >= top_n).groupBy("wish_id").agg(F.max("fit").alias("last"))
+        m = F.size("skills")
+        asked = open_.join(last, "wish_id", "left").withColumn("least", F.greatest("least", F.coalesce("last", F.lit(0.0))))
+        unmet = F.greatest(m * m / (m + r + 1), m - (r + 1.0))
+        open_ = stored(asked.where(F.col("least") <= unmet).select("wish_id", "skills", "least"), "open")
+        found = found.join(open_, "wish_id", "left_anti").select("wish_id", "first_id", "score", "fit")
+        best = found if best is None else best.unionByName(found)
+    by_skill = open_.select("wish_id", F.lit(None).cast("string").alias("p_city"), F.lit(None).cast("double").alias("p_years"), "least",
+                            F.col("skills").alias("known"), F.posexplode("skills").alias("before", "skill"))
+    places = classes.select("first_id", "skills", F.lit(None).cast("string").alias("_c"), F.lit(None).cast("double").alias("experience_years"))
+    rest = wish_matches(by_skill, places).withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= top_n).drop("_r")
+    return best.unionByName(rest)
+
+
 def similar_table(index: DataFrame, targets: DataFrame, top_n: int = 10) -> DataFrame:
     """As :func:`similar_jobs` for a table ``(target_id)`` of any length.
 
-    A target is asked for as a profile of its own skills; one more answer than
-    wanted leaves enough when the target itself is among them.  Targets that
-    are not in the index have no answers.
+    Targets of equal skills are answered once, by classes of postings with equal skills (:func:`nearest_sets`); one more answer than
+    wanted leaves enough when the target itself is among them.  Targets that are not in the index have no answers.
     """
+    wanted = top_n + 1
     asked = targets.select("target_id").distinct().join(index.select(F.col("job_id").alias("target_id"), "skills"), "target_id")
-    profiles = asked.select(F.col("target_id").alias("profile_id"), "skills", F.lit(None).cast("string").alias("city"), F.lit(None).cast("double").alias("years"))
-    anywhere = index.select("job_id", F.lit(None).cast("string").alias("city"), F.lit(None).cast("double").alias("experience_years"))
-    found = recommend_table(index, anywhere, profiles, top_n + 1, unmatched=False).where("job_id <> profile_id")
-    rank = F.row_number().over(W.partitionBy("profile_id").orderBy("rank"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= top_n).select(F.col("profile_id").alias("target_id"), "rank", "job_id", "similarity_score")
+    asked = asked.select("target_id", "skills", F.concat_ws("\u0001", "skills").alias("wish_id"))
+    rank = F.row_number().over(W.partitionBy("skills").orderBy("job_id"))
+    heads = index.withColumn("_r", rank).where(F.col("_r") <= wanted)
+    classes = stored(heads.groupBy("skills").agg(F.min("job_id").alias("first_id"), F.array_sort(F.collect_list("job_id")).alias("ids")), "classes")
+    wishes = stored(asked.select("wish_id", "skills").distinct(), "wishes")
+    best = nearest_sets(wishes, classes.select("first_id", "skills", F.size("ids").alias("n_ids")), wanted)
+    answers = best.join(classes.select("first_id", "ids"), "first_id").select("wish_id", "score", "fit", F.explode("ids").alias("job_id"))
+    answers = answers.withColumn("_r", F.row_number().over(W.partitionBy("wish_id").orderBy(F.desc("fit"), "job_id"))).where(F.col("_r") <= wanted)
+    found = asked.join(answers, "wish_id").where("job_id <> target_id")
+    place = F.row_number().over(W.partitionBy("target_id").orderBy("_r"))
+    return found.withColumn("rank", place).where(F.col("rank") <= top_n).select("target_id", "rank", "job_id", floor_round("score", 4).alias("similarity_score"))
 
 
 def similar_jobs(index: DataFrame, targets: Sequence[str], top_n: int = 10) -> DataFrame:

@@ -102,3 +102,29 @@ def test_sizes_and_export(skills, jobs):
     row = rec.for_export(rec.recommend(rec.build_index(skills), jobs, [rec.Profile("p", ("Rust", "Kafka", "Linux"))], 1)).first()
     assert row.matched_skills == "Kafka; Linux; Rust"
     assert {r.job_id: r.missing_skills for r in rec.skill_gap(rec.skill_sets(skills), ["CSS"]).collect()}["k2"] == ["Figma"]
+
+
+@pytest.mark.parametrize("rounds", [(1,), rec.LACKING])
+def test_nearest_sets_by_subsets(spark, rounds):
+    """Few and many skills, wishes that one round settles and wishes that only the posting lists can."""
+    rng = random.Random(5)
+    sets = sorted({tuple(sorted(rng.sample("abcdefghijkl", rng.choice([1, 2, 3, 4, 5, 8, 11])))) for _ in range(300)} | {("z",), ("y", "z")})
+    classes = [(f"c{i:03d}", list(s), 1 + i % 3) for i, s in enumerate(sets)]
+    got = rec.nearest_sets(spark.createDataFrame([(c[0], c[1]) for c in classes[::7] + classes[-2:]], "wish_id string, skills array<string>"),
+                           spark.createDataFrame(classes, "first_id string, skills array<string>, n_ids int"), 4, rounds).collect()
+    want = {}
+    for w, mine, _ in classes[::7] + classes[-2:]:
+        near = sorted((-len({*mine} & {*s}) ** 2 / len(s), c) for c, s, _ in classes if {*mine} & {*s})
+        want[w] = {(c, -fit) for fit, c in near[:4]}
+    found = {w: {(r.first_id, r.fit) for r in got if r.wish_id == w} for w in want}
+    # A wish is settled once its classes hold enough ids, which may be fewer classes than asked for; those are the best.
+    of = {c: (set(s), n) for c, s, n in classes}
+    for w, best in want.items():
+        if found[w] != best:
+            assert sum(of[c][1] for c, _ in found[w]) >= 4
+            ids = 0
+            for c, fit in sorted(best, key=lambda x: (-x[1], x[0])):
+                if ids >= 4:
+                    break
+                assert (c, fit) in found[w]
+                ids += of[c][1]
