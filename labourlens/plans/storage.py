@@ -150,21 +150,26 @@ def event_stream(spark, d):
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+#: Rows that one file of an arrival should hold.
+ARRIVAL_ROWS = 250_000
+
+
 def waves(rows, path, order, fmt="parquet", n=4):
-    """Rows written in ``n`` arrivals by the order column, one after the other."""
-    lo, hi = rows.agg(F.min(order), F.max(order)).first()
+    """Rows written in ``n`` arrivals by the order column, one after the other; the number of files of each, which grows with the rows."""
+    lo, hi, count = rows.agg(F.min(order), F.max(order), F.count("*")).first()
+    files = count // (n * ARRIVAL_ROWS) + 1
     wave = F.floor((F.col(order) - F.lit(lo)) * n / (F.lit(hi) - F.lit(lo) + 1))
     for i in range(n):
-        rows.where(wave == i).coalesce(1).write.mode("append").format(fmt).save(path)
-    return path
+        rows.where(wave == i).repartition(files).write.mode("append").format(fmt).save(path)
+    return files
 
 
 @query("stream_ingest_dedup", """SELECT user_id, min(event_id) AS event_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY 1""")
 def stream_ingest_dedup(spark, d):
     """First event of every user, over several batches."""
     path, check, src = (scratch(spark, n) for n in ("ingest", "ingest-check", "ingest-src"))
-    waves(table(spark, d, "events").select("event_id", "user_id", "event_type"), src, "event_id")
-    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(src)
+    files = waves(table(spark, d, "events").select("event_id", "user_id", "event_type"), src, "event_id")
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(src)
     st.ingest(stream, path, check, "user_id", "event_id", EVENTS).awaitTermination()
     return st.kept(spark, path, EVENTS).select("user_id", "event_id", "event_type")
 

@@ -71,7 +71,8 @@ class Store:
     def write(self, rows: DataFrame, count: int, first: int, last: int) -> None:
         """Rows of batches ``first`` to ``last``; a folder that is there is written anew."""
         files = max(1, min(BUCKETS, count // FILE_ROWS + 1)) if last - first < MERGED else max(1, count // FILE_ROWS + 1)
-        dealt = rows.repartition(files, "key_bucket") if files > 1 else rows.coalesce(1)
+        # Also for one file by an exchange: a coalesce would draw all that precedes the file into its task.
+        dealt = rows.repartition(files, "key_bucket")
         dealt.select(*self.schema.fieldNames()).sortWithinPartitions("key_bucket").write.mode("overwrite").parquet(f"{self.path}/batches-{first:012d}-{last:012d}")
 
     def merge(self, batch_id: int) -> None:

@@ -184,3 +184,12 @@ def test_history_is_found_across_a_gap(spark):
     files.append_run(spark, f"{lost}-runs", {"timestamp": "t", "n_jobs": 3, "n_new": 1, "src_counts": {}})
     with pytest.raises(RuntimeError, match="no stored version"):
         run_harvest(spark, raw("x1"), lost, 4, "t4")
+
+
+def test_an_arrival_is_dealt_over_files_that_grow_with_the_rows(spark, monkeypatch):
+    from labourlens.plans import storage
+    monkeypatch.setattr(storage, "ARRIVAL_ROWS", 100)
+    path = scratch(spark, "t-waves")
+    assert storage.waves(spark.range(1000).withColumnRenamed("id", "o"), path, "o", n=2) == 6
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) == 12 and sum(sizes) == 1000 and max(sizes) < 150
