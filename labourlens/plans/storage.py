@@ -14,7 +14,7 @@ from labourlens.plans.normalize import parsed
 from labourlens.plans.registry import query
 from labourlens.plans.tables import raw_records
 from labourlens.schemas import COMPANY, SKILL
-from labourlens.session import scratch
+from labourlens.session import scratch, stored
 from labourlens.sources import files
 from labourlens.sources.adapters import POSTINGS_CTE, SKILLS_CTE, job_skills, postings, table
 from labourlens.streaming import ingest as st
@@ -183,10 +183,10 @@ FROM postings JOIN customer ON c_custkey = custkey QUALIFY ord = min(ord) OVER (
 def stream_harvest(spark, d):
     """Raw postings in several arrivals, each normalised before it is merged; every arrival after the first repeats some rows."""
     path, check, src = (scratch(spark, n) for n in ("harvest-stream", "harvest-check", "harvest-src"))
-    raw = raw_records(spark, d).drop("description_raw")
-    waves(raw, src, "ord", "json", 2)
-    raw.where("ord % 3 = 0").coalesce(1).write.mode("append").json(src)
-    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).json(src)
+    raw = stored(raw_records(spark, d).drop("description_raw"), "raw")
+    files = waves(raw, src, "ord", "json", 2)
+    raw.where("ord % 3 = 0").repartition(files).write.mode("append").json(src)
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", files).json(src)
     st.ingest(stream, path, check, "job_id", "ord", RECORDS, prepare=lambda batch: rc.normalize_batch(batch, "ord")).awaitTermination()
     return st.kept(spark, path, RECORDS)
 
