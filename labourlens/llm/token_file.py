@@ -28,7 +28,7 @@ import types
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,8 @@ MAGIC = b"LLTOKEN1"
 TAIL = "<qqqqqqq8s"  # id bytes, bytes per id, null keys, least key, keys' place, boundaries' place, documents, magic
 SELECT = 512
 DOCS_PER_SHARD = 200_000
+#: Documents that are encoded together; each distinct word among them is looked up once.
+ENCODE_DOCS = 2000
 #: Words that a worker process remembers, some 150 bytes each.
 CACHE_WORDS = 600_000
 
@@ -101,7 +103,7 @@ class EliasFano:
 #: The split of a word into parts that are encoded by themselves, as the tokenizer file states it, and the same for lower-case
 #: words of plain characters: there, lowering and composing change single characters only.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PLAIN_PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+PLAIN_PART = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\n]+")
 PLAIN_WORD = re.compile("[!-~À-ÖØ-öø-ÿ]*")
 
 
@@ -147,7 +149,8 @@ class WordEncoder:
         first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         # parts are taken only where the file states the rules they follow
         self.in_parts = names == ["NFC", "Replace", "Lowercase"] and first.get("pattern") == {"Regex": SPLIT} and first.get("invert") is True
-        self.marks = [t["content"] for t in spec.get("added_tokens", [])]
+        marks = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
+        self.marked = re.compile("|".join(marks) or "(?!)").search
         self.known: dict[str, int] = {}
         self.words = Lists()
         self.known_parts: dict[str, int] = {}
@@ -159,16 +162,19 @@ class WordEncoder:
             into.add(np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if self.in_parts and PLAIN_WORD.fullmatch(w) and not any(m in w for m in self.marks)]
+        marked, fits = self.marked, PLAIN_WORD.fullmatch
+        plain = [w for w in words if fits(w) and not marked(w)] if self.in_parts else []
         if plain:
-            split = [PLAIN_PART.findall(w.lower()) for w in plain]
-            new = [p for p in dict.fromkeys(chain.from_iterable(split)) if p not in self.known_parts]
+            # all words are split at once, a line each: no list per word
+            split = PLAIN_PART.findall("\n".join(plain).lower())
+            new = [p for p in dict.fromkeys(split) if p not in self.known_parts and p != "\n"]
             if new:
                 n = self.parts.n
                 self._encode_each(new, self.parts)
                 self.known_parts.update(zip(new, range(n, n + len(new)), strict=True))
-            place = np.fromiter(map(self.known_parts.__getitem__, chain.from_iterable(split)), np.int64)
-            counts = np.fromiter(map(len, split), np.int64, len(split))
+            place = np.fromiter(map(self.known_parts.get, split, repeat(-1)), np.int64, len(split))
+            counts = np.diff(np.concatenate([[-1], np.flatnonzero(place < 0), [len(place)]])) - 1
+            place = place[place >= 0]
             ends = np.concatenate([[0], np.cumsum(self.parts.sizes[place])])
             upto = np.cumsum(counts)
             n = self.words.n
@@ -300,8 +306,8 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int = 1, key: str
 
         def pieces():
             for batch in chain([first], batches):
-                for at in range(0, batch.num_rows, 1000):
-                    part = batch.slice(at, 1000)
+                for at in range(0, batch.num_rows, ENCODE_DOCS):
+                    part = batch.slice(at, ENCODE_DOCS)
                     ids, counts = encoder.encode(part.column("text"), end_id)
                     yield part.column("key").to_pylist(), ids, counts
 

@@ -292,3 +292,15 @@ def test_pipeline_of_nothing(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.collect() == []
+
+
+def test_words_are_split_together_as_each_is_alone():
+    import pyarrow as pa
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        encoder = token_file.WordEncoder(f.read())
+    assert token_file.PLAIN_PART.findall("it's\nx") == ["it", "'s", "\n", "x"]  # a word ends its parts
+    words = ["it's", "", "'s", "Don'T", "a1b22", "--x--", "Één", "x<|endoftext|>y", "<|startoftext|>", "_'re_", "99", "word"]
+    texts = [" ".join(words), "", None, " ".join(reversed(words)), "'s"]
+    ids, counts = encoder.encode(pa.array(texts), 1)
+    cut = np.split(ids, np.cumsum(counts)[:-1])
+    assert [c.tolist() for c in cut] == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
