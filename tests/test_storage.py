@@ -193,3 +193,19 @@ def test_an_arrival_is_dealt_over_files_that_grow_with_the_rows(spark, monkeypat
     assert storage.waves(spark.range(1000).withColumnRenamed("id", "o"), path, "o", n=2) == 6
     sizes = [r["count"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
     assert len(sizes) == 12 and sum(sizes) == 1000 and max(sizes) < 150
+
+
+def test_a_harvest_leaves_its_wide_rows_compressed(spark):
+    from labourlens.operators.harvest import run_harvest
+    root, text = scratch(spark, "packed"), "one long description of a posting " * 40
+    raw = spark.range(0, 300, 1, 2).select(
+        F.concat(F.lit("j"), "id").alias("job_id"), F.concat(F.lit("Title "), F.md5(F.col("id").cast("string"))).alias("job_title"),
+        F.concat(F.lit("Firm "), "id").alias("company_name"), F.lit("itviec").alias("source_site"),
+        F.lit(text).alias("description_raw"), F.col("id").alias("ord"))
+    shared = root[:root.rindex("/")].removeprefix("file:")
+    old = set(os.listdir(shared))
+    assert run_harvest(spark, raw, root, 1, "t1")["n_jobs"] == 300
+    files_ = [os.path.join(f, n) for new in set(os.listdir(shared)) - old for f, _, names in os.walk(os.path.join(shared, new)) for n in names]
+    assert max(map(os.path.getsize, files_)) < 300 * len(text) / 4
+    back = spark.read.json(f"{root}-raw/harvest_no=1")
+    assert back.where(F.col("description_raw") == text).select("job_id").distinct().count() == 300
