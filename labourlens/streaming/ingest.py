@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from labourlens.operators.merge import keep_first
+from labourlens.session import scratch
 from labourlens.sources.files import empty
 
 BUCKETS = 64
@@ -51,6 +52,11 @@ class Store:
     def _path(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._root, name)
 
+    def drop(self, path: str) -> None:
+        """Delete a table that is no longer read."""
+        gone = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        gone.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+
     def complete(self) -> list[Folder]:
         """All finished folders; a listing, no file is opened."""
         if not self._fs.exists(self._root):
@@ -108,7 +114,7 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, key: str, order: str,
 
     ``prepare`` turns the rows of a batch into rows of ``schema``, for example
     raw postings into records; the first row of each key stays.  A batch is
-    prepared once.  Each batch owns the folder of its number and writes it anew, so a batch that
+    prepared once, into a table that goes with it.  Each batch owns the folder of its number and writes it anew, so a batch that
     is retried after a lost executor leaves its rows once; one that is part of a merged folder is done.
     History is read as keys only, without the batch's own rows, and only where it
     can hold keys of the batch.
@@ -118,14 +124,17 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, key: str, order: str,
         folders = store.folders()
         if not any(f.first <= batch_id <= f.last and f.first < f.last for f in folders):
             rows = keep_first(prepare(batch) if prepare else batch, [key], [order])
-            rows = _bucketed(rows.select(*schema.fieldNames()), key).withColumn("batch_id", F.lit(batch_id).cast("long")).persist()
+            rows = _bucketed(rows.select(*schema.fieldNames()), key).withColumn("batch_id", F.lit(batch_id).cast("long"))
+            prepared = scratch(batch.sparkSession, "batch")
             try:
+                rows.write.parquet(prepared)
+                rows = batch.sparkSession.read.schema(rows.schema).parquet(prepared)
                 count, buckets = rows.agg(F.count("*"), F.collect_set("key_bucket")).first()  # BUCKETS numbers at most
                 history = [f for f in folders if f.first != batch_id]
                 fresh = merge_batch(rows, store.read(history), key, buckets) if history and count else rows
                 store.write(fresh, count, batch_id, batch_id)
             finally:
-                rows.unpersist()
+                store.drop(prepared)
         store.merge(batch_id)
 
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

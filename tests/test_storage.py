@@ -209,3 +209,17 @@ def test_a_harvest_leaves_its_wide_rows_compressed(spark):
     assert max(map(os.path.getsize, files_)) < 300 * len(text) / 4
     back = spark.read.json(f"{root}-raw/harvest_no=1")
     assert back.where(F.col("description_raw") == text).select("job_id").distinct().count() == 300
+
+
+def test_a_stream_leaves_compressed_arrivals_and_no_prepared_batches(spark, sf_dir):
+    from labourlens.plans.storage import stream_harvest
+    from labourlens.session import shared_dir
+    root = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    kept = stream_harvest(spark, sf_dir)
+    new = {n for n in set(os.listdir(root)) - before}
+    src = next(n for n in new if n.startswith("harvest-src-"))
+    parts = [n for n in os.listdir(f"{root}/{src}") if n.startswith("part-")]
+    assert parts and all(n.endswith(".json.gz") for n in parts)
+    assert not any(n.startswith("batch-") for n in new) and not kept.isEmpty()
+    assert spark.sparkContext._jsc.sc().getRDDStorageInfo().__len__() == 0
